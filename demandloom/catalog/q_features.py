@@ -237,9 +237,12 @@ def feature_table(d):
     return rounded(d.features, NUMERIC)
 
 
-@query("prj_13_constant_columns", """
-SELECT 'cat_id' AS column_name, true AS is_constant FROM features HAVING count(DISTINCT coalesce(cat_id, '')) = 1
-UNION ALL SELECT 'is_active', true FROM features HAVING count(DISTINCT is_active) = 1""")
+SOURCE_NAMES = {"known_future_sell_price": "sell_price"}
+
+
+@query("prj_13_constant_columns", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS column_name, count(DISTINCT coalesce(CAST({SOURCE_NAMES.get(name, name)} AS VARCHAR), '?')) = 1 AS is_constant FROM features"
+    for name in ft.FEATURE_COLUMNS) + ") WHERE is_constant")
 def constant_columns(d):
     table = d.features
     flags = table.agg(*[
