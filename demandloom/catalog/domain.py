@@ -1,7 +1,14 @@
-"""Lazily built domain views over one data folder; every attribute is only a plan."""
+"""Domain views over one data folder.
+
+Small views are plans. The four stage tables (daily sales, features, predictions,
+recommendations) are written once per application to the shared checkpoint folder as
+Parquet and read back, so the line items are scanned once and later queries get pruning
+and pushdown on the stage table instead of recomputing it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from demandloom.operators import features
 from demandloom.sources import retail
 from demandloom.sources.parameters import SERIES
+from demandloom.sources.sinks import scratch_path
 from demandloom.sources.tables import read_table
 
+_STAGED: dict[tuple[str, str, str], tuple] = {}
+
 
 class Retail:
     def __init__(self, spark: SparkSession, folder: str):
@@ -20,24 +30,41 @@ class Retail:
     def table(self, name: str, *columns: str) -> DataFrame:
         return read_table(self.spark, self.folder, name, columns or None)
 
+    def _key(self, name: str) -> tuple[str, str, str]:
+        return self.spark.sparkContext.applicationId, self.folder, name
+
+    def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Write a stage table on first use in this application, then scan it."""
+        key = self._key(name)
+        if key not in _STAGED:
+            path = scratch_path(self.spark, name)
+            df = build()
+            df.write.mode("errorifexists").parquet(path)
+            _STAGED[key] = (path, df.schema)
+        path, schema = _STAGED[key]
+        return self.spark.read.schema(schema).parquet(path)
+
     def _lines(self) -> list[DataFrame]:
         return [self.table(name) for name in ("lineitem", "part", "supplier", "nation", "region")]
 
     @cached_property
     def facts(self) -> DataFrame:
-        return retail.store_item_sales(*self._lines())
+        return self.stage("daily-sales", lambda: retail.store_item_sales(*self._lines()))
 
     @cached_property
     def item_facts(self) -> DataFrame:
-        return retail.store_item_sales(*self._lines(), item="p_partkey")
+        return self.stage("item-daily-sales", lambda: retail.store_item_sales(*self._lines(), item="p_partkey"))
 
     @cached_property
-    def bounds(self) -> DataFrame:
-        return retail.date_bounds(self.table("lineitem"))
+    def bounds(self) -> retail.Bounds:
+        key = self._key("bounds")
+        if key not in _STAGED:
+            _STAGED[key] = retail.date_bounds(self.table("lineitem"))
+        return _STAGED[key]
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return retail.calendar(self.bounds)
+        return retail.calendar(self.spark, self.bounds)
 
     @cached_property
     def prices(self) -> DataFrame:
@@ -53,11 +80,16 @@ class Retail:
 
     @cached_property
     def bands(self) -> DataFrame:
-        return features.assign_bands(features.item_mean_demand(self.facts, self.bounds))
+        return features.assign_bands(features.item_mean_demand(self.facts, self.bounds.days))
+
+    @cached_property
+    def series_bands(self) -> DataFrame:
+        """The item's band on every series."""
+        return self.series.join(self.bands.select("item_id", "demand_band"), "item_id")
 
     @cached_property
     def flagged(self) -> DataFrame:
-        return features.flag_availability(self.panel).join(self.bands.select("item_id", "demand_band"), "item_id")
+        return features.flag_availability(self.panel).join(self.series_bands, SERIES)
 
     @cached_property
     def active(self) -> DataFrame:
@@ -65,7 +97,7 @@ class Retail:
 
     @cached_property
     def features(self) -> DataFrame:
-        return features.feature_table(self.panel, self.bands)
+        return self.stage("features", lambda: features.feature_table(self.panel, self.series_bands))
 
     @cached_property
     def folds(self) -> DataFrame:

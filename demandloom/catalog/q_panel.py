@@ -23,10 +23,9 @@ IDS = ["id", "store_id", "item_id", "dept_id", "cat_id", "state_id"]
 
 def wide_sales(d, last: int = 60):
     """The newest days of the panel in wide form, one column per day."""
-    bounds = d.bounds.first()
-    total = (bounds.hi - bounds.lo).days + 1
+    total = d.bounds.days
     days = [f"d_{n}" for n in range(total - last + 1, total + 1)]
-    cutoff = bounds.hi - dt.timedelta(days=last - 1)
+    cutoff = d.bounds.hi - dt.timedelta(days=last - 1)
     recent = d.panel.where(F.col("date") >= F.lit(cutoff)).withColumn("id", F.concat_ws("_", "item_id", "store_id"))
     return reshape.long_to_wide(recent, IDS, days)
 
@@ -347,10 +346,9 @@ SELECT item_id, dept_id, zero_pct, units FROM (
     CAST(sum(sales) AS BIGINT) AS units FROM item_facts WHERE sales > 0 GROUP BY 1)
 ORDER BY zero_pct DESC, item_id LIMIT 10""")
 def highest_zero_items(d):
-    days = d.bounds.select(F.datediff("hi", "lo") + 1).scalar()
     items = d.item_facts.where("sales > 0").groupBy("item_id").agg(
         F.min("dept_id").alias("dept_id"),
-        F.round(100.0 * (1 - F.count(F.lit(1)) / (F.count_distinct("store_id") * days)), 6).alias("zero_pct"),
+        F.round(100.0 * (1 - F.count(F.lit(1)) / (F.count_distinct("store_id") * d.bounds.days)), 6).alias("zero_pct"),
         F.sum("sales").alias("units"),
     )
     return items.orderBy(F.desc("zero_pct"), "item_id").limit(10)

@@ -77,9 +77,8 @@ ALLOWED_TIMINGS = [
 ]
 
 
-def item_mean_demand(facts: DataFrame, bounds: DataFrame) -> DataFrame:
+def item_mean_demand(facts: DataFrame, days: int) -> DataFrame:
     """Mean daily units per item over its stores and the whole calendar, from sparse facts."""
-    days = bounds.select(F.datediff("hi", "lo") + 1).scalar()
     per_series = facts.groupBy(*SERIES).agg(F.sum("sales").alias("units"))
     return per_series.groupBy("item_id").agg(
         ratio(F.sum("units"), F.count(F.lit(1)) * days).alias("mean_daily_demand")
@@ -138,39 +137,81 @@ def calendar_features(df: DataFrame) -> DataFrame:
     })
 
 
-def _gated(aggregate: Column, n: int) -> Column:
-    """Aggregate over t-n..t-1, null until the frame is full."""
-    frame = by_date().rowsBetween(-n, -1)
-    return F.when(F.count(F.lit(1)).over(frame) == n, aggregate.over(frame))
+def _totals(df: DataFrame) -> DataFrame:
+    """Running integer totals per series: units, squared units, zero days, rows, last sale."""
+    so_far = by_date().rowsBetween(W.unboundedPreceding, W.currentRow)
+    sales = F.col("sales").cast("bigint")
+    return df.withColumns({
+        "_units": F.sum(sales).over(so_far),
+        "_squares": F.sum(sales * sales).over(so_far),
+        "_zeros": F.sum(F.when(sales == 0, 1).otherwise(0)).over(so_far),
+        "_rows": F.row_number().over(by_date()),
+        "_last_sale": F.max(F.when(sales > 0, F.col("date"))).over(so_far),
+    })
+
+
+TOTALS = ["_units", "_squares", "_zeros", "_rows", "_last_sale"]
+
+
+def _past(total: str, n: int) -> Column:
+    """Total over t-n..t-1 as a difference of two running totals, null until n rows exist.
+
+    One subtraction per row instead of re-aggregating a sliding frame; the totals are
+    integers, so nothing is lost to cancellation.
+    """
+    before = F.coalesce(F.lag(total, n + 1).over(by_date()), F.lit(0))
+    return F.when(F.col("_rows") > n, F.lag(total, 1).over(by_date()) - before)
+
+
+def lag_columns() -> dict[str, Column]:
+    return {f"sales_lag_{n}": F.lag("sales", n).over(by_date()) for n in LAGS}
+
+
+def mean_columns() -> dict[str, Column]:
+    return {f"sales_roll_mean_{n}": _past("_units", n) / n for n in MEAN_WINDOWS}
+
+
+def std_columns() -> dict[str, Column]:
+    def deviation(n: int) -> Column:
+        units, squares = _past("_units", n), _past("_squares", n)
+        return F.sqrt((squares * n - units * units) / (n * (n - 1)))
+
+    return {f"sales_roll_std_{n}": deviation(n) for n in SPREAD_WINDOWS}
+
+
+def zero_columns() -> dict[str, Column]:
+    return {f"zero_rate_{n}": _past("_zeros", n) / n for n in SPREAD_WINDOWS}
+
+
+def recency_columns() -> dict[str, Column]:
+    return {"days_since_last_positive_sale": F.datediff("date", F.lag("_last_sale", 1).over(by_date()))}
 
 
 def sales_lags(df: DataFrame) -> DataFrame:
-    return df.withColumns({f"sales_lag_{n}": F.lag("sales", n).over(by_date()) for n in LAGS})
+    return df.withColumns(lag_columns())
 
 
 def rolling_means(df: DataFrame) -> DataFrame:
-    return df.withColumns({f"sales_roll_mean_{n}": _gated(F.avg("sales"), n) for n in MEAN_WINDOWS})
+    return _totals(df).withColumns(mean_columns()).drop(*TOTALS)
 
 
 def rolling_stds(df: DataFrame) -> DataFrame:
-    return df.withColumns({f"sales_roll_std_{n}": _gated(F.stddev_samp("sales"), n) for n in SPREAD_WINDOWS})
+    return _totals(df).withColumns(std_columns()).drop(*TOTALS)
 
 
 def zero_rates(df: DataFrame) -> DataFrame:
-    is_zero = F.when(F.col("sales") == 0, 1.0).otherwise(0.0)
-    return df.withColumns({f"zero_rate_{n}": _gated(F.avg(is_zero), n) for n in SPREAD_WINDOWS})
+    return _totals(df).withColumns(zero_columns()).drop(*TOTALS)
 
 
 def days_since_positive(df: DataFrame) -> DataFrame:
-    before = by_date().rowsBetween(W.unboundedPreceding, -1)
-    last_positive = F.max(F.when(F.col("sales") > 0, F.col("date"))).over(before)
-    return df.withColumn("days_since_last_positive_sale", F.datediff("date", last_positive))
+    return _totals(df).withColumns(recency_columns()).drop(*TOTALS)
 
 
 def demand_history(df: DataFrame) -> DataFrame:
-    for step in (sales_lags, rolling_means, rolling_stds, zero_rates, days_since_positive):
-        df = step(df)
-    return df
+    """All twelve history features from one pair of window passes."""
+    return _totals(df).withColumns(
+        {**lag_columns(), **mean_columns(), **std_columns(), **zero_columns(), **recency_columns()}
+    ).drop(*TOTALS)
 
 
 def weekly_price_table(active: DataFrame) -> DataFrame:
@@ -225,9 +266,13 @@ def readiness() -> Column:
 
 
 def feature_table(panel: DataFrame, bands: DataFrame) -> DataFrame:
-    """Active panel with all features in manifest order."""
+    """Active panel with all features in manifest order.
+
+    ``bands`` has one row per series, so this join keeps the panel's series partitioning:
+    only the small side moves.
+    """
     built = lagged_price_features(demand_history(calendar_features(active_period(panel))))
-    banded = built.join(bands.select("item_id", "demand_band"), "item_id", "left")
+    banded = built.join(bands.select(*SERIES, "demand_band"), SERIES, "left")
     return (
         banded.withColumnRenamed("sell_price", "known_future_sell_price")
         .withColumn("is_feature_ready", readiness())

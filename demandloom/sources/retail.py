@@ -7,7 +7,10 @@ length of the calendar, however skewed the line items are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime as dt
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -87,14 +90,28 @@ def store_item_sales(
     return joined.groupBy(*keys).agg(F.sum("sales").alias("sales"), F.sum("cents").alias("cents"))
 
 
-def date_bounds(lineitem: DataFrame) -> DataFrame:
-    """First and last day of the calendar; a one-column min/max scan."""
-    return lineitem.agg(F.to_date(F.min("l_shipdate")).alias("lo"), F.to_date(F.max("l_shipdate")).alias("hi"))
+class Bounds(NamedTuple):
+    lo: dt.date
+    hi: dt.date
+
+    @property
+    def days(self) -> int:
+        return (self.hi - self.lo).days + 1
+
+
+def date_bounds(lineitem: DataFrame) -> Bounds:
+    """First and last day of the calendar: one row of a one-column min/max scan.
+
+    As literals they reach scans and partition filters, which a subquery would not.
+    """
+    row = lineitem.agg(F.to_date(F.min("l_shipdate")).alias("lo"), F.to_date(F.max("l_shipdate")).alias("hi")).first()
+    return Bounds(row.lo, row.hi)
 
 
-def calendar(bounds: DataFrame) -> DataFrame:
+def calendar(spark: SparkSession, bounds: Bounds) -> DataFrame:
     """One row per day. Its size is the number of days, never the number of facts."""
-    days = bounds.select("lo", F.explode(F.sequence("lo", "hi")).alias("date"))
+    lo, hi = F.lit(bounds.lo), F.lit(bounds.hi)
+    days = spark.range(1).select(F.explode(F.sequence(lo, hi)).alias("date"))
     month_day = F.date_format("date", "MM-dd")
 
     def slot(events: dict, position: int) -> Column:
@@ -103,7 +120,7 @@ def calendar(bounds: DataFrame) -> DataFrame:
     day = F.dayofmonth("date")
     return days.select(
         "date",
-        F.concat(F.lit("d_"), (F.datediff("date", "lo") + 1).cast("string")).alias("d"),
+        F.concat(F.lit("d_"), (F.datediff("date", lo) + 1).cast("string")).alias("d"),
         F.date_trunc("week", "date").cast("date").alias("week_start"),
         F.date_format("date", "EEEE").alias("weekday"),
         F.month("date").alias("month"),
@@ -112,7 +129,7 @@ def calendar(bounds: DataFrame) -> DataFrame:
         slot(EVENTS_1, 1).alias("event_type_1"),
         slot(EVENTS_2, 0).alias("event_name_2"),
         slot(EVENTS_2, 1).alias("event_type_2"),
-        *[day.between(lo, hi).cast("int").alias(name) for name, (lo, hi) in SNAP_DAYS.items()],
+        *[day.between(first, last).cast("int").alias(name) for name, (first, last) in SNAP_DAYS.items()],
     )
 
 
@@ -134,14 +151,27 @@ def weekly_prices(facts: DataFrame) -> DataFrame:
     )
 
 
-def dense_daily(facts: DataFrame, bounds: DataFrame) -> DataFrame:
+def by_series(df: DataFrame) -> DataFrame:
+    """Hash-partition by series with a fixed partition count.
+
+    The rows multiply after this exchange (zero runs, windows), so the adaptive planner,
+    which only sees the small sparse input, must not merge its partitions.
+    """
+    context = df.sparkSession.sparkContext
+    local = context.master.startswith("local")
+    partitions = context.defaultParallelism if local else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *SERIES)
+
+
+def dense_daily(facts: DataFrame, bounds: Bounds) -> DataFrame:
     """Fill the gaps of every series with zero-sales rows.
 
     Each sold day emits itself and the zero run up to the next sold day, so no join with
     a date spine is needed and the rows stay hash-partitioned by series for later windows.
     """
     series = W.partitionBy(*SERIES).orderBy("date")
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
+    facts = by_series(facts)
+    lo, hi = F.lit(bounds.lo), F.lit(bounds.hi)
     runs = (
         facts.withColumn("next_date", F.lead("date").over(series))
         .withColumn("is_first", F.row_number().over(series) == 1)
@@ -167,9 +197,9 @@ def hierarchy(df: DataFrame) -> DataFrame:
     )
 
 
-def daily_panel(facts: DataFrame, bounds: DataFrame) -> DataFrame:
+def daily_panel(facts: DataFrame, bounds: Bounds) -> DataFrame:
     """Gap-free store-item-day panel with calendar, price and hierarchy columns."""
-    days = F.broadcast(calendar(bounds))
+    days = F.broadcast(calendar(facts.sparkSession, bounds))
     week = W.partitionBy(*SERIES, "week_start")
     priced = (
         dense_daily(facts, bounds)

@@ -16,9 +16,18 @@ def table_path(folder: str, name: str) -> str:
     return os.path.join(folder, f"{name}.parquet")
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def read_table(spark: SparkSession, folder: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Parquet scan; the column list makes the pruning visible at the call."""
-    df = spark.read.parquet(table_path(folder, name))
+    """Parquet scan; the column list makes the pruning visible at the call.
+
+    The schema is taken from the footer once per path, so later scans plan without a job.
+    """
+    path = table_path(folder, name)
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
     return df.select(*columns) if columns else df
 
 
