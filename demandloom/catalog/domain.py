@@ -13,7 +13,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from demandloom.operators import features
+from demandloom.operators import features, forecast
 from demandloom.sources import retail
 from demandloom.sources.parameters import SERIES
 from demandloom.sources.sinks import scratch_path
@@ -106,3 +106,9 @@ class Retail:
     @cached_property
     def all_folds(self) -> DataFrame:
         return retail.folds(self.spark.range(1), locked=True)
+
+    @cached_property
+    def predictions(self) -> DataFrame:
+        return self.stage(
+            "predictions", lambda: forecast.fold_predictions(self.active.join(self.series_bands, SERIES))
+        )
