@@ -4,5 +4,6 @@ from demandloom.catalog.registry import ORACLES, QUERIES  # noqa: F401
 from demandloom.catalog import (  # noqa: F401
     q_features,
     q_forecast,
+    q_inventory,
     q_panel,
 )

@@ -13,11 +13,11 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from demandloom.operators import features, forecast
+from demandloom.operators import features, forecast, inventory
 from demandloom.sources import retail
-from demandloom.sources.parameters import SERIES
+from demandloom.sources.parameters import LOCKED, SERIES
 from demandloom.sources.sinks import scratch_path
-from demandloom.sources.tables import read_table
+from demandloom.sources.tables import read_table, through_date
 
 _STAGED: dict[tuple[str, str, str], tuple] = {}
 
@@ -112,3 +112,20 @@ class Retail:
         return self.stage(
             "predictions", lambda: forecast.fold_predictions(self.active.join(self.series_bands, SERIES))
         )
+
+    @cached_property
+    def deployed(self) -> DataFrame:
+        """Recursive mean forecast from the end of the locked window."""
+        return forecast.deployment_forecast(forecast.last_values(through_date(self.active, LOCKED[2])))
+
+    @cached_property
+    def state(self) -> DataFrame:
+        return retail.inventory_state(self.series)
+
+    @cached_property
+    def decision_inputs(self) -> DataFrame:
+        return inventory.decision_inputs(self.deployed, self.state, inventory.calibrate(self.predictions))
+
+    @cached_property
+    def recommendations(self) -> DataFrame:
+        return self.stage("recommendations", lambda: inventory.recommend(self.decision_inputs))

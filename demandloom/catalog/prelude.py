@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
+from demandloom.functions.normal import CDF_DENOMINATOR, CDF_NUMERATOR
 from demandloom.sources import parameters as P
 
 
@@ -36,6 +39,26 @@ def _pick(choices: list, salt: str) -> str:
     return f"list_extract([{', '.join(str(c) for c in choices)}], CAST({_hash(salt)} % {len(choices)} + 1 AS INTEGER))"
 
 
+NORMAL_QUANTILES = {level: NormalDist().inv_cdf(level) for level in P.SERVICE_LEVEL_CHOICES}
+
+
+def _case_num(mapping: dict, key: str) -> str:
+    arms = " ".join(f"WHEN {key} = {k} THEN {v!r}::DOUBLE" for k, v in mapping.items())
+    return f"CASE {arms} END"
+
+
+def _horner(x: str, coefficients: list[float]) -> str:
+    text = f"{coefficients[0]!r}::DOUBLE"
+    for coefficient in coefficients[1:]:
+        text = f"({text} * {x} + {coefficient!r}::DOUBLE)"
+    return text
+
+
+def _normal_cdf(x: str) -> str:
+    near = f"exp(-{x} * {x} / 2) * {_horner(f'abs({x})', CDF_NUMERATOR)} / {_horner(f'abs({x})', CDF_DENOMINATOR)}"
+    return f"CASE WHEN {x} > 0 THEN 1 - CASE WHEN abs({x}) > 7 THEN 0 ELSE {near} END ELSE CASE WHEN abs({x}) > 7 THEN 0 ELSE {near} END END"
+
+
 _LINES = """FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
     JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 _W = "PARTITION BY store_id, item_id ORDER BY date"
@@ -199,4 +222,87 @@ VIEWS: dict[str, str] = {
     FROM segment_errors
     GROUP BY GROUPING SETS ((fold, model_name, horizon, horizon_days, is_aggregate, segment_type, segment_value),
       (model_name, horizon, horizon_days, is_aggregate, segment_type, segment_value))""",
+    "inv_state": f"""
+    SELECT store_id, item_id, ({_hash("'a'")} % 400)::DOUBLE AS on_hand, ({_hash("'b'")} % 60)::DOUBLE AS on_order, ({_hash("'c'")} % 3)::DOUBLE AS backorders,
+      {_pick(P.LEAD_TIME_CHOICES, "'d'")} AS lead_time_days, {_pick(P.SERVICE_LEVEL_CHOICES, "'e'")}::DOUBLE AS service_level,
+      0.02::DOUBLE AS holding_cost_per_unit_per_day, 5.0::DOUBLE AS stockout_cost_per_unit, 25.0::DOUBLE AS fixed_order_cost
+    FROM series""",
+    "deploy_steps": f"""
+    SELECT store_id, item_id, max(date) AS forecast_origin, 0 AS horizon_day, list(sales::DOUBLE ORDER BY date) AS hist, 0.0::DOUBLE AS forecast
+    FROM active WHERE date > DATE '{P.LOCKED[2]}' - 28 AND date <= DATE '{P.LOCKED[2]}' GROUP BY 1, 2
+    UNION ALL
+    SELECT store_id, item_id, forecast_origin, horizon_day + 1, list_append(hist[2:], list_avg(hist)), list_avg(hist) FROM deploy_steps WHERE horizon_day < 30""",
+    "deployed": """
+    SELECT store_id, item_id, forecast_origin, forecast_origin + horizon_day AS target_date, horizon_day, forecast FROM deploy_steps WHERE horizon_day > 0""",
+    "calibration": """
+    SELECT s.store_id, s.item_id, s.dept_id, demand_band, intermittency_class,
+      CASE WHEN s.n >= 60 AND s.sd > 0 THEN 'item_store' WHEN d.n > 1 AND d.sd > 0 THEN 'department_store' ELSE 'global' END AS calibration_level,
+      CASE WHEN s.n >= 60 AND s.sd > 0 THEN s.n WHEN d.n > 1 AND d.sd > 0 THEN d.n ELSE g.n END AS calibration_count,
+      CASE WHEN s.n >= 60 AND s.sd > 0 THEN s.m WHEN d.n > 1 AND d.sd > 0 THEN d.m ELSE g.m END AS residual_mean,
+      CASE WHEN s.n >= 60 AND s.sd > 0 THEN s.sd WHEN d.n > 1 AND d.sd > 0 THEN d.sd ELSE g.sd END AS sigma_daily,
+      CASE WHEN s.n >= 60 AND s.sd > 0 THEN s.r WHEN d.n > 1 AND d.sd > 0 THEN d.r ELSE g.r END AS residual_rmse
+    FROM (SELECT store_id, item_id, min(dept_id) AS dept_id, min(demand_band) AS demand_band, arg_max(intermittency_class, target_date) AS intermittency_class,
+        count(*) AS n, avg(actual - forecast) AS m, stddev_samp(actual - forecast) AS sd, sqrt(avg(pow(actual - forecast, 2))) AS r
+      FROM predictions WHERE model_name = 'mean_28' GROUP BY 1, 2) s
+    LEFT JOIN (SELECT store_id, dept_id, count(*) AS n, avg(actual - forecast) AS m, stddev_samp(actual - forecast) AS sd, sqrt(avg(pow(actual - forecast, 2))) AS r
+      FROM predictions WHERE model_name = 'mean_28' GROUP BY 1, 2) d ON d.store_id = s.store_id AND d.dept_id = s.dept_id
+    CROSS JOIN (SELECT count(*) AS n, avg(actual - forecast) AS m, stddev_samp(actual - forecast) AS sd, sqrt(avg(pow(actual - forecast, 2))) AS r
+      FROM predictions WHERE model_name = 'mean_28') g""",
+    "inv_base": f"""
+    SELECT *, lead_time_demand + safety_stock AS reorder_point, planning_horizon_demand + safety_stock AS target_stock_level,
+      sigma_daily * sqrt(lead_time_days) AS spread
+    FROM (SELECT c.*, s.* EXCLUDE (store_id, item_id), on_hand + on_order - backorders AS inventory_position, lead_time_days + 7 AS planning_horizon_days,
+        {_case_num(NORMAL_QUANTILES, 'service_level')} * sigma_daily * sqrt(lead_time_days) AS safety_stock, f.* EXCLUDE (fs, fi)
+      FROM calibration c JOIN inv_state s ON s.store_id = c.store_id AND s.item_id = c.item_id
+      JOIN (SELECT d.store_id AS fs, d.item_id AS fi, sum(CASE WHEN horizon_day <= 1 THEN forecast END) AS forecast_1d,
+          sum(CASE WHEN horizon_day <= 7 THEN forecast END) AS forecast_7d, sum(forecast) AS forecast_30d, avg(forecast) AS mean_daily_forecast,
+          sum(CASE WHEN horizon_day <= lead_time_days THEN forecast END) AS lead_time_demand,
+          sum(CASE WHEN horizon_day <= lead_time_days + 7 THEN forecast END) AS planning_horizon_demand
+        FROM deployed d JOIN inv_state i ON i.store_id = d.store_id AND i.item_id = d.item_id GROUP BY 1, 2) f ON fs = c.store_id AND fi = c.item_id)""",
+    "inv_service": f"""
+    SELECT *, CASE WHEN recommended_order_qty_raw <= 0 THEN 'NONE' WHEN priority_score >= 75 THEN 'URGENT' WHEN priority_score >= 50 THEN 'HIGH'
+        WHEN priority_score >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS priority_label
+    FROM (SELECT *, CASE WHEN inventory_position <= 0 THEN 'STOCKOUT' WHEN stockout_risk >= 0.75 THEN 'CRITICAL' WHEN inventory_position <= reorder_point THEN 'REORDER NOW'
+        WHEN days_of_supply < 10 THEN 'LOW' WHEN target_stock_level > 0 AND inventory_position > 1.5 * target_stock_level THEN 'OVERSTOCK' ELSE 'HEALTHY' END AS stock_status,
+      CASE WHEN recommended_order_qty_raw <= 0 THEN 0.0::DOUBLE ELSE 100 * (0.5 * stockout_risk
+        + 0.3 * greatest(reorder_point - inventory_position, 0) / greatest(reorder_point, 1)
+        + 0.2 * greatest(target_stock_level - inventory_position, 0) / greatest(target_stock_level, 1)) END AS priority_score
+    FROM (SELECT *, greatest(0.0, target_stock_level - inventory_position) AS recommended_order_qty_raw,
+        CAST(ceil(greatest(0.0, target_stock_level - inventory_position)) AS BIGINT) AS recommended_order_qty,
+        CASE WHEN mean_daily_forecast > 1e-9 THEN greatest(inventory_position, 0) / mean_daily_forecast END AS days_of_supply,
+        CASE WHEN spread <= 1e-9 THEN CASE WHEN lead_time_demand > inventory_position THEN 1.0 ELSE 0.0 END
+          ELSE 1 - ({_normal_cdf('((inventory_position - lead_time_demand) / spread)')}) END AS stockout_risk
+      FROM inv_base))""",
+    "inv_scenarios": """
+    SELECT store_id, item_id, s AS scenario, sum(greatest(forecast + residual_mean + sigma_daily * sqrt(-2 * ln(u1)) * cos(2 * pi() * u2), 0)) AS demand
+    FROM (SELECT b.store_id, b.item_id, s, forecast, residual_mean, sigma_daily,
+        (CAST('0x' || substr(md5(b.store_id || '/' || b.item_id || '/' || s || '/' || horizon_day), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE AS u1,
+        (CAST('0x' || substr(md5(b.store_id || '/' || b.item_id || '/' || s || '/' || horizon_day), 9, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE AS u2
+      FROM inv_base b JOIN deployed d ON d.store_id = b.store_id AND d.item_id = b.item_id AND horizon_day <= planning_horizon_days
+      CROSS JOIN (SELECT unnest(generate_series(1, 300)) AS s))
+    GROUP BY 1, 2, 3""",
+    "inv_grid": """
+    SELECT store_id, item_id, inventory_position, unnest(list_distinct(list_concat([0::BIGINT, recommended_order_qty],
+      CASE WHEN upper_q + 1 <= 301 THEN generate_series(0::BIGINT, upper_q)
+        ELSE list_transform(generate_series(0, 300), lambda i: CASE WHEN i = 300 THEN upper_q ELSE CAST(ceil(i * (upper_q / 300.0::DOUBLE)) AS BIGINT) END) END))) AS quantity
+    FROM (SELECT v.store_id, v.item_id, inventory_position, recommended_order_qty,
+        CAST(ceil(greatest(recommended_order_qty::DOUBLE, greatest(q - inventory_position, 0)) * 1.1::DOUBLE) AS BIGINT) AS upper_q
+      FROM inv_service v JOIN (SELECT store_id, item_id, quantile_cont(demand, 0.995) AS q FROM inv_scenarios GROUP BY 1, 2) h
+        ON h.store_id = v.store_id AND h.item_id = v.item_id)""",
+    "inv_costs": """
+    SELECT e.*, excess * holding_cost_per_unit_per_day * planning_horizon_days / 2 AS holding_cost, shortage * stockout_cost_per_unit AS shortage_cost,
+      round(excess * holding_cost_per_unit_per_day * planning_horizon_days / 2 + shortage * stockout_cost_per_unit
+        + CASE WHEN quantity > 0 THEN fixed_order_cost ELSE 0 END, 9) AS expected_cost, recommended_order_qty
+    FROM (SELECT g.store_id, g.item_id, quantity, avg(greatest(inventory_position + quantity - demand, 0)) AS excess, avg(greatest(demand - inventory_position - quantity, 0)) AS shortage
+      FROM inv_grid g JOIN inv_scenarios s ON s.store_id = g.store_id AND s.item_id = g.item_id GROUP BY 1, 2, 3) e
+    JOIN inv_service v ON v.store_id = e.store_id AND v.item_id = e.item_id""",
+    "recommendations": """
+    SELECT v.*, c.* EXCLUDE (store_id, item_id), estimated_cost_without_order - estimated_cost_with_recommendation AS estimated_cost_savings
+    FROM inv_service v JOIN (SELECT store_id, item_id, arg_min(quantity, (expected_cost, quantity)) AS cost_optimized_order_qty,
+        min(expected_cost) AS estimated_cost_with_recommendation, max(CASE WHEN quantity = 0 THEN expected_cost END) AS estimated_cost_without_order,
+        max(CASE WHEN quantity = recommended_order_qty THEN expected_cost END) AS estimated_cost_with_service_order,
+        max(CASE WHEN quantity = 0 THEN shortage END) AS expected_shortage_without_order, max(CASE WHEN quantity = 0 THEN excess END) AS expected_excess_without_order,
+        arg_min(shortage, (expected_cost, quantity)) AS expected_shortage_with_recommendation, arg_min(excess, (expected_cost, quantity)) AS expected_excess_with_recommendation,
+        count(*) AS candidate_count, max(quantity) AS candidate_max
+      FROM inv_costs GROUP BY 1, 2) c ON c.store_id = v.store_id AND c.item_id = v.item_id""",
 }

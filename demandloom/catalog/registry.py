@@ -29,11 +29,11 @@ def with_views(sql: str) -> str:
     if not ordered:
         return sql
     body = sql.strip()
-    if body.upper().startswith("WITH RECURSIVE "):
-        return "WITH RECURSIVE " + ",\n".join(ordered) + ",\n" + body[15:]
-    if body.upper().startswith("WITH "):
-        return "WITH " + ",\n".join(ordered) + ",\n" + body[5:]
-    return "WITH " + ",\n".join(ordered) + "\n" + body
+    for prefix in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(prefix):
+            body = ",\n" + body[len(prefix):]
+            break
+    return "WITH RECURSIVE " + ",\n".join(ordered) + "\n" + body
 
 
 def query(name: str, sql: str | None = None):
