@@ -116,7 +116,9 @@ class Retail:
     @cached_property
     def deployed(self) -> DataFrame:
         """Recursive mean forecast from the end of the locked window."""
-        return forecast.deployment_forecast(forecast.last_values(through_date(self.active, LOCKED[2])))
+        return self.stage(
+            "deployed", lambda: forecast.deployment_forecast(forecast.last_values(through_date(self.active, LOCKED[2])))
+        )
 
     @cached_property
     def state(self) -> DataFrame:

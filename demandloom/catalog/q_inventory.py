@@ -112,17 +112,14 @@ def days_of_supply(d):
 
 @query("inv_12_demand_scenarios", "SELECT store_id, item_id, CAST(scenario AS INTEGER) AS scenario, round(demand, 6) AS demand FROM inv_scenarios")
 def demand_scenarios(d):
-    return rounded(iv.demand_scenarios(iv.service_decision(d.decision_inputs), SERIES), ["demand"])
+    return rounded(iv.demand_scenarios(iv.service_decision(d.decision_inputs), SERIES).drop("decision"), ["demand"])
 
 
 COST = ["expected_excess", "expected_shortage", "holding_cost", "shortage_cost", "expected_cost"]
 
 
 def cost_table(d):
-    decisions = iv.service_decision(d.decision_inputs)
-    scenarios = iv.demand_scenarios(decisions, SERIES)
-    candidates = iv.candidate_quantities(decisions, scenarios, SERIES)
-    return iv.candidate_costs(decisions, scenarios, candidates, SERIES)
+    return iv.candidate_costs(iv.with_candidates(iv.demand_scenarios(iv.service_decision(d.decision_inputs), SERIES), SERIES), SERIES)
 
 
 @query("inv_13_expected_cost_of_candidates", """
@@ -134,9 +131,8 @@ def expected_cost_of_candidates(d):
 
 @query("inv_14_candidate_grid", "SELECT store_id, item_id, quantity FROM inv_grid")
 def candidate_grid(d):
-    decisions = iv.service_decision(d.decision_inputs)
-    scenarios = iv.demand_scenarios(decisions, SERIES)
-    return iv.candidate_quantities(decisions, scenarios, SERIES).select(*SERIES, "quantity")
+    prepared = iv.with_candidates(iv.demand_scenarios(iv.service_decision(d.decision_inputs), SERIES), SERIES)
+    return prepared.select(*SERIES, F.explode("quantities").alias("quantity"))
 
 
 CHEAP = ["estimated_cost_without_order", "estimated_cost_with_recommendation", "estimated_cost_with_service_order", "estimated_cost_savings",

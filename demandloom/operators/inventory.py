@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from demandloom.functions.columns import clip, ratio
+from demandloom.functions.columns import all_of, clip, ratio
 from demandloom.functions.normal import normal_cdf, normal_inverse
 from demandloom.operators.forecast import total
-from demandloom.operators.joins import require
 from demandloom.sources.parameters import HORIZON, POLICY, SERIES
+from demandloom.sources.retail import by_series
 
 NEAR_ZERO = 1e-9
 
@@ -156,13 +156,23 @@ def daily_arrays(forecast: DataFrame, *static: str) -> DataFrame:
 
 
 def decision_inputs(forecast: DataFrame, state: DataFrame, calibration: DataFrame) -> DataFrame:
-    """Forecast, stock state and calibration per series; the three key sets must be equal."""
-    joined = daily_arrays(forecast).join(state, SERIES, "full_outer").join(calibration, SERIES, "full_outer")
-    return joined.withColumns({
-        "daily": require("daily", "a series has no forecast"),
-        "on_hand": require("on_hand", "a series has no stock state"),
-        "sigma_daily": require("sigma_daily", "a series has no calibration"),
-    })
+    """Forecast, stock state and calibration per series; the three key sets must be equal.
+
+    The one-row-per-series sources are stacked and grouped by series: one exchange instead
+    of two full outer joins, and a missing or repeated key fails the job.
+    """
+    parts = {"forecast": daily_arrays(forecast), "state": state, "calibration": calibration}
+    stacked = None
+    for name, part in parts.items():
+        tagged = part.select("*", *[F.lit(int(name == other)).alias(f"_{other}") for other in parts])
+        stacked = tagged if stacked is None else stacked.unionByName(tagged, allowMissingColumns=True)
+    values = [c for c in stacked.columns if c not in SERIES and not c.startswith("_")]
+    grouped = by_series(stacked).groupBy(*SERIES).agg(
+        *[F.max(c).alias(c) for c in values], *[F.sum(f"_{name}").alias(f"_{name}") for name in parts]
+    )
+    complete = all_of(F.col(f"_{name}") == 1 for name in parts)
+    fail = F.raise_error(F.lit("forecast, stock state and calibration keys do not match")).cast("boolean")
+    return grouped.where(F.when(complete, True).otherwise(fail)).select(*SERIES, *values)
 
 
 def with_policy(inputs: DataFrame, policy: dict = POLICY) -> DataFrame:
@@ -247,23 +257,30 @@ def scenario_noise(scenario: Column, day: Column) -> Column:
 
 def demand_scenarios(decisions: DataFrame, keys: list[str], count: int = POLICY["scenario_count"]) -> DataFrame:
     """``count`` noisy planning-horizon totals per series; the same draws on every rerun."""
-    rows = decisions.select(
-        *keys, *[c for c in SERIES if c not in keys], "daily", "planning_horizon_days", "residual_mean", "sigma_daily",
-        F.explode(F.sequence(F.lit(1), F.lit(count))).alias("scenario"),
-    )
+    kept = [c for c in decisions.columns if c not in (*keys, "daily")]
+    numbered = decisions.select("*", F.explode(F.sequence(F.lit(1), F.lit(count))).alias("scenario"))
     days = F.sequence(F.lit(1), F.col("planning_horizon_days"))
 
     def add(acc: Column, day: Column) -> Column:
         noise = F.col("residual_mean") + F.col("sigma_daily") * scenario_noise(F.col("scenario"), day)
         return acc + F.greatest(F.element_at("daily", day) + noise, F.lit(0.0))
 
-    return rows.select(*keys, "scenario", F.aggregate(days, F.lit(0.0), add).alias("demand"))
+    decision = F.when(F.col("scenario") == 1, F.struct(*kept)).alias("decision")
+    return numbered.select(*keys, "scenario", F.aggregate(days, F.lit(0.0), add).alias("demand"), decision)
+
 
+def with_candidates(scenarios: DataFrame, keys: list[str], policy: dict = POLICY) -> DataFrame:
+    """One row per key: the scenario totals, the decision columns and the candidate quantities.
 
-def candidate_quantities(decisions: DataFrame, scenarios: DataFrame, keys: list[str], policy: dict = POLICY) -> DataFrame:
-    """Bounded grid 0..upper (at most the policy's points) that always holds 0 and the service order."""
+    Quantities are a bounded grid 0..upper that always holds 0 and the service order.
+    The aggregation reuses the key partitioning, and evaluates each scenario once.
+    """
     points = policy["maximum_candidate_points"]
-    high = scenarios.groupBy(*keys).agg(F.percentile("demand", F.lit(policy["upper_quantile"])).alias("_high"))
+    drawn = scenarios.groupBy(*keys).agg(
+        F.collect_list("demand").alias("demands"),
+        F.percentile("demand", F.lit(policy["upper_quantile"])).alias("_high"),
+        F.max("decision").alias("decision"),
+    ).select(*keys, "demands", "_high", "decision.*")
     need = F.greatest(F.col("_high") - F.col("inventory_position"), F.lit(0.0))
     upper = F.ceil(F.greatest(F.col("recommended_order_qty").cast("double"), need) * policy["upper_buffer"])
     step = F.col("_upper") / F.lit(float(points - 1))
@@ -271,48 +288,52 @@ def candidate_quantities(decisions: DataFrame, scenarios: DataFrame, keys: list[
         F.sequence(F.lit(0), F.lit(points - 1)),
         lambda i: F.when(i == points - 1, F.col("_upper")).otherwise(F.ceil(i * step)),
     )
-    every = F.sequence(F.lit(0).cast("bigint"), F.col("_upper"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.least(F.col("_upper"), F.lit(points)))
     grid = F.when(F.col("_upper") + 1 <= points, every).otherwise(spaced)
     always = F.array(F.lit(0).cast("bigint"), F.col("recommended_order_qty"))
-    return (
-        decisions.join(high, keys)
-        .withColumn("_upper", upper)
-        .select(*keys, "inventory_position", F.explode(F.array_distinct(F.concat(grid, always))).alias("quantity"))
-    )
+    return drawn.withColumn("_upper", upper).withColumn(
+        "quantities", F.array_distinct(F.concat(grid, always))
+    ).drop("_upper", "_high")
+
 
+COST_TERMS = [
+    "planning_horizon_days", "holding_cost_per_unit_per_day", "stockout_cost_per_unit", "fixed_order_cost",
+    "recommended_order_qty",
+]
 
-def candidate_costs(decisions: DataFrame, scenarios: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
+
+def candidate_costs(prepared: DataFrame, keys: list[str], carry: list[str] = ()) -> DataFrame:
     """Expected surplus, shortage and cost of every candidate.
 
     Scenario demands and candidate supplies of a series are swept once in value order:
     running count and sum of the demands below a supply give both expectations, so the
-    candidates x scenarios product is never built.
+    candidates x scenarios product is never built and the rows never leave their partition.
+    ``carry`` columns travel on the zero-quantity row only.
     """
-    supply = candidates.select(
-        *keys, "quantity", (F.col("inventory_position") + F.col("quantity")).alias("level"),
-        F.lit(0).alias("_n"), F.lit(0.0).alias("_demand"),
-    )
-    demand = scenarios.select(
-        *keys, F.lit(None).cast("bigint").alias("quantity"), F.col("demand").alias("level"),
-        F.lit(1).alias("_n"), F.col("demand").alias("_demand"),
-    )
+    nothing = F.lit(None).cast("bigint")
+    supply = F.transform("quantities", lambda q: F.struct(
+        q.alias("quantity"), (F.col("inventory_position") + q).alias("level"), F.lit(0).alias("_n"), F.lit(0.0).alias("_demand")
+    ))
+    demand = F.transform("demands", lambda x: F.struct(
+        nothing.alias("quantity"), x.alias("level"), F.lit(1).alias("_n"), x.alias("_demand")
+    ))
+    rows = prepared.select(*keys, *COST_TERMS, *carry, F.inline_outer(F.concat(supply, demand)))
+    if carry:
+        kept = F.when(F.col("quantity") == 0, F.struct(*carry)).alias("_carried")
+        rows = rows.select(*keys, *COST_TERMS, "quantity", "level", "_n", "_demand", kept)
     series = W.partitionBy(*keys)
     sweep = series.orderBy("level").rangeBetween(W.unboundedPreceding, W.currentRow)
-    swept = supply.unionByName(demand).withColumns({
+    swept = rows.withColumns({
         "_below": F.sum("_n").over(sweep),
         "_below_sum": F.sum("_demand").over(sweep),
         "_all": F.sum("_n").over(series),
         "_all_sum": F.sum("_demand").over(series),
     }).where(F.col("quantity").isNotNull())
-    terms = decisions.select(
-        *keys, "planning_horizon_days", "holding_cost_per_unit_per_day", "stockout_cost_per_unit", "fixed_order_cost",
-        "recommended_order_qty",
-    )
-    priced = swept.select(
-        *keys, "quantity",
-        ((F.col("level") * F.col("_below") - F.col("_below_sum")) / F.col("_all")).alias("expected_excess"),
-        ((F.col("_all_sum") - F.col("_below_sum") - F.col("level") * (F.col("_all") - F.col("_below"))) / F.col("_all")).alias("expected_shortage"),
-    ).join(terms, keys)
+    level, below, below_sum = F.col("level"), F.col("_below"), F.col("_below_sum")
+    priced = swept.withColumns({
+        "expected_excess": (level * below - below_sum) / F.col("_all"),
+        "expected_shortage": (F.col("_all_sum") - below_sum - level * (F.col("_all") - below)) / F.col("_all"),
+    })
     holding = F.col("expected_excess") * F.col("holding_cost_per_unit_per_day") * F.col("planning_horizon_days") / 2
     shortage = F.col("expected_shortage") * F.col("stockout_cost_per_unit")
     fixed = F.when(F.col("quantity") > 0, F.col("fixed_order_cost")).otherwise(0.0)
@@ -327,6 +348,7 @@ def cheapest_orders(costs: DataFrame, keys: list[str]) -> DataFrame:
     best = F.min(F.struct("expected_cost", "quantity", "expected_shortage", "expected_excess"))
     none = F.col("quantity") == 0
     service = F.col("quantity") == F.col("recommended_order_qty")
+    carried = "_carried" in costs.columns
     picked = costs.groupBy(*keys).agg(
         best.alias("_best"),
         F.max(F.when(none, F.col("expected_cost"))).alias("estimated_cost_without_order"),
@@ -335,9 +357,11 @@ def cheapest_orders(costs: DataFrame, keys: list[str]) -> DataFrame:
         F.max(F.when(none, F.col("expected_excess"))).alias("expected_excess_without_order"),
         F.count(F.lit(1)).alias("candidate_count"),
         F.max("quantity").alias("candidate_max"),
+        *([F.max("_carried").alias("_carried")] if carried else []),
     )
     return picked.select(
         *keys,
+        *(["_carried.*"] if carried else []),
         F.col("_best.quantity").alias("cost_optimized_order_qty"),
         "estimated_cost_without_order",
         F.col("_best.expected_cost").alias("estimated_cost_with_recommendation"),
@@ -352,11 +376,10 @@ def cheapest_orders(costs: DataFrame, keys: list[str]) -> DataFrame:
 
 def recommend(inputs: DataFrame, policy: dict = POLICY, keys: list[str] = SERIES) -> DataFrame:
     """Service-level and cost-aware decision for every row of ``inputs`` (one row per key)."""
-    decisions = service_decision(inputs, policy)
-    scenarios = demand_scenarios(decisions, keys, policy["scenario_count"])
-    candidates = candidate_quantities(decisions, scenarios, keys, policy)
-    costs = candidate_costs(decisions, scenarios, candidates, keys)
-    return decisions.join(cheapest_orders(costs, keys), keys).drop("daily")
+    scenarios = demand_scenarios(service_decision(inputs, policy), keys, policy["scenario_count"])
+    prepared = with_candidates(scenarios, keys, policy)
+    kept = [c for c in prepared.columns if c not in (*keys, "demands", "quantities")]
+    return cheapest_orders(candidate_costs(prepared, keys, kept), keys)
 
 
 def what_if(inputs: DataFrame, overrides: dict[str, dict], policy: dict = POLICY) -> DataFrame:
