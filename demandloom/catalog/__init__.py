@@ -6,4 +6,5 @@ from demandloom.catalog import (  # noqa: F401
     q_forecast,
     q_inventory,
     q_panel,
+    q_profile,
 )
