@@ -63,7 +63,10 @@ def observations(panel: DataFrame, prices: DataFrame, weeks: int) -> DataFrame:
         percent(F.count_if(F.col("sales") == 0), F.count(F.lit(1))).alias("zero_pct"), F.count_if(F.col("sales") < 0).alias("negative")
     ).select(F.inline(F.array(
         F.struct(F.lit("zero-heavy demand").alias("observation"), F.lit("expected").alias("classification"), F.col("zero_pct").alias("value")),
-        F.struct(F.lit("negative sales"), label(negative, "potential issue"), negative.cast("double")),
+        F.struct(
+            F.lit("negative sales").alias("observation"), label(negative, "potential issue").alias("classification"),
+            negative.cast("double").alias("value"),
+        ),
     )))
     keys = prices.agg(duplicate_rows(prices, [*SERIES, "week_start"]).alias("duplicated")).select(
         F.lit("duplicate price keys").alias("observation"), label(duplicated, "potential issue").alias("classification"), duplicated.cast("double").alias("value")
