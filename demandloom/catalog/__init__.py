@@ -6,6 +6,7 @@ from demandloom.catalog import (  # noqa: F401
     q_features,
     q_forecast,
     q_inventory,
+    q_learned,
     q_panel,
     q_profile,
     q_serving,
