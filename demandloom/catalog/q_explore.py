@@ -37,7 +37,7 @@ P4 = {"median": 0.5, "p75": 0.75, "p90": 0.9}
     for c in ("prelaunch_days", "price_to_first_sale_lag_days")))
 def prelaunch_distribution(d):
     rows = ex.launch_summary(d.flagged)
-    both = [ex.distribution(rows, c, P4) for c in ("prelaunch_days", "price_to_first_sale_lag_days")]
+    both = [ex.distribution(rows, c, P4, small_domain=True) for c in ("prelaunch_days", "price_to_first_sale_lag_days")]
     return rounded(both[0].unionByName(both[1]), ["mean", *P4]).withColumns({c: F.col(c).cast("bigint") for c in ("minimum", "maximum")})
 
 

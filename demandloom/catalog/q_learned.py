@@ -54,7 +54,7 @@ def standard_scaling(d):
 @query("ml_06_median_imputation", f"WITH {TRAIN} SELECT fold, quantile_cont(sales_lag_1::DOUBLE, 0.5) AS sales_lag_1, quantile_cont(product_age_days::DOUBLE, 0.5) AS product_age_days FROM t GROUP BY 1")
 def median_imputation(d):
     rows = fo.training_rows(d.features)
-    return quantiles(rows, "sales_lag_1", {"sales_lag_1": 0.5}, ["fold"]).join(quantiles(rows, "product_age_days", {"product_age_days": 0.5}, ["fold"]), "fold")
+    return quantiles(rows, "sales_lag_1", {"sales_lag_1": 0.5}, ["fold"], small_domain=True).join(quantiles(rows, "product_age_days", {"product_age_days": 0.5}, ["fold"], small_domain=True), "fold")
 
 
 @query("ml_07_ridge_coefficients")

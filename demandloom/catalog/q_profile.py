@@ -177,7 +177,7 @@ def price_grid_coverage(d):
 SELECT store_id, quantile_cont(n, 0.5) AS median_weeks FROM (SELECT store_id, item_id, count(DISTINCT week_start)::DOUBLE AS n FROM ip GROUP BY 1, 2) GROUP BY 1""")
 def median_weeks_per_item(d):
     weeks = item_prices(d).groupBy(*SERIES).agg(F.count_distinct("week_start").alias("n"))
-    return quantiles(weeks, "n", {"median_weeks": 0.5}, ["store_id"])
+    return quantiles(weeks, "n", {"median_weeks": 0.5}, ["store_id"], small_domain=True)
 
 
 @query("agg_11_distinct_prices_per_item", ctes(IP) + """
@@ -185,7 +185,7 @@ SELECT min(n) AS min_prices, quantile_cont(n::DOUBLE, 0.5) AS median_prices, rou
 FROM (SELECT item_id, count(DISTINCT sell_price) AS n FROM ip GROUP BY 1)""")
 def distinct_prices_per_item(d):
     per_item = item_prices(d).groupBy("item_id").agg(F.count_distinct("sell_price").alias("n"))
-    median = quantiles(per_item, "n", {"m": 0.5}).select("m").scalar()
+    median = quantiles(per_item, "n", {"m": 0.5}, small_domain=True).select("m").scalar()
     rows = per_item.agg(F.min("n").alias("min_prices"), F.avg("n").alias("mean_prices"), F.max("n").alias("max_prices"),
                         count_if(F.col("n") > 1).alias("items_with_changes")).withColumn("median_prices", median)
     return rounded(rows, ["mean_prices"])

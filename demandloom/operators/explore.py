@@ -31,9 +31,9 @@ def launch_summary(flagged: DataFrame) -> DataFrame:
     })
 
 
-def distribution(df: DataFrame, value: str, probabilities: dict[str, float]) -> DataFrame:
+def distribution(df: DataFrame, value: str, probabilities: dict[str, float], *, small_domain: bool = False) -> DataFrame:
     """min, mean, max and exact quantiles of one column as one row."""
-    cuts = quantiles(df, value, probabilities)
+    cuts = quantiles(df, value, probabilities, small_domain=small_domain)
     ends = df.agg(F.min(value).alias("minimum"), F.avg(value).alias("mean"), F.max(value).alias("maximum"))
     return ends.select(F.lit(value).alias("measure"), "*", *[cuts.select(n).scalar().alias(n) for n in probabilities])
 
@@ -45,7 +45,8 @@ def corrected_skewness(value: Column) -> Column:
 
 
 def describe(df: DataFrame, value: str, probabilities: dict[str, float]) -> DataFrame:
-    cuts = quantiles(df, value, probabilities)
+    """Description of daily units (few distinct values)."""
+    cuts = quantiles(df, value, probabilities, small_domain=True)
     top = cuts.select("p999").scalar()
     v = F.col(value)
     rows = df.agg(
@@ -90,7 +91,7 @@ def group_demand(flagged: DataFrame, series: DataFrame, column: str) -> DataFram
         percent(count_if(active & (sales == 0)), count_if(active)).alias("active_zero_pct"),
         F.count_distinct("item_id").alias("products"),
     )
-    medians = quantiles(flagged, "sales", {"median_sales": 0.5}, [column])
+    medians = quantiles(flagged, "sales", {"median_sales": 0.5}, [column], small_domain=True)
     interval = quantiles(series, "average_demand_interval", {"median_series_adi": 0.5}, [column])
     total = flagged.agg(F.sum("sales")).scalar()
     return (
@@ -105,7 +106,7 @@ def comparison(df: DataFrame, *keys: str) -> DataFrame:
         F.count(F.lit(1)).alias("observations"), F.sum("sales").alias("total_sales"), F.avg("sales").alias("mean_sales"),
         percent(count_if(F.col("sales") == 0), F.count(F.lit(1))).alias("zero_pct"),
     )
-    return rows.join(quantiles(df, "sales", {"median_sales": 0.5}, list(keys)), list(keys))
+    return rows.join(quantiles(df, "sales", {"median_sales": 0.5}, list(keys), small_domain=True), list(keys))
 
 
 def daily_totals(panel: DataFrame) -> DataFrame:
@@ -203,7 +204,7 @@ def price_demand_correlation(joined: DataFrame, weeks: int = 20, prices: int = 2
 def outliers(active: DataFrame) -> DataFrame:
     """High quantiles of active sales, rows above p99.9 and their share on event days."""
     probabilities = {"p99": 0.99, "p999": 0.999, "p9999": 0.9999}
-    cuts = quantiles(active, "sales", probabilities)
+    cuts = quantiles(active, "sales", probabilities, small_domain=True)
     extreme = F.col("sales") > cuts.select("p999").scalar()
     event = F.col("event_name_1").isNotNull() | F.col("event_name_2").isNotNull()
     rows = active.agg(

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from demandloom.functions.columns import intermittency_class
+from demandloom.functions.quantiles import quantiles
 from demandloom.operators.folds import fold_array
 from demandloom.operators.joins import checked_join, require
 from demandloom.sources.parameters import CROSTON_ALPHA, FOLDS, HORIZON, LOCKED, SERIES
@@ -240,8 +241,7 @@ def middle_row(df: DataFrame, value: str, ties: list[str]) -> DataFrame:
     The median value narrows the candidates to its neighbourhood first, so only rows tied
     with it are ordered.
     """
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    middle = counts.agg(F.percentile(value, F.lit(0.5), F.col("_n"))).scalar()
+    middle = quantiles(df, value, {"middle": 0.5}).scalar()
     upper = df.where(F.col(value) >= middle).agg(F.min(value)).scalar()
     below = df.agg(F.count_if(F.col(value) < upper)).scalar()
     rows = df.agg(F.count(F.lit(1))).scalar()

@@ -35,8 +35,8 @@ RECURSIVE = [
     "sales_roll_mean_7", "sales_roll_mean_14", "sales_roll_mean_28", "sales_roll_std_7", "sales_roll_std_28",
 ]
 TREE_CONFIGS = {
-    "boosted_shallow": {"maxIter": 8, "maxDepth": 3, "stepSize": 0.2, "subsamplingRate": 1.0},
-    "boosted_deep": {"maxIter": 6, "maxDepth": 5, "stepSize": 0.2, "subsamplingRate": 0.9},
+    "boosted_shallow": {"maxIter": 6, "maxDepth": 3, "stepSize": 0.2, "subsamplingRate": 1.0},
+    "boosted_deep": {"maxIter": 4, "maxDepth": 4, "stepSize": 0.2, "subsamplingRate": 0.9},
 }
 
 
@@ -195,17 +195,18 @@ def recursive_trees(trees: Trees, states: DataFrame, context: DataFrame, *, hori
     known = trees.encoder.transform(model_frame(context, recursive=False)).select(*SERIES, "date", vector_to_array("known").alias("known"))
     days = known.groupBy(*SERIES).agg(F.sort_array(F.collect_list(F.struct("date", "known"))).alias("days"))
     rows = states.select(*SERIES, "state").join(days, SERIES).withColumn("raw", F.array().cast("array<double>"))
+    # the step's columns refer to the state by name, so they are built once
+    demand = [column.alias(name) for name, column in demand_state_features(F.col("state")).items()]
+    assembler = VectorAssembler(inputCols=["known", *RECURSIVE], outputCol="predictors")
+    advanced = [
+        *SERIES, "days",
+        F.slice(F.concat("state", F.array(F.greatest("prediction", F.lit(0.0)))), 2, 28).alias("state"),
+        F.concat("raw", F.array("prediction")).alias("raw"),
+    ]
     for step in range(1, horizon + 1):
-        inputs = rows.withColumns({
-            **demand_state_features(F.col("state")),
-            "known": array_to_vector(F.element_at("days", step)["known"]),
-        })
-        scored = trees.regressor.transform(assemble(inputs))
-        rows = scored.select(
-            *SERIES, "days",
-            F.slice(F.concat("state", F.array(F.greatest("prediction", F.lit(0.0)))), 2, 28).alias("state"),
-            F.concat("raw", F.array("prediction")).alias("raw"),
-        )
+        known_today = array_to_vector(F.element_at("days", step)["known"]).alias("known")
+        inputs = rows.select(*SERIES, "days", "state", "raw", known_today, *demand)
+        rows = trees.regressor.transform(assembler.transform(inputs)).select(*advanced)
         if step % every == 0 and step < horizon:
             rows = cut_lineage(rows)
     steps = rows.select(*SERIES, F.posexplode(F.arrays_zip(F.col("days.date").alias("d"), F.col("raw").alias("r"))).alias("p", "z"))

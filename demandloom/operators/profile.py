@@ -7,6 +7,7 @@ items x stores x days is never materialised.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -129,8 +130,6 @@ def grid_coverage(prices: DataFrame, by: Sequence[str], weeks: int) -> DataFrame
 
 
 def calendar_weeks(bounds: Bounds) -> int:
-    from datetime import timedelta
-
     first = bounds.lo - timedelta(days=bounds.lo.weekday())
     return (bounds.hi - first).days // 7 + 1
 
@@ -201,20 +200,14 @@ def quota_availability(banded: DataFrame, quotas: Mapping[str, int] = QUOTAS, *,
 def quota_sample(banded: DataFrame, quotas: Mapping[str, int] = QUOTAS, seed: int = 42) -> DataFrame:
     """Exactly the quota per department x band, in hash order of (seed, item): order-independent.
 
-    The smallest hashes of a cell are found by a top-k heap before the exact numbering, so a
-    huge cell is cut down inside its own partitions first.
+    The largest quota is a literal limit on the numbering, so Spark's window group limit
+    drops all but that many rows of a cell in every input partition, before the exchange.
     """
     draw = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("item_id").cast("string")))
     quota = F.element_at(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv]), F.col("demand_band"))
-    salted = banded.withColumn("_draw", draw).withColumn("_salt", F.pmod(F.xxhash64("item_id"), F.lit(64)))
-
-    def keep_first(df: DataFrame, *keys: str) -> DataFrame:
-        order = W.partitionBy(*keys).orderBy("_draw", "item_id")
-        return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= quota).drop("_n")
-
-    # Each salted slice keeps its own quota of smallest hashes: the cell's answer is among them.
-    sliced = keep_first(salted, "dept_id", "demand_band", "_salt")
-    return keep_first(sliced, "dept_id", "demand_band").drop("_draw", "_salt")
+    order = W.partitionBy("dept_id", "demand_band").orderBy("_draw", "item_id")
+    numbered = banded.withColumn("_draw", draw).withColumn("_n", F.row_number().over(order))
+    return numbered.where(F.col("_n") <= max(quotas.values())).where(F.col("_n") <= quota).drop("_draw", "_n")
 
 
 def product_screen(series: DataFrame, prices: DataFrame, stores: Sequence[str], bounds: Bounds, *, early: int, zero_pct: float, weeks_pct: float) -> DataFrame:

@@ -47,11 +47,12 @@ def test_quantiles_match_the_builtin(spark):
     df = spark.createDataFrame(rows, "g int, v double")
     probabilities = {"p0": 0.0, "p33": 1 / 3, "p50": 0.5, "p999": 0.999, "p100": 1.0}
     want = {r.g: r for r in df.groupBy("g").agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in probabilities.items()]).collect()}
-    for row in quantiles(df, "v", probabilities, ["g"]).collect():
-        for name in probabilities:
-            assert row[name] == pytest.approx(want[row.g][name], rel=1e-12)
     whole = df.agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in probabilities.items()]).first()
-    assert quantiles(df, "v", probabilities).first().asDict() == pytest.approx(whole.asDict(), rel=1e-12)
+    for limit in (10_000, 0):  # direct, then zooming
+        for row in quantiles(df, "v", probabilities, ["g"], limit=limit).collect():
+            for name in probabilities:
+                assert row[name] == pytest.approx(want[row.g][name], rel=1e-12)
+        assert quantiles(df, "v", probabilities, limit=limit).first().asDict() == pytest.approx(whole.asDict(), rel=1e-12)
 
 
 def banded(spark):
