@@ -284,6 +284,7 @@ def key_coverage(d):
 SELECT p_type, count(*) AS parts FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-06-01') GROUP BY 1""")
 def unmatched_parts(d):
     sold = d.table("lineitem", "l_partkey", "l_shipdate").where(F.col("l_shipdate") >= F.lit("2001-06-01").cast("timestamp_ntz"))
+    sold = sold.select("l_partkey").distinct()  # a hot part becomes one row before the exchange
     unsold = d.table("part", "p_partkey", "p_type").join(sold, F.col("p_partkey") == F.col("l_partkey"), "left_anti")
     return unsold.groupBy("p_type").agg(F.count(F.lit(1)).alias("parts"))
 
