@@ -252,7 +252,7 @@ def pivot_fold_by_model(d):
 
 
 PRIMARY = "SELECT *, abs(bias) AS absolute_bias FROM metrics WHERE fold = 'combined' AND horizon = 'days_1_30_daily' AND segment_type = 'overall'"
-LONG = " UNION ALL ".join(f"SELECT model_name, '{m}' AS metric, {m} AS value FROM p" for m in rk.RANKED)
+LONG = " UNION ALL ".join(f"SELECT model_name, '{m}' AS metric, round({m}::DOUBLE, 9) AS value FROM p" for m in rk.RANKED)
 
 
 @query("win_16_competition_rank", f"""
@@ -271,7 +271,7 @@ def baseline_ranking(d):
 
 
 @query("met_06_best_by_metric", f"""
-WITH p AS ({PRIMARY}) SELECT metric, arg_min(model_name, value) AS model_name, round(min(value), 6) AS value FROM ({LONG}) GROUP BY 1""")
+WITH p AS ({PRIMARY}) SELECT metric, arg_min(model_name, (value, model_name)) AS model_name, round(min(value), 6) AS value FROM ({LONG}) GROUP BY 1""")
 def best_by_metric(d):
     return rounded(rk.best_by_metric(mt.metrics(d.predictions)), ["value"])
 
@@ -282,10 +282,10 @@ def _weights(table: dict) -> str:
 
 COMPONENTS = f"""
 WITH o AS (SELECT *, abs(bias) AS absolute_bias FROM metrics WHERE fold = 'combined' AND segment_type = 'overall'),
-h AS ({' UNION ALL '.join(f"SELECT model_name, horizon, '{m}' AS metric, {m} AS value FROM o" for m in rk.RANKED)}),
+h AS ({' UNION ALL '.join(f"SELECT model_name, horizon, '{m}' AS metric, round({m}::DOUBLE, 9) AS value FROM o" for m in rk.RANKED)}),
 f AS (SELECT * FROM metrics WHERE fold <> 'combined' AND segment_type = 'overall' AND horizon = 'days_1_30_daily'),
-g AS (SELECT model_name, fold, 'mae' AS metric, mae AS value FROM f UNION ALL SELECT model_name, fold, 'rmsse', rmsse FROM f),
-s AS (SELECT model_name, stddev_samp(mae) AS value FROM f GROUP BY 1),
+g AS (SELECT model_name, fold, 'mae' AS metric, round(mae, 9) AS value FROM f UNION ALL SELECT model_name, fold, 'rmsse', round(rmsse, 9) FROM f),
+s AS (SELECT model_name, round(stddev_samp(mae), 9) AS value FROM f GROUP BY 1),
 c AS (
   SELECT model_name, 'combined:' || h.horizon || ':' || h.metric AS component,
     rank() OVER (PARTITION BY h.horizon, h.metric ORDER BY value) + (count(*) OVER (PARTITION BY h.horizon, h.metric, value) - 1) / 2 AS rank, hw.w * mw.w AS weight
@@ -306,7 +306,7 @@ RANKING = ["total_weight", "balanced_rank_score", "days_1_30_mae", "days_1_30_rm
 
 @query("met_07_weighted_balanced_ranking", COMPONENTS + f"""
 , r AS (SELECT model_name, sum(weight) AS total_weight, count(*) AS comparison_components, sum(rank * weight) / sum(weight) AS balanced_rank_score FROM c GROUP BY 1)
-SELECT r.model_name, comparison_components, CAST(rank() OVER (ORDER BY round(balanced_rank_score::DOUBLE, 12)) AS INTEGER) AS selection_rank, {sql_round(RANKING)}
+SELECT r.model_name, comparison_components, CAST(rank() OVER (ORDER BY round(balanced_rank_score::DOUBLE, 9)) AS INTEGER) AS selection_rank, {sql_round(RANKING)}
 FROM r JOIN (SELECT model_name AS m, mae AS days_1_30_mae, rmsse AS days_1_30_rmsse FROM o WHERE horizon = 'days_1_30_daily') ON m = model_name
 JOIN (SELECT model_name AS n, avg(mae) AS fold_mae_mean, stddev_samp(mae) AS fold_mae_std FROM f GROUP BY 1) ON n = model_name""")
 def weighted_balanced_ranking(d):
@@ -365,7 +365,7 @@ def fold_stability(d):
 
 
 @query("met_10_zero_baseline_gap", f"""
-WITH p AS ({PRIMARY}), b AS (SELECT arg_min(model_name, mae) AS best_model, min(mae) AS best_mae FROM p WHERE model_name <> 'zero')
+WITH p AS ({PRIMARY}), b AS (SELECT arg_min(model_name, (round(mae, 9), model_name)) AS best_model, min(mae) AS best_mae FROM p WHERE model_name <> 'zero')
 SELECT round(p.mae, 6) AS zero_mae, best_model, round(best_mae, 6) AS best_mae, round(100 * (p.mae - best_mae) / p.mae, 6) AS improvement_pct
 FROM p, b WHERE p.model_name = 'zero'""")
 def zero_baseline_gap(d):
@@ -373,11 +373,11 @@ def zero_baseline_gap(d):
 
 
 @query("met_11_croston_by_class", """
-WITH m AS (SELECT *, rank() OVER (PARTITION BY segment_value ORDER BY mae) AS mae_rank FROM metrics
+WITH m AS (SELECT *, rank() OVER (PARTITION BY segment_value ORDER BY round(mae, 9)) AS mae_rank FROM metrics
   WHERE fold = 'combined' AND horizon = 'days_1_30_daily' AND segment_type = 'intermittency_class')
 SELECT c.segment_value AS intermittency_class, round(c.mae, 6) AS mae, round(c.wape, 6) AS wape, round(c.rmsse, 6) AS rmsse,
   CAST(c.mae_rank AS INTEGER) AS mae_rank, best_model, round(best_mae, 6) AS best_mae
-FROM m c JOIN (SELECT segment_value, arg_min(model_name, mae) AS best_model, min(mae) AS best_mae FROM m GROUP BY 1) b USING (segment_value)
+FROM m c JOIN (SELECT segment_value, arg_min(model_name, (round(mae, 9), model_name)) AS best_model, min(mae) AS best_mae FROM m GROUP BY 1) b USING (segment_value)
 WHERE c.model_name = 'croston_sba'""")
 def croston_by_class(d):
     return rounded(rk.model_by_class(mt.metrics(d.predictions)), ["mae", "wape", "rmsse", "best_mae"])

@@ -28,8 +28,14 @@ def rank_average(partition: list[str], value: str) -> Column:
     return rank_min(partition, value) + (ties - 1) / 2
 
 
+def steady(value: str) -> Column:
+    """Metric rounded before ranking: equal metrics tie whatever the order of their sums."""
+    return F.round(value, 9)
+
+
 def long_metrics(cube: DataFrame, keys: list[str], names: list[str] = RANKED) -> DataFrame:
-    return cube.withColumn("absolute_bias", F.abs("bias")).unpivot(keys, names, "metric", "value")
+    rows = cube.withColumn("absolute_bias", F.abs("bias"))
+    return rows.withColumns({name: steady(name) for name in names}).unpivot(keys, names, "metric", "value")
 
 
 def baseline_ranking(cube: DataFrame) -> DataFrame:
@@ -71,7 +77,9 @@ def ranking_components(cube: DataFrame) -> DataFrame:
         "model_name", F.concat_ws(":", "fold", F.lit("days_1_30_daily"), "metric").alias("component"), "rank",
         F.lit(RANK_FOLD_WEIGHT).alias("weight"),
     )
-    spread = folds.groupBy("model_name").agg(F.stddev_samp("mae").alias("value")).withColumn("metric", F.lit("mae_std"))
+    spread = folds.groupBy("model_name").agg(F.stddev_samp("mae").alias("value")).select(
+        "model_name", steady("value").alias("value"), F.lit("mae_std").alias("metric")
+    )
     stability = spread.withColumn("rank", rank_average(["metric"], "value")).select(
         "model_name", F.lit("fold_stability:mae_std").alias("component"), "rank", F.lit(RANK_STABILITY_WEIGHT).alias("weight")
     )
@@ -91,13 +99,15 @@ def balanced_ranking(cube: DataFrame) -> DataFrame:
     fold_stats = primary_folds(cube).groupBy("model_name").agg(
         F.avg("mae").alias("fold_mae_mean"), F.stddev_samp("mae").alias("fold_mae_std")
     )
-    joined = scores.join(primary, "model_name").join(fold_stats, "model_name").withColumn("_all", F.lit(1))
-    return joined.withColumn("selection_rank", rank_min(["_all"], "balanced_rank_score")).drop("_all")
+    joined = scores.join(primary, "model_name").join(fold_stats, "model_name").withColumns({
+        "_all": F.lit(1), "_score": steady("balanced_rank_score")
+    })
+    return joined.withColumn("selection_rank", rank_min(["_all"], "_score")).drop("_all", "_score")
 
 
 def zero_gap(cube: DataFrame) -> DataFrame:
     """How far the best non-zero baseline is below the zero baseline's MAE."""
-    primary = metric_slice(cube, "days_1_30_daily")
+    primary = metric_slice(cube, "days_1_30_daily").withColumn("mae", steady("mae"))
     is_zero = F.col("model_name") == "zero"
     best = F.min(F.when(~is_zero, F.struct("mae", "model_name")))
     return primary.agg(F.max(F.when(is_zero, F.col("mae"))).alias("zero_mae"), best.alias("_best")).select(
@@ -108,7 +118,7 @@ def zero_gap(cube: DataFrame) -> DataFrame:
 
 def model_by_class(cube: DataFrame, model: str = "croston_sba") -> DataFrame:
     """One model's MAE rank inside each intermittency class, with that class's best model."""
-    rows = metric_slice(cube, "days_1_30_daily", segment_type="intermittency_class")
+    rows = metric_slice(cube, "days_1_30_daily", segment_type="intermittency_class").withColumn("mae", steady("mae"))
     ranked = rows.withColumn("mae_rank", rank_min(["segment_value"], "mae"))
     best = F.min(F.struct("mae", "model_name")).over(W.partitionBy("segment_value"))
     return ranked.withColumn("_best", best).where(F.col("model_name") == model).select(
