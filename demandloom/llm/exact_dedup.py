@@ -59,7 +59,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = recipes(documents(docs, id_col, text_col), **options)
     per_id = rows.groupBy("recipe", "doc_id").agg(F.count("*").alias("copies"), F.max("text_sha256").alias("text_sha256"))
-    groups = per_id.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # staged, so that the join below shuffles both sides itself and Spark may split the partition of a hot recipe
+    groups = stage(per_id.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")))
     joined = per_id.join(groups, "recipe").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return joined.select(
         "doc_id", "keep_id", "group_size",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from demandloom.llm.exact_dedup import exact_dedup
 from demandloom.llm.shared import read_documents
+from demandloom.llm.toxicity import fit_toxicity, score_toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -31,3 +32,10 @@ FROM texts JOIN equal USING (body)
 """)
 def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(read_documents(spark, folder))
+
+
+@register("op9_toxicity")
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_documents(spark, folder)
+    model = fit_toxicity(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    return score_toxicity(docs, model)
