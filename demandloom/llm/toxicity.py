@@ -73,20 +73,50 @@ def token_counts(labelled: DataFrame) -> DataFrame:
     return partial.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def log_odds(counts: DataFrame, prior_share: float, min_z: float, max_terms: int) -> tuple[dict[bytes, float], float]:
-    """Scores of the telling tokens, and the score that all other tokens share."""
-    counts = stage(counts)
+def contexts(labelled: DataFrame, candidates: set[bytes]) -> DataFrame:
+    """Rows (token, contexts): after how many different tokens a candidate stands in toxic documents."""
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[bytes, bytes]] = set()
+        for batch in batches:
+            for text in batch["text"]:
+                words = tokens(text)
+                seen.update((w, before) for before, w in zip([b"", *words], words) if w in candidates)
+            if len(seen) > 200_000:
+                yield pd.DataFrame(list(seen), columns=["token", "before"])
+                seen.clear()
+        yield pd.DataFrame(list(seen), columns=["token", "before"])
+
+    toxic = labelled.where("label = 1").select("text").mapInPandas(pairs, "token binary, before binary")
+    return toxic.distinct().groupBy("token").agg(F.count("*").alias("contexts"))
+
+
+def log_odds(labelled: DataFrame, prior_share: float, min_z: float, min_log_odds: float, max_terms: int) -> tuple[dict[bytes, float], float]:
+    """Scores of the telling tokens, and the score that all other tokens share.
+
+    Copies of one toxic text would teach its every word. So a token counts in toxic documents at most once for
+    each different token before it, which copies share.
+    """
+    counts = stage(token_counts(labelled))
     total = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
     n_toxic, n_clean = float(total["toxic"] or 0), float(total["clean"] or 0)
     if not n_toxic or not n_clean:
         return {}, -0.1
-    prior_weight = prior_share * (n_toxic + n_clean)
-    prior = prior_weight * (F.col("toxic") + F.col("clean")) / (n_toxic + n_clean)
-    in_toxic, in_clean = F.col("toxic") + prior, F.col("clean") + prior
-    delta = F.log(in_toxic / (n_toxic + prior_weight - in_toxic)) - F.log(in_clean / (n_clean + prior_weight - in_clean))
-    z = delta / F.sqrt(1 / in_toxic + 1 / in_clean)
-    telling = counts.select("token", "toxic", "clean", delta.alias("delta"), F.abs(z).alias("z")).where(F.col("z") >= min_z)
-    top = telling.orderBy(F.desc("z"), "token").limit(max_terms).collect()
+    weight = prior_share * (n_toxic + n_clean)
+
+    def telling(frame: DataFrame) -> list:
+        prior = weight * (F.col("toxic") + F.col("clean")) / (n_toxic + n_clean)
+        in_toxic, in_clean = F.col("toxic") + prior, F.col("clean") + prior
+        delta = F.log(in_toxic / (n_toxic + weight - in_toxic)) - F.log(in_clean / (n_clean + weight - in_clean))
+        z = delta / F.sqrt(1 / in_toxic + 1 / in_clean)
+        scored = frame.select("token", "toxic", "clean", delta.alias("delta"), z.alias("z")).where((F.col("z") >= min_z) & (F.col("delta") >= min_log_odds))
+        return scored.orderBy(F.desc("z"), "token").limit(max_terms).collect()
+
+    candidates = telling(counts)
+    spread = contexts(labelled, {bytes(r["token"]) for r in candidates})
+    schema = "token binary, toxic long, clean long"
+    rows = labelled.sparkSession.createDataFrame([(r["token"], r["toxic"], r["clean"]) for r in candidates], schema)
+    top = telling(rows.join(spread, "token").select("token", F.least("toxic", "contexts").alias("toxic"), "clean"))
     rest_toxic = n_toxic - sum(r["toxic"] for r in top)
     rest_clean = n_clean - sum(r["clean"] for r in top)
     neutral = math.log(max(rest_toxic, 1.0) / n_toxic) - math.log(max(rest_clean, 1.0) / n_clean)
@@ -158,12 +188,13 @@ def _logistic(histogram: list, iterations: int = 60) -> tuple[float, float]:
     return float(weights[0]), float(weights[1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", prior_share: float = 0.1, min_z: float = 4.0,
-                 max_terms: int = 20_000, folds: int = FOLDS) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", prior_share: float = 0.1, min_z: float = 3.0, min_log_odds: float = 1.0,
+                 max_terms: int = 20_000,
+                 folds: int = FOLDS) -> ToxicityModel:
     """Learn from the labelled documents outside the held-out fold. Without labels every text gets a low score."""
     known = binary_labels(labels, label).where(~held_out(F.col("doc_id"), folds))
     labelled = documents(docs).join(broadcast_if_small(stage(known)), "doc_id")
-    scores, neutral = log_odds(token_counts(labelled), prior_share, min_z, max_terms)
+    scores, neutral = log_odds(labelled, prior_share, min_z, min_log_odds, max_terms)
     model = ToxicityModel(scores, neutral)
     scanned = stage(labelled.select("label", segments_udf(model)("text").alias("s")).select("label", "s.n_tokens", "s.best", F.col("s.segments.score").alias("sums")))
     log_k = _chance_constant(scanned)
