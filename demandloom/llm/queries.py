@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from demandloom.llm.exact_dedup import exact_dedup
+from demandloom.llm.packing import pack_documents
+from demandloom.llm.pii import find_pii
 from demandloom.llm.shared import read_documents
 from demandloom.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -39,3 +42,13 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_documents(spark, folder)
     model = fit_toxicity(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     return score_toxicity(docs, model)
+
+
+@register("op3_best_fit_packing")
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(read_documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op10_pii")
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return find_pii(read_documents(spark, folder))
