@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from demandloom.llm.chat import format_conversations
 from demandloom.llm.exact_dedup import exact_dedup
 from demandloom.llm.packing import pack_documents
 from demandloom.llm.pii import find_pii
@@ -52,3 +53,24 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @register("op10_pii")
 def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return find_pii(read_documents(spark, folder))
+
+
+@register("op4_chat_formatting", r"""
+WITH given AS (SELECT conv_id, turn, role, text FROM conversations
+               UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+               UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+     plain AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM given),
+     written AS (SELECT *, length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '#', ''), '<', '')) AS text_chars,
+                        length(role) + length(role) - length(replace(replace(replace(replace(role, '\', ''), '#', ''), '<', ''), ':', '')) AS role_chars
+                 FROM plain)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(4 + role_chars + 2 + text_chars + 9) AS BIGINT) AS formatted_chars
+FROM written GROUP BY conv_id
+""")
+def op4_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    probe = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    return format_conversations(spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra))
