@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from demandloom.llm.byte_bpe import encode_documents
 from demandloom.llm.chat import format_conversations
 from demandloom.llm.exact_dedup import exact_dedup
+from demandloom.llm.jaccard import jaccard_components
 from demandloom.llm.packing import pack_documents
 from demandloom.llm.pii import find_pii
 from demandloom.llm.shared import read_documents
@@ -74,3 +76,13 @@ def op4_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     probe = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
     return format_conversations(spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra))
+
+
+@register("op6_jaccard_join")
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(read_documents(spark, folder))
+
+
+@register("op8_byte_bpe")
+def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_documents(read_documents(spark, folder), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
