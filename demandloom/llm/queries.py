@@ -11,6 +11,7 @@ from demandloom.llm.byte_bpe import encode_documents
 from demandloom.llm.chat import format_conversations
 from demandloom.llm.exact_dedup import exact_dedup
 from demandloom.llm.jaccard import jaccard_components
+from demandloom.llm.near_vectors import near_vectors
 from demandloom.llm.packing import pack_documents
 from demandloom.llm.pii import find_pii
 from demandloom.llm.shared import read_documents
@@ -86,3 +87,8 @@ def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @register("op8_byte_bpe")
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(read_documents(spark, folder), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@register("op2_embedding_near_dedup")
+def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"))
