@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from demandloom.llm.attention_lm import score_documents
 from demandloom.llm.byte_bpe import encode_documents
 from demandloom.llm.chat import format_conversations
 from demandloom.llm.exact_dedup import exact_dedup
@@ -92,3 +93,8 @@ def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @register("op2_embedding_near_dedup")
 def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+@register("op7_lm_scoring")
+def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return score_documents(read_documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
