@@ -1,23 +1,61 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: reject toxic documents, drop exact and near copies, redact personal data, pack into sequences.
+
+Each stage takes what its predecessor kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from demandloom.llm.exact_dedup import drop_exact_copies
+from demandloom.llm.jaccard import drop_near_copies
+from demandloom.llm.packing import pack_documents
+from demandloom.llm.pii import redact_pii
+from demandloom.llm.shared import stage
+from demandloom.llm.toxicity import drop_toxic, fit_toxicity
 
+#: Learned scores and packing have no SQL form; tests/llm checks run() against a brute-force version.
 ORACLE_SQL = None
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns on the labelled documents of its input and drops what scores as toxic."""
+    return drop_toxic(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts keeps the document with the largest id."""
     return drop_exact_copies(docs)
 
 
-STAGES = [("exact dedup", exact_copies)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents keeps the one with the smallest id."""
+    return drop_near_copies(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps every document, with spans of personal data replaced by their kind."""
+    return redact_pii(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document in a training sequence."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("PII", personal_data),
+    ("best-fit packing", packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each result but the last written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, function in STAGES:
-        docs = function(spark, docs, sf_dir)
-    return docs
+    for _, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,7 +4,7 @@ P(text) is the product over its subword ids and one end id of P(class of id | id
 
 * Ids come from a public tokenizer, each distinct word of the corpus encoded once (see ``wordblocks``).
 * P(id | class) are add-one counts over all training documents. Classes group ids that stand near the same frequent ids
-  and agree in whether they end a word.
+  and agree in whether they end a word and whether they mostly go on with one.
 * P(class | before) is a self-attention layer with relative position bias over at most ``CONTEXT`` ids. It is trained by
   rounds of local Adam steps: every task works on the windows of its partition, Spark averages the weights by windows.
   The windows cover every training document, one in ``WINDOW_EVERY`` ids, so the work grows with the corpus.
@@ -30,7 +30,7 @@ from demandloom.llm.wordblocks import blocks, code, reassemble
 from demandloom.llm.wordcache import encode_words
 
 FOLDS = 7
-CONTEXT, WIDTH, CLUSTERS, WINDOW_EVERY = 32, 16, 32, 512
+CONTEXT, WIDTH, CLUSTERS, WINDOW_EVERY = 32, 16, 20, 512
 ROUNDS, BATCH, LEAST_STEPS, RATE = 3, 256, 120, 0.01
 ANCHORS = 48
 
@@ -237,27 +237,30 @@ def id_counts(gathered: DataFrame, size: int) -> np.ndarray:
     return counts
 
 
-def neighbourhoods(windows: DataFrame, anchors: np.ndarray, size: int) -> np.ndarray:
-    """How often each id shares a window with each of the frequent ids."""
+def neighbourhoods(windows: DataFrame, anchors: np.ndarray, size: int, ends_word: np.ndarray) -> np.ndarray:
+    """How often each id shares a window with each of the frequent ids; last two columns: how
+    often it occurs, and how often it goes on with a word."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         column = np.full(size, -1, np.int64)
         column[anchors] = np.arange(len(anchors))
-        totals = np.zeros((size, len(anchors)), np.int64)
+        totals = np.zeros((size, len(anchors) + 2), np.int64)
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 ids = np.stack([np.frombuffer(w, "<u4") for w in batch["window"].iloc[at : at + 4096]]).astype(np.int64)
                 present = np.zeros((len(ids), len(anchors)), np.int64)
                 r, c = np.nonzero(column[ids] >= 0)
                 np.add.at(present, (r, column[ids[r, c]]), 1)
-                np.add.at(totals, ids.ravel(), np.repeat(present, ids.shape[1], axis=0))
+                inner = ends_word[ids[:, :-1]] == 0
+                told = np.concatenate([np.repeat(present, ids.shape[1] - 1, axis=0), np.ones_like(inner.reshape(-1, 1)), inner.reshape(-1, 1)], axis=1)
+                np.add.at(totals, ids[:, 1:].ravel(), told)
         seen = np.flatnonzero(totals.any(axis=1))
         for at in range(0, len(seen), 5000):
             yield pd.DataFrame({"id": seen[at : at + 5000], "near": list(totals[seen[at : at + 5000]])})
 
     partial = windows.select("window").mapInPandas(rows, "id int, near array<long>")
-    sums = [F.sum(F.col("near")[j]).alias(f"n{j}") for j in range(len(anchors))]
-    table = np.zeros((size, len(anchors)))
+    sums = [F.sum(F.col("near")[j]).alias(f"n{j}") for j in range(len(anchors) + 2)]
+    table = np.zeros((size, len(anchors) + 2))
     for r in partial.groupBy("id").agg(F.array(*sums).alias("near")).collect():  # at most one row per id of the vocabulary
         table[r["id"]] = r["near"]
     return table
@@ -310,12 +313,15 @@ def fit_lm(made: DataFrame, coded: DataFrame, vocabulary: str) -> AttentionLM:
     windows = gathered.where("id = -1").select("window")
     counts = id_counts(gathered, size)
     anchors = np.argsort(-counts, kind="stable")[:ANCHORS]
-    groups = cluster(neighbourhoods(windows, anchors, size), counts, CLUSTERS)
     ends_word = np.zeros(size, np.int64)
     ends_word[[i for t, i in tokens.items() if t.endswith("</w>")]] = 1
-    classes = 2 * groups + ends_word
-    classes[end_id] = 2 * CLUSTERS
-    n_classes = 2 * CLUSTERS + 1
+    ends_word[end_id] = 1
+    near = neighbourhoods(windows, anchors, size, ends_word)
+    groups = cluster(near[:, :-2], counts, CLUSTERS)
+    goes_on = near[:, -1] > 0.5 * near[:, -2]
+    classes = 4 * groups + 2 * ends_word + goes_on
+    classes[end_id] = 4 * CLUSTERS
+    n_classes = 4 * CLUSTERS + 1
     in_class = np.bincount(classes, counts, n_classes) + np.bincount(classes, minlength=n_classes)
     inside = np.log((counts + 1) / in_class[classes])
     return AttentionLM(classes, inside, train(windows, classes, n_classes), end_id)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from demandloom.llm.attention_lm import score_documents
 from demandloom.llm.byte_bpe import encode_documents
@@ -15,6 +16,7 @@ from demandloom.llm.jaccard import jaccard_components
 from demandloom.llm.near_vectors import near_vectors
 from demandloom.llm.packing import pack_documents
 from demandloom.llm.pii import find_pii
+from demandloom.llm.quality import score_quality
 from demandloom.llm.shared import read_documents
 from demandloom.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -98,3 +100,10 @@ def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @register("op7_lm_scoring")
 def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return score_documents(read_documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op5_quality_classifier")
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """The source is the host, and its part in one language the path below it."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return score_quality(read_documents(spark, folder), labels, F.col("source"), F.col("lang"))
