@@ -6,8 +6,8 @@
    lies in one bucket, where a function sees it once, with its summed count. Its answer goes back to the blocks.
 3. ``reassemble``: block and answers meet again by block id, and each place of the stream gets the answer of its word.
 
-A word that stands in a third of all places is one entry a block. Rows are packed (lengths, then bytes, deflated):
-what is shuffled is about a byte a place, and a few bytes a distinct word and block. The number of buckets follows the
+A word that stands in a third of all places is one entry a block. Rows are packed (lengths, then bytes, compressed):
+what is shuffled is about a byte and a half a place, and a few bytes a distinct word and block. The number of buckets follows the
 number of words, so tasks stay bounded.
 """
 
@@ -18,44 +18,66 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.llm.shared import stage
 
-BLOCK_PLACES = 1_500_000
+BLOCK_PLACES = 6_000_000
 BUCKET_WORDS = 400_000
+#: So many words of a block are ranked by frequency, the rest by their bytes.
+FREQUENT = 16_384
 
 
-def pack(items: list[bytes]) -> bytes:
-    lengths = np.array([len(i) for i in items], "<u4").tobytes()
-    return zlib.compress(len(items).to_bytes(4, "little") + lengths + b"".join(items), 1)
+def _squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=9).compress(data)
 
 
-def unpack(packed: bytes) -> list[bytes]:
-    data = zlib.decompress(packed)
+def _expand(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _planes(body: bytes, width: int) -> bytes:
+    """All first bytes of ``width``-byte items, then all second bytes and so on: like bytes compress better together."""
+    return np.frombuffer(body, np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _items(planes: bytes, width: int) -> bytes:
+    return np.frombuffer(planes, np.uint8).reshape(width, -1).T.tobytes()
+
+
+def pack(items: list[bytes], width: int = 1) -> bytes:
+    """A list of byte strings, each a multiple of ``width`` long."""
+    lengths = np.array([len(i) // width for i in items], "<u4").tobytes()
+    return _squeeze(len(items).to_bytes(4, "little") + _planes(lengths, 4) + _planes(b"".join(items), width))
+
+
+def unpack(packed: bytes, width: int = 1) -> list[bytes]:
+    data = _expand(packed)
     n = int.from_bytes(data[:4], "little")
-    ends = np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n
-    starts = np.concatenate(([4 + 4 * n], ends[:-1])) if n else ends
-    return [data[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+    lengths = np.frombuffer(_items(data[4 : 4 + 4 * n], 4), "<u4").astype(np.int64) * width
+    ends = np.cumsum(lengths)
+    body = _items(data[4 + 4 * n :], width)
+    return [body[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist())]
 
 
 def pack_numbers(values: np.ndarray) -> bytes:
-    """Numbers below 2^32, byte planes apart, which deflates well when most are small."""
-    return zlib.compress(np.asarray(values, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    """Numbers below 2^32, compressed plane by plane."""
+    return _squeeze(_planes(np.asarray(values, "<u4").tobytes(), 4))
 
 
 def unpack_numbers(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    return np.frombuffer(_items(_expand(packed), 4), "<u4")
 
 
 def blocks(docs: DataFrame, split: Callable[[str], list], counted: Callable[[int | None], bool]) -> DataFrame:
     """Staged rows (block, doc_ids, places, ranks, words, counts).
 
     ``split`` gives the words of a text as str or bytes. ``counts`` holds, per word, its places in documents for which
-    ``counted`` is true. Words are ranked by frequency, so that most ranks are small.
+    ``counted`` is true. The frequent words are ranked by frequency, so that most ranks are small; the others by their
+    bytes, so that the words and ranks of a bucket are increasing.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,14 +87,14 @@ def blocks(docs: DataFrame, split: Callable[[str], list], counted: Callable[[int
         def block() -> pd.DataFrame:
             ranks = np.concatenate(stream) if stream else np.zeros(0, np.int64)
             frequency = np.bincount(ranks, minlength=len(index))
+            words = [w if isinstance(w, bytes) else w.encode() for w in index]
             order = np.argsort(-frequency, kind="stable")
+            order[FREQUENT:] = sorted(order[FREQUENT:].tolist(), key=words.__getitem__)
             place = np.empty_like(order)
             place[order] = np.arange(len(order))
             seen = np.repeat(np.array(learnt, bool), np.array(sizes, np.int64)) if learnt else np.zeros(0, bool)
             counts = np.bincount(ranks[seen], minlength=len(index))[order]
-            words = list(index)
-            written = [words[i] if isinstance(words[i], bytes) else words[i].encode() for i in order]
-            return pd.DataFrame({"block": [(part << 32) + made], "doc_ids": [list(ids)], "places": [list(sizes)], "ranks": [pack_numbers(place[ranks])], "words": [pack(written)], "counts": [pack_numbers(counts)], "n_words": [len(words)]})
+            return pd.DataFrame({"block": [(part << 32) + made], "doc_ids": [list(ids)], "places": [list(sizes)], "ranks": [pack_numbers(place[ranks])], "words": [pack([words[i] for i in order])], "counts": [pack_numbers(counts)], "n_words": [len(words)]})
 
         held = 0
         for batch in batches:
@@ -92,10 +114,10 @@ def blocks(docs: DataFrame, split: Callable[[str], list], counted: Callable[[int
 
 
 def code(made: DataFrame, coder: Callable[[], Callable[[list[bytes], np.ndarray], list[bytes]]]) -> DataFrame:
-    """Staged rows (block, bucket, ranks, answers, distinct_counted, total_counted).
+    """Rows (block, bucket, ranks, answers, distinct_counted, total_counted), not staged.
 
-    ``coder()`` is called once a task and gives a function from the distinct words of a bucket and their counts to one
-    answer each. The last two columns are set in one row of each bucket: its words with a count, and the sum.
+    ``coder()`` gives a function from the distinct words of a bucket and their counts to one
+    answer each, some 32-bit numbers. The last two columns are set in one row of each bucket: its words with a count, and the sum.
     """
     total = made.agg(F.sum("n_words").alias("n")).first()["n"] or 0
     buckets = max(1, -(-total // BUCKET_WORDS))
@@ -109,8 +131,7 @@ def code(made: DataFrame, coder: Callable[[], Callable[[list[bytes], np.ndarray]
                 cuts = np.flatnonzero(np.diff(bucket[order])) + 1
                 out = []
                 for own in np.split(order, cuts) if len(order) else []:
-                    own = np.array(sorted(own.tolist(), key=words.__getitem__), np.int64)
-                    out.append((int(bucket[own[0]]), block, pack_numbers(own), pack([words[i] for i in own]), pack_numbers(counts[own])))
+                    out.append((int(bucket[own[0]]), block, pack_numbers(np.diff(own, prepend=0)), pack([words[i] for i in own]), pack_numbers(counts[own])))
                 yield pd.DataFrame(out, columns=["bucket", "block", "ranks", "words", "counts"])
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
@@ -122,10 +143,10 @@ def code(made: DataFrame, coder: Callable[[], Callable[[list[bytes], np.ndarray]
             np.add.at(counts, own, unpack_numbers(packed).astype(np.int64))
         answers = coder()(list(index), counts)
         first = np.arange(len(frame)) == 0
-        return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "ranks": frame["ranks"], "answers": [pack([answers[i] for i in own]) for own in places], "distinct_counted": np.where(first, int((counts > 0).sum()), 0), "total_counted": np.where(first, int(counts.sum()), 0)})
+        return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "ranks": frame["ranks"], "answers": [pack([answers[i] for i in own], 4) for own in places], "distinct_counted": np.where(first, int((counts > 0).sum()), 0), "total_counted": np.where(first, int(counts.sum()), 0)})
 
     dealt = made.select("block", "words", "counts").mapInPandas(deal, "bucket long, block long, ranks binary, words binary, counts binary")
-    return stage(dealt.groupBy("bucket").applyInPandas(answer, "block long, bucket long, ranks binary, answers binary, distinct_counted long, total_counted long"))
+    return dealt.groupBy("bucket").applyInPandas(answer, "block long, bucket long, ranks binary, answers binary, distinct_counted long, total_counted long")
 
 
 def reassemble(made: DataFrame, coded: DataFrame, use: Callable[[list, list, np.ndarray, list[bytes]], pd.DataFrame], schema: str) -> DataFrame:
@@ -134,7 +155,7 @@ def reassemble(made: DataFrame, coded: DataFrame, use: Callable[[list, list, np.
     def join(block: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         answers = [b""] * int(block["n_words"].iloc[0])
         for ranks, packed in zip(parts["ranks"], parts["answers"]):
-            for rank, item in zip(unpack_numbers(ranks).tolist(), unpack(packed)):
+            for rank, item in zip(np.cumsum(unpack_numbers(ranks), dtype=np.int64).tolist(), unpack(packed, 4)):
                 answers[rank] = item
         row = block.iloc[0]
         return use([None if pd.isna(i) else int(i) for i in row["doc_ids"]], list(row["places"]), unpack_numbers(row["ranks"]), answers)
