@@ -82,7 +82,10 @@ def valid(kind: str, body: Column) -> Column:
 
 
 def _hits(text: Column, pattern: str, kind: str, base: bool) -> Column:
-    """All matches of a pattern with their code point positions and what surrounds them."""
+    """The matches of a pattern with their code point positions and what surrounds them, as far as they are valid for the kind.
+
+    Only kept matches are written to the result, so a long text full of numbers costs one step for each.
+    """
     none = F.array().cast(_SPAN)
 
     def place(parts: Column) -> Column:
@@ -94,7 +97,8 @@ def _hits(text: Column, pattern: str, kind: str, base: bool) -> Column:
             end = start + F.length(body)
             span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), F.lit(base).alias("base"),
                             body.alias("body"), F.right(before, F.lit(24)).alias("before"), F.left(after, F.lit(8)).alias("after"))
-            return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span).cast(_SPAN)).alias("spans"))
+            longer = F.concat(state["spans"], F.array(span).cast(_SPAN))
+            return F.struct(end.alias("at"), F.when(valid(kind, body), longer).otherwise(state["spans"]).alias("spans"))
 
         zero = F.struct(F.lit(0).alias("at"), none.alias("spans"))
         walked = F.aggregate(F.sequence(F.lit(1), F.size(found)), zero, add)["spans"]
@@ -107,10 +111,7 @@ def _hits(text: Column, pattern: str, kind: str, base: bool) -> Column:
 
 def candidates(text: Column) -> Column:
     """Base spans of all kinds, then the loose ones that overlap none of them."""
-    def proper(kind: str):
-        return lambda span: valid(kind, span["body"])
-
-    base = F.concat(*[F.filter(_hits(text, BASE[kind], kind, True), proper(kind)) for kind in KINDS])
+    base = F.concat(*[_hits(text, BASE[kind], kind, True) for kind in KINDS])
     loose = F.concat(*[_hits(text, pattern, k, False) for k, pattern in LOOSE.items()])
 
     def free(pair: Column) -> Column:
@@ -286,8 +287,7 @@ def redact(text: Column, spans: Column) -> Column:
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), written.alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    walked = F.aggregate(spans, zero, add, lambda state: F.concat(state["out"], F.substr(text, state["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(walked)
+    return F.aggregate(spans, zero, add, lambda state: F.concat(state["out"], F.substr(text, state["at"] + 1, F.length(text))))
 
 
 def redact_pii(docs: DataFrame) -> DataFrame:
