@@ -95,7 +95,7 @@ VIEWS: dict[str, str] = {
       ((2 * sum(cents) + sum(sales)) // (2 * sum(sales))) / 100.0::DOUBLE AS sell_price
     FROM facts GROUP BY 1, 2, 3 HAVING sum(sales) > 0""",
     "panel": f"""
-    SELECT c.*, s.store_id, s.item_id, CAST(coalesce(f.sales, 0) AS INTEGER) AS sales, w.sell_price,
+    SELECT c.*, s.store_id, s.item_id, CAST(coalesce(f.sales, 0) AS BIGINT) AS sales, w.sell_price,
       {_DEPT.replace('item_id', 's.item_id')} AS dept_id, '{P.CATEGORY}' AS cat_id,
       {_STATE.replace('store_id', 's.store_id')} AS state_id
     FROM series s CROSS JOIN calendar c

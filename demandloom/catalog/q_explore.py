@@ -327,9 +327,7 @@ def product_launches(d):
 
 
 @query("rsh_05_actual_and_forecast_timeline", """
-SELECT store_id, item_id, date, 'actual' AS measure, sales::DOUBLE AS units FROM active WHERE date > (SELECT hi - 60 FROM bounds)
+SELECT store_id, item_id, date, 'actual' AS measure, sales::DOUBLE AS units FROM active
 UNION ALL SELECT store_id, item_id, target_date, 'forecast', round(forecast, 6) FROM deployed""")
 def actual_and_forecast_timeline(d):
-    from demandloom.sources.sinks import recent_window
-
-    return rounded(reshape.timeline(recent_window(d.active, 60), d.deployed, SERIES), ["units"])
+    return rounded(reshape.timeline(d.active, d.deployed, SERIES), ["units"])

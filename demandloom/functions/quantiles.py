@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DISTINCT_LIMIT = 1_000_000
-BUCKETS = 2048
-LEVELS = 2
+from demandloom.session import cut_lineage
 
 
 def quantiles(
@@ -20,15 +18,12 @@ def quantiles(
     by: Sequence[str] = (),
     *,
     small_domain: bool = False,
-    limit: int = DISTINCT_LIMIT,
 ) -> DataFrame:
     """Named exact quantiles of ``value`` per group, one row per group.
 
-    Values are counted first (map-side combined), so a repeated value is one row whatever
-    its number of rows. The percentile is taken directly when the distinct values are few:
-    by nature (``small_domain``: day counts, daily units) or by a count that stops at
-    ``limit``. Beyond it the wanted ranks are located by zooming, and no group's values
-    ever meet in one task.
+    Values are counted first (map-side combined), so a repeated value is one row whatever its number of rows. Where
+    the domain is small by nature (``small_domain``: day counts, daily units) the percentile is taken of those counts.
+    All other values are ranked in range partitions, so no group's values ever meet in one task.
     """
     column = F.col(value) if isinstance(value, str) else value
     counted = (
@@ -37,61 +32,37 @@ def quantiles(
         .groupBy(*by, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    if small_domain or counted.limit(limit + 1).count() <= limit:
+    if small_domain:
         return counted.groupBy(*by).agg(
             *[F.percentile("_v", F.lit(p), F.col("_n")).alias(name) for name, p in probabilities.items()]
         )
-    return _by_zooming(counted, probabilities, list(by))
+    return _by_ranges(counted, probabilities, list(by))
 
 
-def _by_zooming(counted: DataFrame, probabilities: dict[str, float], by: list[str]) -> DataFrame:
-    """Locate each rank in equal-width buckets, twice, then order only the buckets that hold one.
+def _by_ranges(counted: DataFrame, probabilities: dict[str, float], by: list[str]) -> DataFrame:
+    """Range-partition by (group, value); a value's rank is its place in the partition plus the sizes of those before.
 
-    A level reduces its rows to at most ``BUCKETS`` counts per bucket of the level above,
-    and keeps only the buckets with a wanted rank.
+    The partitioned rows are checkpointed, because partition numbers must be the same in both uses.
     """
-    stats = counted.groupBy(*by).agg(
-        F.sum("_n").alias("_total"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    ).withColumn("_below", F.lit(0).cast("bigint"))
-    places = {name: F.lit(p) * (F.col("_total") - 1) for name, p in probabilities.items()}
-    wanted = F.array(*[edge.cast("bigint") for place in places.values() for edge in (F.floor(place), F.ceil(place))])
-    targets = stats.withColumn("_ranks", F.array_distinct(wanted))
-    rows, keys = counted, list(by)
-    for level in range(LEVELS):
-        rows = _attach(rows, targets, keys)
-        width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-        position = F.coalesce(F.floor((F.col("_v") - F.col("_lo")) / width * BUCKETS), F.lit(0))
-        bucket = f"_b{level}"
-        rows = rows.withColumn(bucket, F.least(position, F.lit(BUCKETS - 1)).cast("int"))
-        counts = rows.groupBy(*keys, bucket).agg(
-            F.sum("_n").alias("_c"), F.min("_v").alias("_first"), F.max("_v").alias("_last"),
-            F.max("_below").alias("_base"), F.max("_ranks").alias("_all"),
-        )
-        before = W.partitionBy(*keys).orderBy(bucket)
-        placed = counts.withColumn("_start", F.col("_base") + F.sum("_c").over(before) - F.col("_c"))
-        held = F.filter("_all", lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_c")))
-        targets = placed.select(
-            *keys, bucket, F.col("_start").alias("_below"), F.col("_first").alias("_lo"), F.col("_last").alias("_hi"), held.alias("_ranks")
-        ).where(F.size("_ranks") > 0)
-        rows = rows.drop("_below", "_lo", "_hi", "_ranks", "_total")
-        keys = [*keys, bucket]
-    inside = _attach(rows, targets, keys)
-    upto = F.sum("_n").over(W.partitionBy(*keys).orderBy("_v"))
-    ended = inside.withColumn("_end", F.col("_below") + upto)
-    found = ended.select(*by, "_v", F.explode(
-        F.filter("_ranks", lambda r: (r < F.col("_end")) & (r >= F.col("_end") - F.col("_n")))
-    ).alias("_rank"))
-    answers = found.groupBy(*by).agg(F.map_from_entries(F.collect_set(F.struct("_rank", "_v"))).alias("_values"))
-    joined = _attach(answers, stats.select(*by, "_total"), by)
-    result = {}
-    for name, place in places.items():
-        low, high = (F.element_at("_values", edge.cast("bigint")) for edge in (F.floor(place), F.ceil(place)))
-        result[name] = low + (high - low) * (place - F.floor(place))
-    return joined.select(*by, *[column.alias(name) for name, column in result.items()])
+    ranged = counted.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id())
+    rows = cut_lineage(ranged)
+    parts = rows.groupBy(*by, "_part").agg(F.sum("_n").alias("_size"))  # a group has one row per partition it reaches
+    upto = W.partitionBy(*by).orderBy("_part")
+    whole = W.partitionBy(*by)
+    placed = parts.select(
+        *by, "_part", (F.sum("_size").over(upto) - F.col("_size")).alias("_before"), F.sum("_size").over(whole).alias("_total")
+    )
+    inside = W.partitionBy(*by, "_part").orderBy("_v")
+    ranked = rows.join(placed, [*by, "_part"]).withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
+    answers = []
+    for name, p in probabilities.items():
+        place = F.lit(p) * (F.col("_total") - 1)
+        low, high = (F.max(_at(edge.cast("bigint"))) for edge in (F.floor(place), F.ceil(place)))
+        share = F.max(place - F.floor(place))
+        answers.append((low + (high - low) * share).alias(name))
+    return ranked.groupBy(*by).agg(*answers)
 
 
-def _attach(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """Join per-key facts; without keys the one-row table becomes scalar subqueries."""
-    if keys:
-        return rows.join(small, keys)
-    return rows.withColumns({name: small.select(name).scalar() for name in small.columns})
+def _at(rank: Column) -> Column:
+    """The value if it holds the zero-based rank, else null."""
+    return F.when((rank < F.col("_end")) & (rank >= F.col("_end") - F.col("_n")), F.col("_v"))

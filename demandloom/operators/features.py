@@ -141,9 +141,10 @@ def _totals(df: DataFrame) -> DataFrame:
     """Running integer totals per series: units, squared units, zero days, rows, last sale."""
     so_far = by_date().rowsBetween(W.unboundedPreceding, W.currentRow)
     sales = F.col("sales").cast("bigint")
+    exact = sales.cast("decimal(19,0)")  # squares of large daily units would overflow a bigint total
     return df.withColumns({
         "_units": F.sum(sales).over(so_far),
-        "_squares": F.sum(sales * sales).over(so_far),
+        "_squares": F.sum((exact * exact).cast("decimal(28,0)")).over(so_far),
         "_zeros": F.sum(F.when(sales == 0, 1).otherwise(0)).over(so_far),
         "_rows": F.row_number().over(by_date()),
         "_last_sale": F.max(F.when(sales > 0, F.col("date"))).over(so_far),
@@ -173,8 +174,9 @@ def mean_columns() -> dict[str, Column]:
 
 def std_columns() -> dict[str, Column]:
     def deviation(n: int) -> Column:
-        units, squares = _past("_units", n), _past("_squares", n)
-        return F.sqrt((squares * n - units * units) / (n * (n - 1)))
+        units, squares = _past("_units", n).cast("decimal(19,0)"), _past("_squares", n).cast("decimal(35,0)")
+        scatter = (squares * n).cast("decimal(38,0)") - (units * units).cast("decimal(38,0)")
+        return F.sqrt(scatter.cast("double") / (n * (n - 1)))
 
     return {f"sales_roll_std_{n}": deviation(n) for n in SPREAD_WINDOWS}
 

@@ -23,7 +23,7 @@ def wide_to_long(wide: DataFrame) -> DataFrame:
 
 def long_to_wide(panel: DataFrame, ids: Sequence[str], days: Sequence[str]) -> DataFrame:
     """One integer column per listed day; the explicit list avoids a distinct-values job."""
-    return panel.where(F.col("d").isin(list(days))).groupBy(*ids).pivot("d", list(days)).agg(F.sum("sales").cast("int"))
+    return panel.where(F.col("d").isin(list(days))).groupBy(*ids).pivot("d", list(days)).agg(F.sum("sales"))
 
 
 def pivot_mean(df: DataFrame, rows: Sequence[str], column: str, values: Sequence, measure: str) -> DataFrame:

@@ -29,11 +29,13 @@ def build_session(app: str = "demandloom", master: str | None = None, **settings
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for cut lineage: the cluster's setting, or a scratch folder when none is set."""
+    """Folder for cut lineage: the cluster's setting. Only a local master may go without one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not configured and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = configured or tempfile.mkdtemp(prefix="demandloom-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -44,14 +44,14 @@ def daily_line_sales(lineitem: DataFrame) -> DataFrame:
     """Line items collapsed to (part, supplier, day) before any join sees them.
 
     The map-side combine shrinks a hot part to its distinct supplier-days.
-    Units and cents are integers, so sums are exact and order-free.
+    Units are decimals (fractions of a unit survive) and cents integers, so sums are exact and order-free.
     """
     return (
         lineitem.select(
             "l_partkey",
             "l_suppkey",
             F.to_date("l_shipdate").alias("date"),
-            F.col("l_quantity").cast("bigint").alias("units"),
+            F.col("l_quantity").cast("decimal(18,4)").alias("units"),
             F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
         )
         .groupBy("l_partkey", "l_suppkey", "date")
@@ -87,7 +87,8 @@ def store_item_sales(
         parts = part.select("p_partkey", F.col(item).alias("item_id"))
         joined = facts.join(parts, F.col("l_partkey") == F.col("p_partkey"))
         keys = ["store_id", "item_id", "date"]
-    return joined.groupBy(*keys).agg(F.sum("sales").alias("sales"), F.sum("cents").alias("cents"))
+    units = F.round(F.sum("sales")).cast("bigint")  # whole units a day
+    return joined.groupBy(*keys).agg(units.alias("sales"), F.sum("cents").alias("cents"))
 
 
 class Bounds(NamedTuple):
@@ -157,9 +158,7 @@ def by_series(df: DataFrame) -> DataFrame:
     The rows multiply after this exchange (zero runs, windows), so the adaptive planner,
     which only sees the small sparse input, must not merge its partitions.
     """
-    context = df.sparkSession.sparkContext
-    local = context.master.startswith("local")
-    partitions = context.defaultParallelism if local else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(partitions, *SERIES)
 
 
@@ -183,7 +182,7 @@ def dense_daily(facts: DataFrame, bounds: Bounds) -> DataFrame:
     return runs.select(*SERIES, "date", "sales", "cents", day).select(
         *SERIES,
         F.col("day").alias("date"),
-        F.when(sold, F.col("sales")).otherwise(F.lit(0)).cast("int").alias("sales"),
+        F.when(sold, F.col("sales")).otherwise(F.lit(0)).cast("bigint").alias("sales"),
         F.when(sold, F.col("cents")).otherwise(F.lit(0)).cast("bigint").alias("cents"),
     )
 

@@ -75,7 +75,8 @@ def model_metadata(forecast: DataFrame, model: str, policy: str) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
-    """Order-free content hash: row count and the sum of row hashes."""
+    """Order-free content hash: row count and the decimal sum of row hashes, written out."""
+    hashes = hash_int(*[F.col(c) for c in columns]).cast("decimal(28,0)")
     return df.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum(hash_int(*[F.col(c) for c in columns])).alias("content_hash")
+        F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(hashes), F.lit(0)).cast("string").alias("content_hash")
     ).select(F.lit(label).alias("table_name"), "n_rows", "content_hash")

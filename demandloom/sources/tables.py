@@ -33,7 +33,7 @@ def read_table(spark: SparkSession, folder: str, name: str, columns: Sequence[st
 
 def wide_sales_schema(id_columns: Sequence[str], day_columns: Sequence[str]) -> T.StructType:
     fields = [T.StructField(name, T.StringType()) for name in id_columns]
-    return T.StructType(fields + [T.StructField(name, T.IntegerType()) for name in day_columns])
+    return T.StructType(fields + [T.StructField(name, T.LongType()) for name in day_columns])
 
 
 def day_columns(columns: Iterable[str]) -> list[str]:

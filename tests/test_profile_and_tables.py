@@ -12,7 +12,8 @@ from demandloom.operators import profile as pf
 from demandloom.operators import reshape, serving
 from demandloom.operators.joins import checked_join, key_mismatches
 from demandloom.sources import sinks, tables
-from demandloom.sources.retail import Bounds
+from demandloom.sources.retail import Bounds, store_item_sales
+from demandloom.sources.sinks import fingerprint
 
 
 def test_day_columns_are_numeric_order():
@@ -42,17 +43,20 @@ def test_tertiles(spark):
     assert counts == {"low": 3, "medium": 3, "high": 3}
 
 
-def test_quantiles_match_the_builtin(spark):
-    rows = [(i % 3, float((i * 7919) % 1013) ** 1.5 if i % 5 else 0.0) for i in range(3000)] + [(2, None)]
-    df = spark.createDataFrame(rows, "g int, v double")
+@pytest.mark.parametrize("values", [
+    [float((i * 7919) % 1013) ** 1.5 if i % 5 else 0.0 for i in range(3000)],
+    [1e15, *map(float, range(2000))],  # one outlier far from all others
+    [2.0 ** (i % 900) for i in range(3000)],  # spread over many magnitudes
+])
+def test_quantiles_match_the_builtin(spark, values):
+    df = spark.createDataFrame([(i % 3, v) for i, v in enumerate(values)] + [(2, None)], "g int, v double")
     probabilities = {"p0": 0.0, "p33": 1 / 3, "p50": 0.5, "p999": 0.999, "p100": 1.0}
     want = {r.g: r for r in df.groupBy("g").agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in probabilities.items()]).collect()}
     whole = df.agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in probabilities.items()]).first()
-    for limit in (10_000, 0):  # direct, then zooming
-        for row in quantiles(df, "v", probabilities, ["g"], limit=limit).collect():
-            for name in probabilities:
-                assert row[name] == pytest.approx(want[row.g][name], rel=1e-12)
-        assert quantiles(df, "v", probabilities, limit=limit).first().asDict() == pytest.approx(whole.asDict(), rel=1e-12)
+    for row in quantiles(df, "v", probabilities, ["g"]).collect():
+        for name in probabilities:
+            assert row[name] == pytest.approx(want[row.g][name], rel=1e-12)
+    assert quantiles(df, "v", probabilities).first().asDict() == pytest.approx(whole.asDict(), rel=1e-12)
 
 
 def banded(spark):
@@ -134,3 +138,25 @@ def test_filters_are_whitelisted(spark):
 def test_shortage_reduction_is_safe_at_zero(spark):
     row = spark.range(1).select(serving.shortage_reduction(F.lit(0.0), F.lit(1.0)).alias("a"), serving.shortage_reduction(F.lit(4.0), F.lit(1.0)).alias("b")).first()
     assert row.a == 0.0 and row.b == 0.75
+
+
+def test_large_daily_units_do_not_overflow(spark):
+    """2,500 days at about 2e8 units: squares add up to 1e20, beyond a 64-bit total."""
+    rows = [("A", "x", dt.date(2020, 1, 1) + dt.timedelta(days=i), 200_000_000 + i % 2) for i in range(2500)]
+    df = spark.createDataFrame(rows, "store_id string, item_id string, date date, sales bigint")
+    last = ft.rolling_stds(df).orderBy(F.desc("date")).first()
+    assert last.sales_roll_std_28 == pytest.approx((28 * 0.25 / 27) ** 0.5)
+
+
+def test_fingerprint_of_many_rows_does_not_overflow(spark):
+    df = spark.range(10).select(F.lit("same").alias("k"))
+    once = int(fingerprint(df.limit(1), ["k"], "t").first().content_hash)
+    assert int(fingerprint(df, ["k"], "t").first().content_hash) == 10 * once
+
+
+def test_fractions_of_units_are_kept_until_the_day_is_summed(spark):
+    lines = spark.createDataFrame([(1, 1, dt.datetime(2020, 1, 1), 2.5, 1.0)] * 2, "l_partkey int, l_suppkey int, l_shipdate timestamp, l_quantity double, l_extendedprice double")
+    part = spark.createDataFrame([(1, "T")], "p_partkey int, p_type string")
+    supplier, nation = spark.createDataFrame([(1, 1)], "s_suppkey int, s_nationkey int"), spark.createDataFrame([(1, 1)], "n_nationkey int, n_regionkey int")
+    region = spark.createDataFrame([(1, "ASIA")], "r_regionkey int, r_name string")
+    assert store_item_sales(lines, part, supplier, nation, region).first().sales == 5
