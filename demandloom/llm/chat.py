@@ -35,15 +35,18 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def ancestors(messages: DataFrame) -> list[DataFrame]:
-    """Pointer tables (tree, message, up): table k leads 2^k levels up, for messages that have such an ancestor."""
+def ancestors(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Pointer tables (tree, message, up), table k leading 2^k levels up, and the messages on or below a cycle.
+
+    Only those have an ancestor further away than their tree has messages.
+    """
+    largest = messages.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
     pointers = [stage(messages.where("parent IS NOT NULL").select("tree", "message", F.col("parent").alias("up")))]
-    limit = 64  # 2^64 levels; a pointer table that never empties belongs to a cycle
-    while len(pointers) < limit and not pointers[-1].isEmpty():
+    while 2 ** (len(pointers) - 1) < largest and not pointers[-1].isEmpty():
         lower = pointers[-1].withColumnRenamed("up", "middle")
         upper = pointers[-1].withColumnRenamed("message", "middle")
         pointers.append(stage(lower.join(upper, ["tree", "middle"]).select("tree", "message", "up")))
-    return pointers[:-1] if pointers[-1].isEmpty() else pointers
+    return pointers[:-1], pointers[-1].select("tree", "message")
 
 
 def chosen_messages(messages: DataFrame, top_paths: int) -> DataFrame:
@@ -51,7 +54,7 @@ def chosen_messages(messages: DataFrame, top_paths: int) -> DataFrame:
 
     A message whose parent is missing from its tree is a root. Equal mean scores are decided by the smaller leaf.
     """
-    pointers = ancestors(messages)
+    pointers, endless = ancestors(messages)
     total = messages.select("tree", "message", "score", F.lit(0).alias("depth"))
     for level, table in enumerate(pointers):
         # sums over the 2^level messages from here upwards are extended by the sum that starts where they end
@@ -60,7 +63,7 @@ def chosen_messages(messages: DataFrame, top_paths: int) -> DataFrame:
         total = stage(joined.select("tree", "message", (F.col("score") + F.coalesce("above", F.lit(0.0))).alias("score"),
                                     F.when(F.col("higher").isNotNull(), F.col("higher") + 2**level).otherwise(F.col("depth")).alias("depth")))
     inner = messages.where("parent IS NOT NULL").select("tree", F.col("parent").alias("message")).distinct()
-    leaves = total.join(inner, ["tree", "message"], "left_anti")
+    leaves = total.join(inner, ["tree", "message"], "left_anti").join(endless, ["tree", "message"], "left_anti")
     mean = F.col("score") / (F.col("depth") + 1)
     order = Window.partitionBy("tree").orderBy(mean.desc(), "message")
     best = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_paths)
