@@ -77,7 +77,7 @@ def _strength(groups: DataFrame, expected: Column) -> float:
         return 10.0
     # E[n (rate - m)^2] = m (1 - m) (1 + (n - 1) / (strength + 1))
     excess, mass = sums["scatter"] - sums["noise"], sums["mass"] - sums["noise"]
-    share = min(max(excess / max(mass, 1e-9), 1e-4), 0.9)
+    share = min(max(excess / max(mass, 1e-9), 1e-4), 0.5)  # a prior is worth at least one document
     return 1 / share - 1
 
 
