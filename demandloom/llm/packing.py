@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.llm.shared import documents, stage
-from demandloom.llm.wordcache import WordEncoder
+from demandloom.llm.wordcache import worker_encoder
 
 CAPACITY = 4096
 END_OF_DOCUMENT = 1
@@ -28,21 +28,18 @@ SHARD_PIECES = 50_000
 
 def piece_rows(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32) of every piece of every document."""
-    width = 4 * capacity
+    width, end = 4 * capacity, end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(vocabulary)
-        end = end_id.to_bytes(4, "little")
+        encoder = worker_encoder(vocabulary)
         for batch in batches:
             out = []
-            for doc_id, ids in zip(batch["doc_id"], encoder.texts(batch["text"])):
+            for doc_id, ids in zip(batch["doc_id"], encoder.texts(batch["text"].tolist())):
                 stream = ids + end
                 for piece, at in enumerate(range(0, len(stream), width)):
                     part = stream[at : at + width]
                     out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
     return docs.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

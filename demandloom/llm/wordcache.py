@@ -1,45 +1,71 @@
-"""Tokenising text word by word, with each frequent word encoded once per task.
+"""Ids of ``word_bpe_49k.json`` word by word.
 
-The tokenizer of ``word_bpe_49k.json`` drops white space before it merges, so the ids of a text are the ids of
-its words in order. Words here are split at ASCII white space only, which every rule of the tokenizer splits at.
+This tokenizer drops white space before it merges, so the ids of a text are the ids of its words in order. Words here
+are split at ASCII white space only, which every rule of the tokenizer splits at.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 
-#: Words remembered by a task; beyond it the memory starts anew.
-REMEMBERED = 300_000
+#: Words handed to the tokenizer at a time.
+BATCH = 20_000
+#: Words a Python worker remembers, in each of two generations.
+REMEMBERED = 400_000
 
 
-class WordEncoder:
-    """Text to little-endian 32-bit ids."""
+def encode_words(vocabulary: str, words: list[bytes]) -> list[bytes]:
+    """The ids of each word as little-endian 32-bit numbers; special tokens in a word are ordinary text."""
+    tokenizer = _tokenizer(vocabulary)
+    out: list[bytes] = []
+    for at in range(0, len(words), BATCH):
+        texts = [w.decode("utf-8", "replace") for w in words[at : at + BATCH]]
+        out.extend(np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+    return out
 
-    def __init__(self, vocabulary: str, remembered: int = REMEMBERED):
+
+_TOKENIZERS: dict = {}
+
+
+def _tokenizer(vocabulary: str):
+    if vocabulary not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(vocabulary)
-        self._tokenizer.encode_special_tokens = True
-        self._known: dict[bytes, bytes] = {}
-        self._remembered = remembered
-
-    def learn(self, words: Iterable[bytes]) -> None:
-        unknown = list(words)
-        encoded = self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in unknown], add_special_tokens=False)
-        for word, result in zip(unknown, encoded):
-            self._known[word] = np.array(result.ids, "<u4").tobytes()
-
-    def texts(self, texts: Iterable[str]) -> Iterator[bytes]:
-        for text in texts:
-            words = (text or "").encode().split()
-            if len(self._known) > self._remembered:
-                self._known.clear()
-            known = self._known
-            missing = set(words).difference(known)
-            if missing:
-                self.learn(missing)
-            yield b"".join([known[w] for w in words])
+        _TOKENIZERS[vocabulary] = Tokenizer.from_file(vocabulary)
+        _TOKENIZERS[vocabulary].encode_special_tokens = True
+    return _TOKENIZERS[vocabulary]
+
+
+class WordEncoder:
+    """Texts to ids with a memory of words: those met since the last turn of generations, and those of the one before."""
+
+    def __init__(self, vocabulary: str, remembered: int = REMEMBERED):
+        self._vocabulary, self._remembered = vocabulary, remembered
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+
+    def texts(self, texts: list[str]) -> Iterator[bytes]:
+        """The little-endian 32-bit ids of each text."""
+        for at in range(0, len(texts), 64):
+            split = [text.encode().split() for text in texts[at : at + 64]]
+            if len(self._young) > self._remembered:
+                self._old, self._young = self._young, {}
+            young, old = self._young, self._old
+            missing = set().union(*split).difference(young)
+            unknown = [w for w in missing if w not in old]
+            young.update((w, old[w]) for w in missing if w in old)
+            young.update(zip(unknown, encode_words(self._vocabulary, unknown)))
+            for words in split:
+                yield b"".join([young[w] for w in words])
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def worker_encoder(vocabulary: str) -> WordEncoder:
+    """One encoder a Python worker, so that its memory serves all its tasks."""
+    return _ENCODERS.setdefault(vocabulary, WordEncoder(vocabulary))
