@@ -15,13 +15,14 @@ difference, and the shingle sets, recomputed from the texts of the documents tha
 
 Only components and degrees of freedom needed for them are computed: first every document is compared with the smallest
 document of each of its words (hot words are salted, and the smallest of each salt are compared in turn); then all
-candidate pairs that are still in different components. Pairs within a component need no comparison.
+pairs with a common word that are still in different components. Pairs within a component need no comparison.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,8 @@ SMALLEST_SEGMENTED = 16
 HOT_DOCUMENTS, HOT_WORDS = 32, 65_536
 #: Rows of a hot word are dealt over so many salts.
 SALTS = 32
+#: Documents of one word that are compared with each other in one run.
+RUN_DOCUMENTS = 4096
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -131,13 +134,17 @@ def sketch_of(shingles: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _folded(sketch: np.ndarray, length: int) -> np.ndarray:
+    """A shorter sketch of the same set: halves XORed, as long as it is too long."""
+    while len(sketch) > length:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
 def hamming(a: bytes, b: bytes) -> int:
-    """Distance of two sketches; the longer one is folded, which keeps it a parity sketch."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    """Distance of two sketches, the longer one folded."""
+    shorter = min(len(a), len(b))
+    x, y = _folded(np.frombuffer(a, np.uint8), shorter), _folded(np.frombuffer(b, np.uint8), shorter)
     return int(np.bitwise_count(x ^ y).sum())
 
 
@@ -259,14 +266,65 @@ def _hubs(shared: DataFrame) -> DataFrame:
     return within.union(across).distinct()
 
 
-def _open_pairs(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs that share a word and lie in different components."""
+def _likely_in_run(docs: np.ndarray, component: np.ndarray, sizes: np.ndarray, sketches: list[bytes], block: np.ndarray) -> set[tuple[int, int]]:
+    """Pairs of one word in different components whose sizes and sketches allow a link; of two blocks only pairs across."""
+    shortest = min(map(len, sketches))
+    bits = np.stack([_folded(np.frombuffer(s, np.uint8), shortest) for s in sketches]).view(np.uint64)
+    across, found = block.min() != block.max(), set()
+    for i in range(len(docs) - 1):
+        rest = slice(i + 1, None)
+        fits = (component[rest] != component[i]) & (4 * np.minimum(sizes[rest], sizes[i]) >= 3 * np.maximum(sizes[rest], sizes[i]))
+        if across:
+            fits &= block[rest] != block[i]
+        at = np.flatnonzero(fits) + i + 1
+        if len(at):
+            near = 7 * np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64) <= sizes[at] + sizes[i]
+            found.update((min(docs[i], j), max(docs[i], j)) for j in docs[at[near]].tolist())
+    return found
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted rows (word, low, high, ...) to likely pairs (a, b); only one run of equal keys is held at a time."""
+    held = None
+    for batch in chain(batches, [None]):
+        frame = batch if held is None else held if batch is None else pd.concat([held, batch], ignore_index=True)
+        if frame is None or not len(frame):
+            continue
+        keys = frame[["word", "low", "high"]].to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
+        ends = np.append(starts[1:], len(frame))
+        if batch is not None:
+            held = frame.iloc[starts[-1] :]
+            starts, ends = starts[:-1], ends[:-1]
+        docs, component, sizes, block = (frame[c].to_numpy() for c in ("doc_id", "component", "n_shingles", "block"))
+        sketches, found = frame["sketch"].tolist(), set()
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            found |= _likely_in_run(docs[a:b], component[a:b], sizes[a:b], sketches[a:b], block[a:b])
+        yield pd.DataFrame(list(found), columns=["a", "b"], dtype=np.int64)
+
+
+def _open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Staged rows (word, doc_id, component, blocks) of the words that lie in more than one component."""
     named = shared.join(labels.toDF("doc_id", "component"), "doc_id", "left")
     named = stage(named.select("word", "doc_id", F.coalesce("component", "doc_id").alias("component")).distinct())
-    spans = named.groupBy("word").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = stage(named.join(spans.where("low <> high").select("word"), "word"))
-    left, right = mixed.toDF("word", "a", "component_a"), mixed.toDF("word", "b", "component_b")
-    return left.join(right, "word").where("a < b AND component_a <> component_b").select("a", "b").distinct()
+    spans = named.groupBy("word").agg(F.min("component").alias("lowest"), F.max("component").alias("highest"), F.count("*").alias("n"))
+    open_words = stage(spans.where("lowest <> highest").select("word", F.ceil(F.col("n") / RUN_DOCUMENTS).cast("int").alias("blocks")))
+    return stage(named.join(open_words, "word"))
+
+
+def _open_pairs(open_rows: DataFrame, described: DataFrame) -> DataFrame:
+    """The likely pairs among all that share a word and lie in different components.
+
+    The documents of a word are compared in blocks of ``RUN_DOCUMENTS``: each pair of blocks is a run of its own, so a
+    word that very many documents share is split over tasks.
+    """
+    mixed = open_rows.withColumn("block", F.pmod(F.hash("doc_id"), F.col("blocks")))
+    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = mixed.select("word", "doc_id", "component", "block", meets)
+    dealt = dealt.select("word", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "component", "block")
+    facts = described.where("doc_id IS NOT NULL").select("doc_id", "n_shingles", "sketch").distinct()
+    runs = spread(dealt.join(facts, "doc_id"), "word", "low", "high").sortWithinPartitions("word", "low", "high")
+    return runs.mapInPandas(_runs, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,7 +347,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     links = copies.union(verify(stage(_hubs(shared)), described, rows))
     labels = stage(components(links))
-    more = verify(stage(_open_pairs(shared, labels)), described, rows)
+    more = verify(stage(_open_pairs(_open_rows(shared, labels), described)), described, rows)
     if not more.isEmpty():
         labels = stage(components(labels.select("node", "component").union(more)))
     named = described.select("doc_id", "n_shingles").join(labels.toDF("doc_id", "component"), "doc_id", "left")
