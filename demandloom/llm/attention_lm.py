@@ -33,6 +33,8 @@ FOLDS = 7
 CONTEXT, WIDTH, CLUSTERS, WINDOW_EVERY = 32, 16, 20, 512
 ROUNDS, BATCH, LEAST_STEPS, RATE = 3, 256, 120, 0.01
 ANCHORS = 48
+#: Windows a training task works on at least, so that one pass over them makes enough steps.
+TASK_WINDOWS = LEAST_STEPS * BATCH
 
 
 def lower_words(text: str) -> list[bytes]:
@@ -102,14 +104,31 @@ def _position_bias(w: Weights, queries: int, keys: int) -> np.ndarray:
     return np.where(distance >= 0, w.bias[np.clip(distance, 0, len(w.bias) - 1)], np.float32(-1e9)).astype(np.float32)
 
 
-def class_probabilities(w: Weights, before: np.ndarray, queries: int) -> np.ndarray:
-    """P(class) at the last ``queries`` places of each window; ``before`` holds the class before each place."""
-    scale = np.float32(1 / np.sqrt(w.embed.shape[1]))
-    q, k, v = (w.embed @ w.query * scale)[before[:, -queries:]], (w.embed @ w.key)[before], (w.embed @ w.value)[before]
-    attention = _softmax(np.matmul(q, k.transpose(0, 2, 1)) + _position_bias(w, queries, before.shape[1]))
+def log_probabilities(w: Weights, before: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """ln P(class ``goal``) at the last places of each window; ``before`` holds the class before each place.
+
+    All that depends on one class alone is a table of the classes; sums of exponentials are divided out last.
+    """
+    n, queries = goal.shape
     d = w.embed.shape[1]
-    mixed = np.matmul(attention, v).reshape(-1, d) @ w.out[d:]
-    return _softmax(mixed + (w.embed @ w.out[:d] + w.offset)[before[:, -queries:].ravel()]).reshape(len(before), queries, -1)
+    last = before[:, -queries:]
+    q, k, v = (w.embed @ w.query * np.float32(1 / np.sqrt(d)))[last], (w.embed @ w.key)[before], (w.embed @ w.value)[before]
+    attention = np.matmul(q, k.transpose(0, 2, 1))
+    attention += _position_bias(w, queries, before.shape[1])
+    attention = _exp(attention)
+    o = np.matmul(attention, v)
+    o /= attention.sum(axis=2, keepdims=True)
+    logits = o.reshape(-1, d) @ w.out[d:]
+    logits += (w.embed @ w.out[:d] + w.offset)[last.ravel()]
+    picked = logits[np.arange(n * queries), goal.ravel()].astype(np.float64)
+    return np.maximum(np.minimum(picked, 80.0) - np.log(_exp(logits).sum(axis=1, dtype=np.float64)), -28.0).reshape(n, queries)
+
+
+def _exp(logits: np.ndarray) -> np.ndarray:
+    """In place; float32 holds exponents up to 88."""
+    if logits.max(initial=0) > 80:
+        np.minimum(logits, 80, out=logits)
+    return np.exp(logits, out=logits)
 
 
 def loss_and_gradient(w: Weights, before: np.ndarray, target: np.ndarray) -> tuple[float, Weights]:
@@ -134,8 +153,7 @@ def loss_and_gradient(w: Weights, before: np.ndarray, target: np.ndarray) -> tup
     dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q) * scale
     dx = dh[:, :, :d] + dq @ w.query.T + dk @ w.key.T + dv @ w.value.T
     flat = lambda a: a.reshape(n * t, -1)
-    embed = np.zeros_like(w.embed)
-    np.add.at(embed, before.ravel(), flat(dx))
+    embed = (np.arange(len(w.embed))[:, None] == before.ravel()).astype(w.embed.dtype) @ flat(dx)
     distance = np.arange(t)[:, None] - np.arange(t)[None, :]
     by_distance = ds.sum(axis=0)
     bias = np.bincount(np.clip(distance, 0, len(w.bias) - 1)[distance >= 0], by_distance[distance >= 0], len(w.bias)).astype(np.float32)
@@ -191,11 +209,9 @@ class AttentionLM:
             for at in range(0, len(begin), batch):
                 place = begin[at : at + batch, None] + np.arange(context)
                 inside = place < stop[at : at + batch, None]
-                probability = class_probabilities(self.weights, before[np.where(inside, place, 0)], queries)
                 scored, real = place[:, -queries:], inside[:, -queries:]
                 goal = after[np.where(real, scored, 0)]
-                picked = np.take_along_axis(probability, goal[:, :, None], axis=2)[:, :, 0]
-                per_id[scored[real]] += np.log(np.maximum(picked[real], 1e-12))
+                per_id[scored[real]] += log_probabilities(self.weights, before[np.where(inside, place, 0)], goal)[real]
         return np.add.reduceat(per_id, starts) / np.log(10) if len(streams) else np.zeros(0)
 
 
@@ -283,7 +299,7 @@ def cluster(table: np.ndarray, counts: np.ndarray, clusters: int, rounds: int =
 
 def train(windows: DataFrame, classes: np.ndarray, n_classes: int, rounds: int = ROUNDS) -> Weights:
     weights = Weights.start(n_classes)
-    parts = windows.repartition(min(shuffle_partitions(windows.sparkSession), max(1, windows.count() // 4096))).select("window")
+    parts = windows.repartition(min(shuffle_partitions(windows.sparkSession), max(1, windows.count() // TASK_WINDOWS))).select("window")
     for turn in range(rounds):
         now, seed = weights, turn
 
