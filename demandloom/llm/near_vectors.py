@@ -7,10 +7,16 @@ prefixes, so most of them come near each other in some pass; the verified pairs
 The order is global: vectors are range-partitioned and numbered through, then compared in blocks of consecutive
 numbers that overlap by a window, so every task is bounded and no label or hash, however common, lies in one task.
 Equal vectors are one class before the passes, and a class counts as often as it has members.
+
+Dense groups do not end at a window: a vector that still links in the second half of its window is compared with twice
+as many after it, and so on until no link is near the end. That is done in pairs of blocks, spread over the tasks.
+Equal hashes are ordered differently in each pass. The number of passes grows with the vectors of a label, so that
+a pair right at the threshold still shares a long enough prefix in one of them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import spark_partition_id
 
 from demandloom.llm.components import components
-from demandloom.llm.shared import shuffle_partitions, stage
+from demandloom.llm.shared import broadcast_if_small, shuffle_partitions, stage
 
 COSINE = 0.93
 PASSES, BITS, WINDOW, BLOCK = 16, 32, 256, 1024
 SEED = 20_231
+#: Chance that no pass brings a pair at the threshold together, by which passes are added.
+MISSED = 1e-4
 
 
 def usable(vectors: DataFrame, id_col: str, label_col: str, vector_col: str) -> DataFrame:
@@ -40,32 +48,53 @@ def classes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("label", positive_zero.alias("vector")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
 
 
-def signatures(reps: DataFrame, passes: int = PASSES, bits: int = BITS, seed: int = SEED) -> DataFrame:
+def passes_for(n: int, least: int = PASSES, cosine: float = COSINE, window: int = WINDOW) -> int:
+    """Passes over n vectors: a pair must share about log2(n / (2 * window)) signs, each equal with 1 - angle / pi."""
+    signs = max(0.0, math.log2(max(n, 1) / (2 * window)))
+    together = (1 - math.acos(cosine) / math.pi) ** signs
+    return least if together == 1 else max(least, math.ceil(math.log(MISSED) / math.log1p(-together)))
+
+
+def with_passes(reps: DataFrame, least: int = PASSES) -> DataFrame:
+    """Adds ``passes``, by the number of vectors of the label."""
+    counts = stage(reps.groupBy("label").agg(F.count("*").alias("n")))
+    power = F.floor(F.log2(F.col("n").cast("double"))).cast("int") + 1
+    table = F.array(*[F.lit(passes_for(1 << k, least)) for k in range(64)])
+    return reps.join(broadcast_if_small(counts.select("label", table[power].alias("passes"))), "label")
+
+
+def signatures(reps: DataFrame, bits: int = BITS, seed: int = SEED) -> DataFrame:
     """Rows (turn, label, dim, sign, rep, unit): one per vector and pass; unit is the normalised vector."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple[int, int], np.ndarray] = {}
         weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             dims = batch["vector"].map(len)
             for dim, part in batch.groupby(dims):
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, passes * bits))
+                most = int(part["passes"].max())
+                for turn in range(most):
+                    if (dim, turn) not in planes:
+                        planes[dim, turn] = np.random.default_rng([seed, dim, turn]).standard_normal((dim, bits))
                 x = np.stack(part["vector"].to_numpy()).astype(np.float64)
                 x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the norm
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                signs = ((x @ planes[dim]).reshape(len(x), passes, bits) > 0) @ weights
-                unit = [v.tobytes() for v in x]
-                for turn in range(passes):
-                    yield pd.DataFrame({"turn": turn, "label": part["label"].to_numpy(), "dim": dim, "sign": signs[:, turn], "rep": part["rep"].to_numpy(), "unit": unit})
+                unit = np.array([v.tobytes() for v in x], object)
+                for turn in range(most):
+                    own = part["passes"].to_numpy() > turn
+                    signs = (x[own] @ planes[dim, turn] > 0) @ weights
+                    yield pd.DataFrame({"turn": turn, "label": part["label"].to_numpy()[own], "dim": dim, "sign": signs, "rep": part["rep"].to_numpy()[own], "unit": unit[own]})
 
-    return reps.select("label", "vector", "rep").mapInPandas(rows, "turn int, label string, dim int, sign long, rep long, unit binary")
+    return reps.select("label", "vector", "rep", "passes").mapInPandas(rows, "turn int, label string, dim int, sign long, rep long, unit binary")
 
 
 def numbered(signed: DataFrame) -> DataFrame:
-    """Adds ``number``, the place of each row in the order of (turn, label, dim, sign, rep) over all partitions."""
-    order = ["turn", "label", "dim", "sign", "rep"]
-    parts = signed.repartitionByRange(shuffle_partitions(signed.sparkSession), *order).sortWithinPartitions(*order)
+    """Adds ``number``, the place of each row in the order of (turn, label, dim, sign, tie) over all partitions.
+
+    The tie is a hash of turn and rep, so equal signs do not give the same neighbours in every pass.
+    """
+    order = ["turn", "label", "dim", "sign", "tie", "rep"]
+    parts = signed.withColumn("tie", F.xxhash64("turn", "rep")).repartitionByRange(shuffle_partitions(signed.sparkSession), *order).sortWithinPartitions(*order).drop("tie")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = 0
@@ -84,8 +113,17 @@ def numbered(signed: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(offsets), "part").select("turn", "label", "dim", "rep", "unit", (F.col("first") + F.col("place")).alias("number"))
 
 
-def near_pairs(rows: DataFrame, cosine: float = COSINE, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """Rows (a, b), a < b: vectors within a window of each other whose cosine is large enough, each pair once."""
+PAIRS = "a long, b long, open long"
+
+
+def _found(a: np.ndarray, b: np.ndarray, still_open: np.ndarray) -> pd.DataFrame:
+    """Pairs (a, b), and the numbers of the rows that link near the end of what they were compared with."""
+    pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "open": None})
+    return pd.concat([pairs, pd.DataFrame({"a": None, "b": None, "open": np.unique(still_open)})], ignore_index=True).astype("Int64")
+
+
+def _within(rows: DataFrame, cosine: float, window: int, block: int) -> DataFrame:
+    """Rows of ``PAIRS``: every row against the ``window`` rows after it."""
     own = F.floor(F.col("number") / block)
     ahead = F.when((F.col("number") % block < window) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
     dealt = rows.withColumn("block", F.explode(ahead))
@@ -93,19 +131,62 @@ def near_pairs(rows: DataFrame, cosine: float = COSINE, window: int = WINDOW, bl
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("number")
         first = int(frame["block"].iloc[0]) * block
-        number = frame["number"].to_numpy() - first
+        number = frame["number"].to_numpy()
         run = frame[["turn", "label", "dim"]].ne(frame[["turn", "label", "dim"]].shift()).any(axis=1).cumsum().to_numpy()
-        rep, found = frame["rep"].to_numpy(), []
+        rep, left, right = frame["rep"].to_numpy(), [], []
         for r in np.unique(run):
             at = np.flatnonzero(run == r)
             x = np.stack([np.frombuffer(u) for u in frame["unit"].iloc[at]])
             i, j = np.nonzero(np.triu(x @ x.T >= cosine, 1))
-            take = (j - i <= window) & (number[at[i]] < block)
-            found.append(np.stack([rep[at[i[take]]], rep[at[j[take]]]], axis=1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
+            take = (j - i <= window) & (number[at[i]] < first + block)
+            left.append(at[i[take]])
+            right.append(at[j[take]])
+        i, j = np.concatenate(left), np.concatenate(right)
+        return _found(rep[i], rep[j], number[i[number[j] - number[i] > window // 2]])
+
+    return dealt.groupBy("block").applyInPandas(compare, PAIRS)
+
+
+def _beyond(rows: DataFrame, still_open: DataFrame, low: int, high: int, cosine: float, block: int) -> DataFrame:
+    """Rows of ``PAIRS``: the open rows against those more than ``low`` and at most ``high`` after them, by pairs of blocks."""
+    place = lambda number: F.floor(number / block)
+    others = F.explode(F.sequence(place(F.col("open") + low + 1), place(F.col("open") + high)))
+    meets = stage(still_open.select(place(F.col("open")).alias("own"), others.alias("other")).distinct())
+    columns = ["own", "other", "ahead", "turn", "label", "dim", "rep", "unit", "number"]
+    tiled = rows.withColumn("tile", place(F.col("number")))
+    opened = tiled.join(still_open, F.col("number") == F.col("open")).withColumn("ahead", F.lit(False)).withColumnRenamed("tile", "own")
+    dealt = opened.join(meets, "own").select(*columns).union(tiled.withColumn("ahead", F.lit(True)).withColumnRenamed("tile", "other").join(meets, "other").select(*columns))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        number, rep, ahead, left, right = frame["number"].to_numpy(), frame["rep"].to_numpy(), frame["ahead"].to_numpy(), [], []
+        for at in frame.groupby(["turn", "label", "dim"], sort=False).indices.values():
+            a, b = at[~ahead[at]], at[ahead[at]]
+            if len(a) and len(b):
+                x, y = (np.stack([np.frombuffer(u) for u in frame["unit"].iloc[k]]) for k in (a, b))
+                i, j = np.nonzero(x @ y.T >= cosine)
+                far = number[b[j]] - number[a[i]]
+                take = (far > low) & (far <= high)
+                left.append(a[i[take]])
+                right.append(b[j[take]])
+        i, j = (np.concatenate(k) if k else np.zeros(0, np.int64) for k in (left, right))
+        return _found(rep[i], rep[j], number[i[number[j] - number[i] > (low + high) // 2]])
+
+    return dealt.groupBy("own", "other").applyInPandas(compare, PAIRS)
+
 
-    return dealt.groupBy("block").applyInPandas(compare, "a long, b long").distinct()
+def near_pairs(rows: DataFrame, cosine: float = COSINE, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """Rows (a, b), a < b: vectors near each other in a pass whose cosine is large enough, each pair once.
+
+    Every row meets the ``window`` rows after it; as long as it links in the second half of them, twice as many.
+    """
+    found = stage(_within(rows, cosine, window, block))
+    pairs, low = found, window
+    while True:
+        still_open = stage(found.where("open IS NOT NULL").select("open").distinct())
+        if still_open.isEmpty():
+            return pairs.where("a IS NOT NULL").select("a", "b").distinct()
+        found = stage(_beyond(rows, still_open, low, 2 * low, cosine, block))
+        pairs, low = pairs.union(found), 2 * low
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", passes: int = PASSES) -> DataFrame:
@@ -117,7 +198,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", label_col: str = "l
     """
     rows = usable(vectors, id_col, label_col, vector_col)
     groups = stage(classes(rows))
-    pairs = stage(near_pairs(numbered(signatures(groups, passes))))
+    pairs = stage(near_pairs(numbered(signatures(with_passes(groups, passes)))))
     sizes = groups.select("rep", "size")
     ways = pairs.union(pairs.select("b", "a")).toDF("rep", "other")
     others = ways.join(sizes.toDF("other", "more"), "other").groupBy("rep").agg(F.sum("more").alias("more"))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from demandloom.llm.near_vectors import near_vectors
+from demandloom.llm.near_vectors import near_vectors, passes_for
 
 
 def brute(rows):
@@ -52,3 +52,17 @@ def test_null_ids_and_empty_table(spark):
     got = sorted((tuple(r) for r in near_vectors(frame).collect()), key=str)
     assert [g[0] for g in got] == [4, 4, None] and [g[1] for g in got] == [1, 1, 0]
     assert near_vectors(frame.where("label = 9")).count() == 0
+
+
+def test_dense_groups_lose_no_link(spark):
+    rng = np.random.default_rng(8)
+    one, other = rng.standard_normal((2, 16))
+    rows = [(i, ((1 + i / 7000) * one).tolist(), 1) for i in range(1500)] + [(2000 + i, (other + 1e-3 * rng.standard_normal(16)).tolist(), 1) for i in range(700)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r.n_links, r.component_id) for r in got if r.vec_id < 2000} == {(1499, 0)}
+    assert {(r.n_links, r.component_id) for r in got if r.vec_id >= 2000} == {(699, 2000)}
+
+
+def test_passes_grow_with_the_vectors_of_a_label():
+    assert [passes_for(n) for n in (0, 1, 512, 10_000)] == [16] * 4
+    assert 16 < passes_for(300_000) < passes_for(3_000_000) < 60
