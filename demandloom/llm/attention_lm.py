@@ -7,7 +7,8 @@ P(text) is the product over its subword ids and one end id of P(class of id | id
   and agree in whether they end a word and whether they mostly go on with one.
 * P(class | before) is a self-attention layer with relative position bias over at most ``CONTEXT`` ids. It is trained by
   rounds of local Adam steps: every task works on the windows of its partition, Spark averages the weights by windows.
-  The windows cover every training document, one in ``WINDOW_EVERY`` ids, so the work grows with the corpus.
+  The windows cover every id of every training document. Each round takes its own share of them, so the whole text is
+  learned from once, and the neighbourhoods are counted over all of it.
 * Scoring cuts a document into windows that overlap by half. The first scores all its ids, each later one its second
   half, so every id is scored once with at least half a window before it. Windows are scored in batches under a causal mask.
 
@@ -222,6 +223,11 @@ def sample_starts(doc_id: int | None, length: int, every: int = WINDOW_EVERY, co
     return list(range(first, last + 1, every))
 
 
+def window_starts(length: int, context: int = CONTEXT) -> np.ndarray:
+    """Where windows begin so that they hold every id of a document; the last one may overlap the one before."""
+    return np.minimum(np.arange(0, max(length, 1), context), max(0, length - context))
+
+
 def gather(made: DataFrame, coded: DataFrame, end_id: int) -> DataFrame:
     """Staged rows of two kinds: (id, n) counts of the training documents of a block, and their windows as bytes.
 
@@ -238,7 +244,8 @@ def gather(made: DataFrame, coded: DataFrame, end_id: int) -> DataFrame:
             stream = id_stream(ids_of, own, end_id)
             counts += np.bincount(stream, minlength=end_id + 1)
             padded = np.concatenate(([end_id], stream, np.full(CONTEXT, end_id)))
-            windows.extend(padded[s : s + CONTEXT + 1].astype("<u4").tobytes() for s in sample_starts(doc_id, len(stream)))
+            cut = padded[window_starts(len(stream))[:, None] + np.arange(CONTEXT + 1)].astype("<u4")
+            windows.extend(w.tobytes() for w in cut)
         seen = np.flatnonzero(counts)
         return pd.concat([pd.DataFrame({"id": seen, "n": counts[seen], "window": None}), pd.DataFrame({"id": -1, "n": 1, "window": windows})])
 
@@ -269,7 +276,10 @@ def neighbourhoods(windows: DataFrame, anchors: np.ndarray, size: int, ends_word
                 np.add.at(present, (r, column[ids[r, c]]), 1)
                 inner = ends_word[ids[:, :-1]] == 0
                 told = np.concatenate([np.repeat(present, ids.shape[1] - 1, axis=0), np.ones_like(inner.reshape(-1, 1)), inner.reshape(-1, 1)], axis=1)
-                np.add.at(totals, ids[:, 1:].ravel(), told)
+                order = np.argsort(ids[:, 1:].ravel(), kind="stable")
+                own = ids[:, 1:].ravel()[order]
+                first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                totals[own[first]] += np.add.reduceat(told[order], first, axis=0)
         seen = np.flatnonzero(totals.any(axis=1))
         for at in range(0, len(seen), 5000):
             yield pd.DataFrame({"id": seen[at : at + 5000], "near": list(totals[seen[at : at + 5000]])})
@@ -299,9 +309,10 @@ def cluster(table: np.ndarray, counts: np.ndarray, clusters: int, rounds: int =
 
 def train(windows: DataFrame, classes: np.ndarray, n_classes: int, rounds: int = ROUNDS) -> Weights:
     weights = Weights.start(n_classes)
-    parts = windows.repartition(min(shuffle_partitions(windows.sparkSession), max(1, windows.count() // TASK_WINDOWS))).select("window")
+    tasks = min(shuffle_partitions(windows.sparkSession), max(1, windows.count() // (rounds * TASK_WINDOWS)))
     for turn in range(rounds):
         now, seed = weights, turn
+        parts = windows.where(F.pmod(F.xxhash64("window"), F.lit(rounds)) == turn).repartition(tasks).select("window")
 
         def fit(batches: Iterator[pd.DataFrame], now: Weights = now, seed: int = seed) -> Iterator[pd.DataFrame]:
             packed = [w for batch in batches for w in batch["window"]]

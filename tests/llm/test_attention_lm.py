@@ -6,7 +6,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from demandloom.llm.attention_lm import AttentionLM, Weights, local_steps, loss_and_gradient, sample_starts, score_documents
+from demandloom.llm.attention_lm import AttentionLM, Weights, gather, local_steps, loss_and_gradient, lower_words, sample_starts, score_documents, window_starts, word_answers
+from demandloom.llm.shared import documents as plain
+from demandloom.llm.shared import stage
+from demandloom.llm.wordblocks import blocks, code
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -107,3 +110,13 @@ def test_edge_cases(edge_docs, edge_rows, no_docs):
 
 def test_windows_cover_documents_of_any_length():
     assert sample_starts(5, 1) == [0] and len(sample_starts(5, 5120)) == 10
+
+
+def test_windows_hold_every_training_id(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(n)) for i, n in enumerate((0, 1, 7, 900))]
+    made = blocks(plain(spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")), lower_words, lambda doc_id: True)
+    rows = gather(made, stage(code(made, word_answers(VOCABULARY))), 49407).collect()
+    windows = np.stack([np.frombuffer(r.window, "<u4") for r in rows if r.id < 0])
+    assert {r.id for r in rows if r.id >= 0} == set(windows[:, 1:].ravel().tolist())
+    for n in range(1, 200):
+        assert {s + j for s in window_starts(n) for j in range(32)} >= set(range(n))
