@@ -2,7 +2,8 @@
 
 Pre-tokens are the matches of the published pattern. Each block of documents keeps them as positions, the distinct ones
 meet in buckets where each distinct pre-token of the corpus is encoded once, and the ids are joined back and reassembled
-by position (see ``wordblocks``). Decoding joins the ids with the token-byte table.
+by position (see ``wordblocks``). Decoding looks the ids of a block's distinct pre-tokens up in the token-byte table, which
+each task reads from the rank file; no Spark join is made for it.
 """
 
 from __future__ import annotations
