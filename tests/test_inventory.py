@@ -99,3 +99,17 @@ def test_mismatched_keys_fail_the_job(spark):
     calibration = spark.createDataFrame([("A", "x", 1.0)], "store_id string, item_id string, sigma_daily double")
     with pytest.raises(Exception, match="keys do not match"):
         iv.decision_inputs(forecast, state, calibration).collect()
+
+
+def test_every_declared_override_against_brute_force(spark):
+    from demandloom.catalog.q_inventory import OVERRIDES
+
+    rows = {r.what_if: r for r in iv.what_if(inputs(spark), OVERRIDES).collect()}
+    assert set(rows) == set(OVERRIDES)
+    longer = rows["longer lead time"]
+    safety = NormalDist().inv_cdf(0.99) * 1.5 * 14**0.5
+    assert (longer.lead_time_days, longer.service_level, longer.inventory_position) == (14, 0.99, 14.0)
+    assert (longer.lead_time_demand, longer.safety_stock) == pytest.approx((28.0, safety), rel=1e-9)
+    horizon = longer.planning_horizon_days
+    assert horizon > rows["saved"].planning_horizon_days
+    assert longer.recommended_order_qty == int(np.ceil(2.0 * horizon + safety - 14.0))
