@@ -4,7 +4,7 @@ Each document is cut into pieces of at most ``capacity`` tokens. A piece of size
 makes the sum over gaps g of (open sequences with gap g) squared smallest; opening a new sequence is one of the
 choices. Pieces come largest first, so the small ones at the end close what is left open.
 
-Packing works on shards: pieces are dealt by hash over ceil(pieces / shard_pieces) shards, each packed in its own
+Packing works on shards: pieces are dealt by the hash of their number over ceil(pieces / shard_pieces) shards, each packed in its own
 task, so memory is bounded and sequences waste at most a few gaps a shard. Only lengths are moved, never tokens.
 """
 
@@ -15,33 +15,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.llm.shared import documents, stage
-from demandloom.llm.wordcache import worker_encoder
+from demandloom.llm.wordcache import document_ids
 
 CAPACITY = 4096
 END_OF_DOCUMENT = 1
 SHARD_PIECES = 50_000
 
+_PIECE = pa.schema([("number", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+
 
 def piece_rows(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32) of every piece of every document."""
-    width, end = 4 * capacity, end_id.to_bytes(4, "little")
+    """Rows (number, doc_id, piece, start, length, ids_crc32) of every piece of every document; numbers are unique."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = worker_encoder(vocabulary)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            out = []
-            for doc_id, ids in zip(batch["doc_id"], encoder.texts(batch["text"].tolist())):
-                stream = ids + end
-                for piece, at in enumerate(range(0, len(stream), width)):
-                    part = stream[at : at + width]
-                    out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            doc_ids = batch.column("doc_id").to_pylist()
+            for row, stream, bounds in document_ids(batch, vocabulary, end_id):
+                out, view = [], memoryview(stream)
+                for doc_id, begin, stop in zip(doc_ids[row:], bounds[:-1].tolist(), bounds[1:].tolist()):
+                    for piece, at in enumerate(range(begin, stop, capacity)):
+                        upto = min(at + capacity, stop)
+                        out.append((number, doc_id, piece, at - begin, upto - at, zlib.crc32(view[at:upto])))
+                        number += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _PIECE.types)], schema=_PIECE)
 
-    return docs.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.mapInArrow(cut, "number long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +63,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         after[:1] = -1  # a closed sequence adds nothing: 2 * (-1) + 1 + 1 = 0
         change = 2 * (after - gaps) + 2  # (N(g)-1)^2 - N(g)^2 + (N(g-s)+1)^2 - N(g-s)^2
         if s < capacity:
-            change[:1] -= 1  # exactly full: only -2 N(s) + 1
+            change[:1] += 1  # exactly full: -2 N(s) + 1, no other count changes
         change[gaps == 0] = np.iinfo(np.int64).max
         fresh = 2 * int(open_count[capacity - s]) + 1 if s < capacity else 0
         best = int(change.argmin()) if len(change) else -1
@@ -93,7 +98,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, e
         frame["sequence_id"] = local * shards + frame["shard"]
         return frame.drop(columns="shard")
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("long"))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("number"), F.lit(shards)).cast("long")).drop("number")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, offset long, sequence_id long"
     packed = dealt.groupBy("shard").applyInPandas(pack, schema)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -1,30 +1,51 @@
 """Ids of ``word_bpe_49k.json`` word by word.
 
-This tokenizer drops white space before it merges, so the ids of a text are the ids of its words in order. Words here
-are split at ASCII white space only, which every rule of the tokenizer splits at.
+This tokenizer drops white space before it merges, so the ids of a text are the ids of its words in order, and a cut
+that its own rules make anyway may be written as a space: texts are split at ASCII white space and between an ASCII or
+Latin-1 letter and an ASCII mark other than the apostrophe, which begins contractions. Lower-casing comes before the
+split, as in the tokenizer, so ``Word``, ``word`` and ``word.`` share one entry.
+
+Splitting, numbering of the words and joining of their ids are Arrow and numpy calls on whole batches; Python touches
+each distinct word of a batch once.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words handed to the tokenizer at a time.
 BATCH = 20_000
-#: Words a Python worker remembers, in each of two generations.
-REMEMBERED = 400_000
+#: Words a Python worker remembers before it starts afresh.
+REMEMBERED = 500_000
+#: Bytes of text handled at a time (one longer text is handled alone).
+CHUNK_BYTES = 4 << 20
+
+_LETTER = "[a-zÀ-ÖØ-öø-ÿ]"
+_MARK = r"[!-&(-/:-@\[-`{-~]"
 
 
 def encode_words(vocabulary: str, words: list[bytes]) -> list[bytes]:
     """The ids of each word as little-endian 32-bit numbers; special tokens in a word are ordinary text."""
+    flat, lengths = word_ids(vocabulary, [w.decode("utf-8", "replace") for w in words])
+    body, ends = flat.tobytes(), (4 * np.cumsum(lengths)).tolist()
+    return [body[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def word_ids(vocabulary: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the words in order, and how many each word has."""
     tokenizer = _tokenizer(vocabulary)
-    out: list[bytes] = []
+    flat, lengths = [], []
     for at in range(0, len(words), BATCH):
-        texts = [w.decode("utf-8", "replace") for w in words[at : at + BATCH]]
-        out.extend(np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
-    return out
+        ids = [e.ids for e in tokenizer.encode_batch_fast(words[at : at + BATCH], add_special_tokens=False)]
+        lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        flat.append(np.fromiter(chain.from_iterable(ids), "<u4", int(lengths[-1].sum())))
+    return np.concatenate([np.zeros(0, "<u4"), *flat]), np.concatenate([np.zeros(0, np.int64), *lengths])
 
 
 _TOKENIZERS: dict = {}
@@ -40,27 +61,58 @@ def _tokenizer(vocabulary: str):
     return _TOKENIZERS[vocabulary]
 
 
+def split_words(texts: pa.Array) -> pa.Array:
+    """The words of each text, with empty ones at its ends."""
+    lowered = pc.ascii_lower(texts)
+    lowered = pc.replace_substring_regex(lowered, f"({_LETTER})({_MARK})", r"\1 \2")
+    lowered = pc.replace_substring_regex(lowered, f"({_MARK})({_LETTER})", r"\1 \2")
+    return pc.ascii_split_whitespace(lowered)
+
+
 class WordEncoder:
-    """Texts to ids with a memory of words: those met since the last turn of generations, and those of the one before."""
+    """Texts to ids with a memory of words: a number for each word, and its ids in one growing array."""
 
     def __init__(self, vocabulary: str, remembered: int = REMEMBERED):
         self._vocabulary, self._remembered = vocabulary, remembered
-        self._young: dict[bytes, bytes] = {}
-        self._old: dict[bytes, bytes] = {}
-
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
-        """The little-endian 32-bit ids of each text."""
-        for at in range(0, len(texts), 64):
-            split = [text.encode().split() for text in texts[at : at + 64]]
-            if len(self._young) > self._remembered:
-                self._old, self._young = self._young, {}
-            young, old = self._young, self._old
-            missing = set().union(*split).difference(young)
-            unknown = [w for w in missing if w not in old]
-            young.update((w, old[w]) for w in missing if w in old)
-            young.update(zip(unknown, encode_words(self._vocabulary, unknown)))
-            for words in split:
-                yield b"".join([young[w] for w in words])
+        self._forget()
+
+    def _forget(self) -> None:
+        self._number: dict[str, int] = {}
+        self._ids, self._start = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        if len(self._number) > self._remembered:
+            self._forget()
+        unknown = [w for w in words if w not in self._number]
+        if unknown:
+            flat, lengths = word_ids(self._vocabulary, unknown)
+            self._number.update(zip(unknown, range(len(self._number), len(self._number) + len(unknown))))
+            self._ids = np.concatenate([self._ids, flat])
+            self._start = np.concatenate([self._start, self._start[-1] + np.cumsum(lengths)])
+        return np.fromiter(map(self._number.__getitem__, words), np.int64, len(words))
+
+    def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = split_words(texts)
+        coded = split.flatten().dictionary_encode()
+        numbers = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        at = self._start[numbers][coded.indices.to_numpy()]
+        lengths = np.diff(self._start)[numbers][coded.indices.to_numpy()]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        at -= ends - lengths
+        stream = self._ids[np.arange(total) + np.repeat(at, lengths)]
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return stream, bounds
+
+    def texts(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids of the rows, where each row begins and the last one ends) of successive chunks."""
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        row = 0
+        while row < len(texts):
+            upto = int(np.searchsorted(size, (size[row - 1] if row else 0) + CHUNK_BYTES, "right"))
+            upto = max(row + 1, upto)
+            yield row, *self._chunk(texts.slice(row, upto - row))
+            row = upto
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -69,3 +121,10 @@ _ENCODERS: dict[str, WordEncoder] = {}
 def worker_encoder(vocabulary: str) -> WordEncoder:
     """One encoder a Python worker, so that its memory serves all its tasks."""
     return _ENCODERS.setdefault(vocabulary, WordEncoder(vocabulary))
+
+
+def document_ids(batch: pa.RecordBatch, vocabulary: str, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """As ``texts``, for the column ``text`` of a batch, with ``end_id`` behind each document."""
+    column = batch.column("text")
+    for row, stream, bounds in worker_encoder(vocabulary).texts(column.cast(pa.string()) if column.type != pa.string() else column):
+        yield row, np.insert(stream, bounds[1:], end_id), bounds + np.arange(len(bounds))

@@ -2,13 +2,17 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from demandloom.llm.packing import pack_documents, sum_of_squares
+from demandloom.llm.wordcache import WordEncoder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZER = Tokenizer.from_file(VOCABULARY)
+TOKENIZER.encode_special_tokens = True
 
 
 def naive(lengths, capacity):
@@ -44,11 +48,9 @@ def test_rule_and_layout(lengths):
 
 
 def check(frame, rows, capacity):
-    tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     expected = []
     for i, text in rows:
-        ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
+        ids = np.array(TOKENIZER.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
         for k in range(0, len(ids), capacity):
             expected.append((i, k // capacity, k, len(ids[k : k + capacity]), zlib.crc32(ids[k : k + capacity].tobytes())))
     got = frame.collect()
@@ -71,3 +73,18 @@ def test_edge_cases(edge_docs, edge_rows, no_docs):
 def test_documents_fill_their_sequences(documents):
     used, bound = check(pack_documents(documents, VOCABULARY), [(r.doc_id, r.text) for r in documents.collect()], 4096)
     assert used <= 1.05 * bound + 1
+
+
+def test_exact_fit_counts_as_one_closed_sequence():
+    """The last piece goes to the sequence with gap 5: the change there is smaller than for an exact fit of gap 1."""
+    _, offset = sum_of_squares(np.array([7, 7, 9, 2, 1], np.int64), 12)
+    assert (12 - offset).tolist() == [12, 12, 12, 3, 5]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from(" \t\n\x1c\xa0aZzéÉßẞİıσςΣ'’.,&$-!=<>019²½…̸̀⃣中क्😀|_`~\x7f\x85"), max_size=30), max_size=6))
+def test_words_give_the_ids_of_whole_texts(texts):
+    texts = [*texts, "it's we'll.don't-'re 's'S '.t &'m a.'s <|endoftext|>x"]
+    encoder = WordEncoder(VOCABULARY, remembered=3)
+    got = [stream[a:b].tolist() for _, stream, bounds in encoder.texts(pa.array(texts, pa.string())) for a, b in zip(bounds[:-1], bounds[1:])]
+    assert got == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
