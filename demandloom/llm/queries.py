@@ -13,6 +13,7 @@ from demandloom.llm.byte_bpe import encode_documents
 from demandloom.llm.chat import format_conversations
 from demandloom.llm.exact_dedup import exact_dedup
 from demandloom.llm.jaccard import jaccard_components
+from demandloom.llm.mixture import pack_mixture
 from demandloom.llm.near_vectors import near_vectors
 from demandloom.llm.packing import pack_documents
 from demandloom.llm.pii import find_pii
@@ -107,3 +108,9 @@ def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """The source is the host, and its part in one language the path below it."""
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     return score_quality(read_documents(spark, folder), labels, F.col("source"), F.col("lang"))
+
+
+@register("op13_mixture_packing")
+def op13_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Without targets: every sequence holds the sources in their shares of all tokens."""
+    return pack_mixture(read_documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))

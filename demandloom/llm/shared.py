@@ -53,9 +53,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only (doc_id, text), null text as empty; other columns cannot clash with an operator's own."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Only (doc_id, text) and the strings ``keep``, nulls as empty; other columns cannot clash with an operator's own."""
+    strings = {"text": text_col, **{name: name for name in keep or []}}
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        *[F.coalesce(F.col(column).cast("string"), F.lit("")).alias(name) for name, column in strings.items()],
+    )
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
