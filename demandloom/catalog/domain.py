@@ -12,10 +12,11 @@ from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from demandloom.operators import features, forecast, inventory
+from demandloom.operators import features, folds, forecast, inventory, learned, metrics, ranking, ridge, trees
 from demandloom.sources import retail
-from demandloom.sources.parameters import LOCKED, SERIES
+from demandloom.sources.parameters import FOLDS, LOCKED, SERIES
 from demandloom.sources.sinks import scratch_path
 from demandloom.sources.tables import read_table, through_date
 
@@ -113,6 +114,67 @@ class Retail:
             "predictions", lambda: forecast.fold_predictions(self.active.join(self.series_bands, SERIES))
         )
 
+    @cached_property
+    def origins(self) -> DataFrame:
+        """Per fold and series, what is known at the fold's origin."""
+        return forecast.origins(forecast.series_history(self.active.join(self.series_bands, SERIES), "dept_id", "demand_band"))
+
+    @cached_property
+    def ridge_weights(self) -> DataFrame:
+        return self.stage("ridge-weights", lambda: ridge.fit_ridge(folds.training_rows(self.features)))
+
+    @cached_property
+    def tree_training(self) -> DataFrame:
+        return self.stage("tree-training", lambda: trees.training_table(folds.training_rows(self.features)))
+
+    @cached_property
+    def tree_nodes(self) -> DataFrame:
+        """Both families with their base settings on all folds."""
+        return self.stage("tree-nodes", lambda: trees.fit_trees(self.tree_training, trees.BASE, [f[0] for f in FOLDS]))
+
+    def forecasts_of(self, nodes: DataFrame) -> DataFrame:
+        steps = trees.recursive_forecast(trees.ensembles(nodes), learned.origin_states(self.origins), learned.fold_context(self.features))
+        return learned.with_actuals(steps.withColumnRenamed("configuration", "model_name"), self.features, self.origins)
+
+    @cached_property
+    def learned_predictions(self) -> DataFrame:
+        """Ridge and both tree families, forecast recursively on all folds, with actuals."""
+
+        def build() -> DataFrame:
+            steps = ridge.recursive_forecast(self.ridge_weights, learned.origin_states(self.origins), learned.fold_context(self.features))
+            scored = learned.with_actuals(steps.withColumn("model_name", F.lit("ridge")), self.features, self.origins)
+            return scored.unionByName(self.forecasts_of(self.tree_nodes))
+
+        return self.stage("learned-predictions", build)
+
+    @cached_property
+    def better_family(self) -> str:
+        """The tree family that the balanced ranking puts first with its base settings."""
+        ranks = ranking.balanced_ranking(self.all_metrics).where(F.col("model_name").isin(*trees.BASE))
+        return ranks.orderBy("selection_rank", "model_name").first()["model_name"]
+
+    @cached_property
+    def tuned_predictions(self) -> DataFrame:
+        """The better family with each of its six settings; the first is the base, already forecast."""
+
+        def build() -> DataFrame:
+            family = self.better_family
+            settings = {f"{family}_{i}": s for i, s in enumerate(trees.GRIDS[family])}
+            base, *_ = settings
+            nodes = trees.fit_trees(self.tree_training, {n: s for n, s in settings.items() if n != base}, [f[0] for f in FOLDS])
+            stored = self.stage("tuned-nodes", lambda: nodes)
+            known = self.learned_predictions.where(F.col("model_name") == family).withColumn("model_name", F.lit(base))
+            return known.unionByName(self.forecasts_of(stored))
+
+        return self.stage("tuned-predictions", build)
+
+    @cached_property
+    def all_metrics(self) -> DataFrame:
+        """Metric cube over baselines, ridge and both tree families."""
+        shared = [c for c in self.predictions.columns if c in self.learned_predictions.columns]
+        both = self.predictions.select(*shared).unionByName(self.learned_predictions.select(*shared))
+        return self.stage("all-metrics", lambda: metrics.metrics(both))
+
     @cached_property
     def deployed(self) -> DataFrame:
         """Recursive mean forecast from the end of the locked window."""

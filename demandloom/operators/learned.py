@@ -1,28 +1,14 @@
-"""Learned forecasters on pyspark.ml: global ridge and boosted trees, evaluated recursively.
-
-Fits run as Spark jobs on all feature-ready rows of a fold. The ridge recursion is a fold
-over arrays inside one projection; the tree recursion is a loop over horizon days whose
-state is one row per series, with a reliable checkpoint every few steps.
-"""
+"""What all learned forecasters share: predictors, training-only encodings and scalings, states, actuals, diagnostics."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import ElementwiseProduct, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from demandloom.functions.columns import none_token
-from demandloom.operators.folds import KNOWN_IN_ADVANCE
-from demandloom.operators.forecast import demand_state_features
-from demandloom.session import cut_lineage
-from demandloom.sources.parameters import HORIZON, SERIES
+from demandloom.operators.folds import KNOWN_IN_ADVANCE, fold_rows
+from demandloom.sources.parameters import SERIES
 
 # Predictors of the learned models.
 CATEGORICAL = ["item_id", "store_id", "dept_id", "event_name_1", "event_type_1", "event_name_2", "event_type_2"]
@@ -34,34 +20,18 @@ RECURSIVE = [
     "sales_lag_1", "sales_lag_7", "sales_lag_14", "sales_lag_28",
     "sales_roll_mean_7", "sales_roll_mean_14", "sales_roll_mean_28", "sales_roll_std_7", "sales_roll_std_28",
 ]
-TREE_CONFIGS = {
-    "boosted_shallow": {"maxIter": 6, "maxDepth": 3, "stepSize": 0.2, "subsamplingRate": 1.0},
-    "boosted_deep": {"maxIter": 4, "maxDepth": 4, "stepSize": 0.2, "subsamplingRate": 0.9},
-}
 
 
-def model_frame(df: DataFrame, recursive: bool = True) -> DataFrame:
-    """Null-token categories and double numerics; other columns pass through."""
-    columns = {c: none_token(F.col(c)) for c in CATEGORICAL if c not in SERIES and c != "dept_id"}
-    numeric = KNOWN_NUMERIC + (RECURSIVE if recursive else [])
-    return df.withColumns({**columns, **{c: F.col(c).cast("double") for c in numeric}})
+def category_counts(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows per categorical column and category, nulls as a category of their own."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), none_token(F.col(c)).alias("category")) for c in CATEGORICAL])
+    return rows.select(*keys, F.inline(pairs)).groupBy(*keys, "column_name", "category").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def category_table(training: DataFrame, *keys: str) -> DataFrame:
     """Training-only categories per column with a stable alphabetical code."""
-    pairs = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), none_token(F.col(c)).alias("category")) for c in CATEGORICAL
-    ])
-    counted = training.select(*keys, F.inline(pairs)).groupBy(*keys, "column_name", "category").agg(F.count(F.lit(1)).alias("n_rows"))
     order = W.partitionBy(*keys, "column_name").orderBy("category")
-    return counted.withColumn("code", F.row_number().over(order) - 1)
-
-
-def ordinal_codes(df: DataFrame, categories: DataFrame, column: str, *keys: str) -> DataFrame:
-    """Fitted code of one column, -1 for a category the training rows never had."""
-    codes = categories.where(F.col("column_name") == column).select(*keys, F.col("category").alias(column), F.col("code").alias(f"{column}_code"))
-    joined = df.withColumn(column, none_token(F.col(column))).join(codes, [*keys, column], "left")
-    return joined.withColumn(f"{column}_code", F.coalesce(f"{column}_code", F.lit(-1)))
+    return category_counts(training, *keys).withColumn("code", F.row_number().over(order) - 1)
 
 
 def scaling_table(training: DataFrame, *keys: str) -> DataFrame:
@@ -75,186 +45,21 @@ def scaling_table(training: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def encoder_stages(one_hot: bool) -> list:
-    indexed = [f"{c}_index" for c in CATEGORICAL]
-    stages: list = [StringIndexer(inputCols=CATEGORICAL, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc")]
-    if one_hot:
-        # "keep" adds an unknown slot last and dropLast removes it: unknown is all zeros.
-        stages.append(OneHotEncoder(inputCols=indexed, outputCols=[f"{c}_hot" for c in CATEGORICAL]))
-    return stages
-
-
-@dataclass
-class Ridge:
-    """Fitted ridge: pipeline plus the few numbers the recursion needs."""
-
-    pipeline: PipelineModel
-    means: list[float] = field(default_factory=list)
-    slopes: list[float] = field(default_factory=list)
-    training_rows: int = 0
-
-
-def fit_ridge(training: DataFrame, alpha: float = 1.0) -> Ridge:
-    """Minimises ||y - Xw||^2 + alpha ||w||^2 on one-hot categories and population-scaled numerics.
-
-    Spark divides the penalty by the label deviation, hence regParam = alpha * sigma_y / n.
-    """
-    frame = model_frame(training)
-    facts = frame.agg(
-        F.count(F.lit(1)).alias("n"), F.stddev_pop("sales").alias("spread"),
-        *[F.avg(c).alias(f"m_{c}") for c in RECURSIVE], *[F.stddev_pop(c).alias(f"s_{c}") for c in RECURSIVE],
-    ).first()
-    if not facts.n:
-        raise ValueError("no training rows")
-    numeric = KNOWN_NUMERIC + RECURSIVE
-    correction = (facts.n / (facts.n - 1)) ** 0.5
-    stages = [
-        *encoder_stages(True),
-        VectorAssembler(inputCols=numeric, outputCol="numeric_raw"),
-        StandardScaler(inputCol="numeric_raw", outputCol="numeric_sample", withMean=True, withStd=True),
-        ElementwiseProduct(inputCol="numeric_sample", outputCol="numeric_scaled", scalingVec=Vectors.dense([correction] * len(numeric))),
-        VectorAssembler(inputCols=[*[f"{c}_hot" for c in CATEGORICAL], "numeric_scaled"], outputCol="predictors"),
-        LinearRegression(
-            featuresCol="predictors", labelCol="label", regParam=alpha * facts.spread / facts.n, elasticNetParam=0.0,
-            standardization=False, solver="normal",
-        ),
-    ]
-    model = Pipeline(stages=stages).fit(frame.withColumn("label", F.col("sales").cast("double")))
-    weights = model.stages[-1].coefficients.toArray()[-len(RECURSIVE):]
-    deviations = [facts[f"s_{c}"] or 1.0 for c in RECURSIVE]
-    return Ridge(model, [float(facts[f"m_{c}"]) for c in RECURSIVE], [float(w / s) for w, s in zip(weights, deviations)], facts.n)
-
-
-def recursive_ridge(ridge: Ridge, states: DataFrame, context: DataFrame) -> DataFrame:
-    """All horizon days of all series in one projection.
-
-    The known-in-advance part of every day comes from one transform with the demand features
-    at their means (zero after scaling); the recursion then only adds the nine demand terms.
-    """
-    means = dict(zip(RECURSIVE, ridge.means))
-    neutral = model_frame(context.withColumns({c: F.lit(v) for c, v in means.items()}))
-    scored = ridge.pipeline.transform(neutral).select(*SERIES, "date", "prediction")
-    days = scored.groupBy(*SERIES).agg(F.sort_array(F.collect_list(F.struct("date", "prediction"))).alias("days"))
-    joined = states.select(*SERIES, "state").join(days, SERIES)
-
-    def step(acc: Column, day: Column) -> Column:
-        features = demand_state_features(acc["state"])
-        raw = day["prediction"]
-        for name, mean, slope in zip(RECURSIVE, ridge.means, ridge.slopes):
-            raw = raw + F.lit(slope) * (features[name] - F.lit(mean))
-
-        def extend(value: Column) -> Column:
-            return F.struct(
-                F.slice(F.concat(acc["state"], F.array(F.greatest(value, F.lit(0.0)))), 2, 28).alias("state"),
-                F.concat(acc["raw"], F.array(value)).alias("raw"),
-            )
-
-        return F.element_at(F.transform(F.array(raw), extend), 1)
-
-    start = F.struct(F.col("state").alias("state"), F.array().cast("array<double>").alias("raw"))
-    folded = joined.withColumn("raw", F.aggregate("days", start, step, lambda acc: acc["raw"]))
-    steps = folded.select(*SERIES, F.posexplode(F.arrays_zip(F.col("days.date").alias("d"), F.col("raw").alias("r"))).alias("p", "z"))
-    return steps.select(
-        *SERIES, F.col("z.d").alias("target_date"), (F.col("p") + 1).alias("horizon_day"),
-        F.col("z.r").alias("raw_forecast"), F.greatest(F.col("z.r"), F.lit(0.0)).alias("forecast"),
-    )
-
-
-@dataclass
-class Trees:
-    encoder: PipelineModel
-    regressor: object
-    training_rows: int = 0
-
-
-def fit_trees(training: DataFrame, config: dict, *, one_hot: bool = False, seed: int = 42) -> Trees:
-    """Boosted trees on ordinal (or one-hot) categories and median-imputed numerics."""
-    frame = model_frame(training).withColumn("label", F.col("sales").cast("double"))
-    filled = [f"{c}_filled" for c in KNOWN_NUMERIC]
-    suffix = "_hot" if one_hot else "_index"
-    encoder = Pipeline(stages=[
-        *encoder_stages(one_hot),
-        Imputer(inputCols=KNOWN_NUMERIC, outputCols=filled, strategy="median"),
-        VectorAssembler(inputCols=[*[f"{c}{suffix}" for c in CATEGORICAL], *filled], outputCol="known"),
-    ]).fit(frame)
-    assembled = assemble(encoder.transform(frame)).select("predictors", "label")
-    regressor = GBTRegressor(featuresCol="predictors", labelCol="label", seed=seed, maxBins=64, **config).fit(assembled)
-    return Trees(encoder, regressor)
-
-
-def assemble(df: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=["known", *RECURSIVE], outputCol="predictors").transform(df)
-
-
-def recursive_trees(trees: Trees, states: DataFrame, context: DataFrame, *, horizon: int = HORIZON, every: int = 6) -> DataFrame:
-    """Day by day: demand features from the state, predict, clip, append.
-
-    Known-in-advance vectors are encoded once for all days. The state is one row per series;
-    lineage is cut every ``every`` steps.
-    """
-    known = trees.encoder.transform(model_frame(context, recursive=False)).select(*SERIES, "date", vector_to_array("known").alias("known"))
-    days = known.groupBy(*SERIES).agg(F.sort_array(F.collect_list(F.struct("date", "known"))).alias("days"))
-    rows = states.select(*SERIES, "state").join(days, SERIES).withColumn("raw", F.array().cast("array<double>"))
-    # the step's columns refer to the state by name, so they are built once
-    demand = [column.alias(name) for name, column in demand_state_features(F.col("state")).items()]
-    assembler = VectorAssembler(inputCols=["known", *RECURSIVE], outputCol="predictors")
-    advanced = [
-        *SERIES, "days",
-        F.slice(F.concat("state", F.array(F.greatest("prediction", F.lit(0.0)))), 2, 28).alias("state"),
-        F.concat("raw", F.array("prediction")).alias("raw"),
-    ]
-    for step in range(1, horizon + 1):
-        known_today = array_to_vector(F.element_at("days", step)["known"]).alias("known")
-        inputs = rows.select(*SERIES, "days", "state", "raw", known_today, *demand)
-        rows = trees.regressor.transform(assembler.transform(inputs)).select(*advanced)
-        if step % every == 0 and step < horizon:
-            rows = cut_lineage(rows)
-    steps = rows.select(*SERIES, F.posexplode(F.arrays_zip(F.col("days.date").alias("d"), F.col("raw").alias("r"))).alias("p", "z"))
-    return steps.select(
-        *SERIES, F.col("z.d").alias("target_date"), (F.col("p") + 1).alias("horizon_day"),
-        F.col("z.r").alias("raw_forecast"), F.greatest(F.col("z.r"), F.lit(0.0)).alias("forecast"),
-    )
-
-
 def origin_states(origin_rows: DataFrame) -> DataFrame:
     """Last 28 known values per fold and series."""
     return origin_rows.select("fold", *SERIES, F.slice("known", -28, 28).alias("state"))
 
 
-def fold_forecast(model, features: DataFrame, origin_rows: DataFrame, fold: tuple[str, str, str]) -> DataFrame:
-    """Recursive forecast of one fold with a fitted model."""
-    name, start, end = fold
-    context = features.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).select(*KNOWN_IN_ADVANCE)
-    states = origin_states(origin_rows).where(F.col("fold") == name)
-    run = recursive_ridge if isinstance(model, Ridge) else recursive_trees
-    return run(model, states, context).withColumn("fold", F.lit(name))
-
+def fold_context(features: DataFrame, *, locked: bool = False) -> DataFrame:
+    """What is known in advance about the target days of each fold."""
+    return fold_rows(features.select(*KNOWN_IN_ADVANCE), locked=locked)
 
-def training_rows(features: DataFrame, start: str) -> DataFrame:
-    return features.where(F.col("is_feature_ready") & (F.col("date") < F.lit(start).cast("date")))
 
-
-def evaluate_folds(fit, name: str, features: DataFrame, origin_rows: DataFrame, folds: list[tuple[str, str, str]]) -> DataFrame:
-    """Fit on the rows before each fold, forecast it recursively, attach actuals afterwards."""
-    parts = [fold_forecast(fit(training_rows(features, f[1])), features, origin_rows, f) for f in folds]
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
+def with_actuals(forecasts: DataFrame, features: DataFrame, origin_rows: DataFrame) -> DataFrame:
+    """Forecasts (fold, model_name, series, target_date, ...) next to what was sold, in the columns the metrics need."""
     known = origin_rows.drop("known", "start_date", "end_date")
     actuals = features.select(*SERIES, F.col("date").alias("target_date"), F.col("sales").alias("actual"))
-    joined = stacked.join(known, ["fold", *SERIES]).join(actuals, [*SERIES, "target_date"])
-    return joined.withColumn("model_name", F.lit(name)).withColumnRenamed("origin", "forecast_origin")
-
-
-def tune(configs: dict[str, dict], features: DataFrame, origin_rows: DataFrame, fold: tuple[str, str, str]) -> DataFrame:
-    """Recursive fold error of each listed tree configuration, best first (no random folds)."""
-    rows = None
-    for name, config in configs.items():
-        scored = evaluate_folds(lambda t, c=config: fit_trees(t, c), name, features, origin_rows, [fold]).groupBy("model_name", "fold").agg(
-            F.avg(F.abs(F.col("forecast") - F.col("actual"))).alias("mae"), F.count(F.lit(1)).alias("n_rows")
-        )
-        rows = scored if rows is None else rows.unionByName(scored)
-    return rows.orderBy("mae", "model_name")
+    return forecasts.join(known, ["fold", *SERIES]).join(actuals, [*SERIES, "target_date"]).withColumnRenamed("origin", "forecast_origin")
 
 
 def raw_negatives(forecasts: DataFrame, *keys: str) -> DataFrame:
@@ -273,35 +78,3 @@ def unseen_categories(scored: DataFrame, categories: DataFrame, *keys: str) -> D
     counts = unseen.groupBy(*keys, "column_name").agg(F.count(F.lit(1)).alias("unseen_categories"))
     all_columns = categories.groupBy(*keys, "column_name").agg(F.count(F.lit(1)).alias("training_categories"), F.sum("n_rows").alias("encoder_rows"))
     return all_columns.join(counts, [*keys, "column_name"], "left").withColumn("unseen_categories", F.coalesce("unseen_categories", F.lit(0)))
-
-
-def produce(states: DataFrame, context: DataFrame, model, horizon: int) -> DataFrame:
-    """Forecast API: horizon 1, 7 or 30 and exactly one context row per series and day."""
-    if horizon not in (1, 7, 30):
-        raise ValueError("horizon must be 1, 7 or 30")
-    counted = context.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("date").alias("_d"))
-    whole = (F.col("_n") == horizon) & (F.col("_d") == horizon)
-    fail = F.raise_error(F.lit("context must hold one row per series and target day")).cast("boolean")
-    checked = states.join(counted, SERIES, "left").where(F.when(whole, True).otherwise(fail)).drop("_n", "_d")
-    if isinstance(model, Ridge):
-        return recursive_ridge(model, checked, context)
-    return recursive_trees(model, checked, context, horizon=horizon)
-
-
-def save(ridge: Ridge, path: str) -> str:
-    """Pipeline and recursion numbers side by side in one folder."""
-    ridge.pipeline.write().overwrite().save(f"{path}/pipeline")
-    rows = [(i, name, m, s) for i, (name, m, s) in enumerate(zip(RECURSIVE, ridge.means, ridge.slopes))]
-    _session().createDataFrame(rows, "position int, feature string, mean double, slope double").coalesce(1).write.mode("overwrite").parquet(f"{path}/recursion")
-    return path
-
-
-def load(path: str) -> Ridge:
-    rows = _session().read.parquet(f"{path}/recursion").orderBy("position").collect()  # nine rows
-    if [r.feature for r in rows] != RECURSIVE:
-        raise ValueError("stored model does not have the expected recursive features")
-    return Ridge(PipelineModel.load(f"{path}/pipeline"), [r.mean for r in rows], [r.slope for r in rows])
-
-
-def _session() -> SparkSession:
-    return SparkSession.getActiveSession()
