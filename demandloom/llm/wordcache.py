@@ -26,6 +26,10 @@ REMEMBERED = 500_000
 #: Bytes of text handled at a time (one longer text is handled alone).
 CHUNK_BYTES = 4 << 20
 
+#: Words of a line, and lines handed over at a time, where words need no normalising.
+LINE = 128
+
+PLAIN = "^[a-zß-öø-ÿ]+$"
 _LETTER = "[a-zÀ-ÖØ-öø-ÿ]"
 _MARK = r"[!-&(-/:-@\[-`{-~]"
 
@@ -48,7 +52,35 @@ def word_ids(vocabulary: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([np.zeros(0, "<u4"), *flat]), np.concatenate([np.zeros(0, np.int64), *lengths])
 
 
+def plain_word_ids(vocabulary: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for words of PLAIN letters alone. Such a word is one pre-token and needs no normalising, so the merges
+    are all that is left to do; words are handed over in lines, and the ids that end a word tell where it ends."""
+    tokenizer, last = _plain_tokenizer(vocabulary)
+    lines = [" ".join(words[at : at + LINE]) for at in range(0, len(words), LINE)]
+    flat = [np.zeros(0, "<u4")]
+    for at in range(0, len(lines), LINE):
+        flat += [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(lines[at : at + LINE], add_special_tokens=False)]
+    ids = np.concatenate(flat)
+    return ids, np.diff(np.flatnonzero(last[ids]), prepend=-1)
+
+
 _TOKENIZERS: dict = {}
+_PLAIN_TOKENIZERS: dict = {}
+
+
+def _plain_tokenizer(vocabulary: str):
+    if vocabulary not in _PLAIN_TOKENIZERS:
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        tokenizer = Tokenizer.from_file(vocabulary)
+        tokenizer.encode_special_tokens = True
+        tokenizer.normalizer = normalizers.Sequence([])
+        tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        last = np.zeros(tokenizer.get_vocab_size(), bool)
+        for token, i in tokenizer.get_vocab().items():
+            last[i] = token.endswith("</w>")
+        _PLAIN_TOKENIZERS[vocabulary] = tokenizer, last
+    return _PLAIN_TOKENIZERS[vocabulary]
 
 
 def _tokenizer(vocabulary: str):
@@ -83,24 +115,27 @@ class WordEncoder:
     def _numbers(self, words: list[str]) -> np.ndarray:
         if len(self._number) > self._remembered:
             self._forget()
-        unknown = [w for w in words if w not in self._number]
-        if unknown:
-            flat, lengths = word_ids(self._vocabulary, unknown)
-            self._number.update(zip(unknown, range(len(self._number), len(self._number) + len(unknown))))
-            self._ids = np.concatenate([self._ids, flat])
-            self._start = np.concatenate([self._start, self._start[-1] + np.cumsum(lengths)])
+        unknown = pa.array([w for w in words if w not in self._number], pa.string())
+        plain = pc.match_substring_regex(unknown, PLAIN)
+        for own, encode in ((unknown.filter(plain), plain_word_ids), (unknown.filter(pc.invert(plain)), word_ids)):
+            own = own.to_numpy(zero_copy_only=False).tolist()
+            if own:
+                flat, lengths = encode(self._vocabulary, own)
+                self._number.update(zip(own, range(len(self._number), len(self._number) + len(own))))
+                self._ids = np.concatenate([self._ids, flat])
+                self._start = np.concatenate([self._start, self._start[-1] + np.cumsum(lengths)])
         return np.fromiter(map(self._number.__getitem__, words), np.int64, len(words))
 
     def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = split_words(texts)
         coded = split.flatten().dictionary_encode()
         numbers = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        at = self._start[numbers][coded.indices.to_numpy()]
+        at = self._start[numbers].astype(np.int32)[coded.indices.to_numpy()]
         lengths = np.diff(self._start)[numbers][coded.indices.to_numpy()]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        at -= ends - lengths
-        stream = self._ids[np.arange(total) + np.repeat(at, lengths)]
+        at -= (ends - lengths).astype(np.int32)
+        stream = self._ids[np.arange(total, dtype=np.int32) + np.repeat(at, lengths)]
         bounds = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
         return stream, bounds
 
