@@ -306,3 +306,41 @@ VIEWS: dict[str, str] = {
         count(*) AS candidate_count, max(quantity) AS candidate_max
       FROM inv_costs GROUP BY 1, 2) c ON c.store_id = v.store_id AND c.item_id = v.item_id""",
 }
+
+# What-if: every override set applied to every saved state. The views of the decision are reused on keys that carry the
+# name of the set before the store; random draws stay those of the plain key.
+OVERRIDES = {
+    "saved": {},
+    "no stock": {"on_hand": 0.0, "on_order": 0.0},
+    "longer lead time": {"lead_time_days": 14, "service_level": 0.99},
+    "higher service": {"service_level": 0.99},
+    "shorter review": {"review_period_days": 3},
+    "other costs": {"holding_cost_per_unit_per_day": 0.05, "stockout_cost_per_unit": 9.0, "fixed_order_cost": 10.0},
+    "more on order": {"on_order": 500.0, "backorders": 0.0},
+}
+
+
+def _what_if_views() -> dict[str, str]:
+    inputs = ["on_hand", "on_order", "backorders", "lead_time_days", "service_level", "holding_cost_per_unit_per_day", "stockout_cost_per_unit", "fixed_order_cost"]
+
+    def value(sets: dict, name: str, saved: str) -> str:
+        arms = " ".join(f"WHEN '{k}' THEN {v[name]}" for k, v in sets.items() if name in v)
+        cast = "BIGINT" if name.endswith("_days") else "DOUBLE"
+        return f"CAST(CASE what_if {arms} ELSE {saved} END AS {cast}) AS {name}" if arms else f"CAST({saved} AS {cast}) AS {name}"
+
+    sets = "(SELECT unnest([" + ", ".join(f"'{k}'" for k in OVERRIDES) + "]) AS what_if)"
+    views = {
+        "wi_state": f"SELECT what_if || '|' || store_id AS store_id, item_id, {', '.join(value(OVERRIDES, n, n) for n in inputs)}, {value(OVERRIDES, 'review_period_days', '7')} FROM inv_state, {sets}",
+        "wi_deployed": f"SELECT d.* EXCLUDE (store_id), what_if || '|' || store_id AS store_id FROM deployed d, {sets}",
+        "wi_calibration": f"SELECT c.* EXCLUDE (store_id), what_if || '|' || store_id AS store_id FROM calibration c, {sets}",
+    }
+    for name in ("base", "service", "scenarios", "grid", "costs"):
+        text = VIEWS[f"inv_{name}"].replace("inv_", "wi_").replace("FROM calibration", "FROM wi_calibration").replace("deployed d", "wi_deployed d")
+        text = text.replace("lead_time_days + 7", "lead_time_days + review_period_days").replace("md5(b.store_id", "md5(split_part(b.store_id, '|', 2)")
+        views[f"wi_{name}"] = text
+    views["wi_recommendations"] = VIEWS["recommendations"].replace("inv_", "wi_")
+    views["wi_result"] = "SELECT split_part(store_id, '|', 1) AS what_if, split_part(store_id, '|', 2) AS store_id, * EXCLUDE (store_id) FROM wi_recommendations"
+    return views
+
+
+VIEWS |= _what_if_views()

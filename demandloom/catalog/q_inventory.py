@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from demandloom.catalog.q_features import rounded, sql_round
+from demandloom.catalog.prelude import OVERRIDES
 from demandloom.catalog.registry import query
 from demandloom.functions.columns import clip
 from demandloom.operators import inventory as iv
@@ -157,28 +158,26 @@ def batch_recommendations(d):
     return rounded(iv.recommend(d.decision_inputs).select(*SERIES, *BATCH_TEXT, *BATCH), BATCH)
 
 
-OVERRIDES = {"saved": {}, "no stock": {"on_hand": 0.0, "on_order": 0.0}, "longer lead time": {"lead_time_days": 14, "service_level": 0.99}}
+WHAT_IF = ["inventory_position", "lead_time_demand", "planning_horizon_demand", "safety_stock", "stockout_risk", "estimated_cost_with_recommendation", "estimated_cost_without_order"]
+WHAT_IF_TEXT = ["recommended_order_qty", "cost_optimized_order_qty", "planning_horizon_days", "stock_status", "priority_label"]
 
 
-@query("inv_17_what_if_overrides", """
-SELECT 'saved' AS what_if, store_id, item_id, recommended_order_qty, round(inventory_position, 6) AS inventory_position, round(lead_time_demand, 6) AS lead_time_demand, stock_status FROM inv_service
-UNION ALL SELECT 'no stock', store_id, item_id, CAST(ceil(greatest(target_stock_level + backorders, 0)) AS BIGINT), round(-backorders, 6), round(lead_time_demand, 6), 'STOCKOUT' FROM inv_service""")
+@query("inv_17_what_if_overrides", f"SELECT what_if, store_id, item_id, {', '.join(WHAT_IF_TEXT)}, {sql_round(WHAT_IF)} FROM wi_result")
 def what_if_overrides(d):
-    names = {k: v for k, v in OVERRIDES.items() if k != "longer lead time"}
-    rows = iv.what_if(d.decision_inputs, names).select(
-        "what_if", *SERIES, "recommended_order_qty", "inventory_position", "lead_time_demand", "stock_status"
-    )
-    return rounded(rows, ["inventory_position", "lead_time_demand"])
+    """Every kind of override: stock, lead time, service, review period and costs; "saved" changes nothing."""
+    return rounded(iv.what_if(d.decision_inputs, OVERRIDES).select("what_if", *SERIES, *WHAT_IF_TEXT, *WHAT_IF), WHAT_IF)
 
 
-@query("inv_18_saved_vs_scenario", """
-SELECT 'no stock' AS what_if, store_id, item_id, CAST(ceil(greatest(target_stock_level + backorders, 0)) AS BIGINT) AS recommended_order_qty,
-  recommended_order_qty AS saved_recommended_order_qty, CAST(ceil(greatest(target_stock_level + backorders, 0)) AS BIGINT) - recommended_order_qty AS order_delta FROM inv_service""")
+@query("inv_18_saved_vs_scenario", f"""
+SELECT w.what_if, store_id, item_id, w.recommended_order_qty, r.recommended_order_qty AS saved_recommended_order_qty, w.recommended_order_qty - r.recommended_order_qty AS order_delta,
+  w.cost_optimized_order_qty, r.cost_optimized_order_qty AS saved_cost_optimized_order_qty,
+  round(w.estimated_cost_with_recommendation - r.estimated_cost_with_recommendation, 6) + 0.0 AS cost_delta
+FROM wi_result w JOIN recommendations r USING (store_id, item_id)""")
 def saved_vs_scenario(d):
-    revised = iv.what_if(d.decision_inputs, {"no stock": OVERRIDES["no stock"]})
-    return iv.compare_scenarios(d.recommendations, revised).select(
-        "what_if", *SERIES, "recommended_order_qty", "saved_recommended_order_qty", "order_delta"
-    )
+    both = iv.compare_scenarios(d.recommendations, iv.what_if(d.decision_inputs, OVERRIDES))
+    return rounded(both.select(
+        "what_if", *SERIES, "recommended_order_qty", "saved_recommended_order_qty", "order_delta",
+        "cost_optimized_order_qty", "saved_cost_optimized_order_qty", "cost_delta"), ["cost_delta"])
 
 
 SUMS = ["expected_shortage_without_order", "expected_shortage_with_recommendation", "estimated_cost_without_order", "estimated_cost_with_recommendation", "estimated_cost_savings"]

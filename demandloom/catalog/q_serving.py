@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from demandloom.catalog.q_features import rounded, sql_round
+from demandloom.catalog.prelude import OVERRIDES
 from demandloom.catalog.registry import query
 from demandloom.operators import features as ft
 from demandloom.operators import folds as fo
+from demandloom.operators import inventory as iv
 from demandloom.operators import quality as dq
 from demandloom.operators import serving
 from demandloom.sources import parameters as P
@@ -176,14 +178,22 @@ def label_formats(d):
 
 
 @query("scl_16_scenario_explanations", """
-SELECT store_id, item_id, concat_ws(' ', 'Stock on hand changes from ' || CAST(CAST(on_hand AS BIGINT) AS VARCHAR) || ' to 0.',
-  CASE WHEN greatest(ceil(target_stock_level - on_order + backorders), 0) > recommended_order_qty THEN 'The order rises.' WHEN greatest(ceil(target_stock_level - on_order + backorders), 0) < recommended_order_qty THEN 'The order falls.' ELSE 'The order stays the same.' END) AS explanation FROM recommendations""")
+WITH b AS (SELECT w.*, r.inventory_position AS s_position, r.lead_time_days AS s_lead, r.service_level AS s_service, r.recommended_order_qty AS s_order, 7 AS s_review,
+    r.holding_cost_per_unit_per_day AS s_holding, r.stockout_cost_per_unit AS s_stockout, r.fixed_order_cost AS s_fixed
+  FROM wi_result w JOIN recommendations r USING (store_id, item_id)),
+s AS (SELECT *, concat_ws(' ',
+  CASE WHEN inventory_position <> s_position THEN format('Inventory position {} from {:.1f} to {:.1f} units.', CASE WHEN inventory_position > s_position THEN 'increased' ELSE 'decreased' END, s_position, inventory_position) END,
+  CASE WHEN lead_time_days <> s_lead THEN format('The {}-day lead time creates {} demand exposure than the saved {}-day assumption.', lead_time_days, CASE WHEN lead_time_days > s_lead THEN 'more' ELSE 'less' END, s_lead) END,
+  CASE WHEN service_level <> s_service THEN format('Changing the service target from {:.1f}% to {:.1f}% {} the uncertainty buffer.', 100 * s_service, 100 * service_level, CASE WHEN service_level > s_service THEN 'raises' ELSE 'reduces' END) END,
+  CASE WHEN review_period_days <> s_review THEN format('The review period changed from {} to {} days, changing the target stock horizon.', s_review, review_period_days) END,
+  CASE WHEN holding_cost_per_unit_per_day <> s_holding OR stockout_cost_per_unit <> s_stockout OR fixed_order_cost <> s_fixed
+    THEN 'The cost assumptions changed the cost-optimized alternative; they do not change the service-level order rule.' END) AS changes FROM b)
+SELECT what_if, store_id, item_id, concat_ws(' ', CASE WHEN changes = '' THEN 'The operational assumptions match the saved recommendation, so the decision is unchanged.' ELSE changes END,
+  format('The recommended order is {:,} units, compared with {:,} units in the saved decision.', recommended_order_qty, s_order)) AS explanation FROM s""")
 def scenario_explanations(d):
-    from demandloom.operators.inventory import compare_scenarios, what_if
-
-    revised = what_if(d.decision_inputs, {"empty shelf": {"on_hand": 0.0}})
-    both = compare_scenarios(d.recommendations, revised).join(d.state.select(*SERIES, F.col("on_hand").alias("saved_on_hand")), SERIES)
-    return both.select(*SERIES, serving.explanation({"Stock on hand": ("saved_on_hand", F.lit(0.0))}, F.col("order_delta")).alias("explanation"))
+    """The sentences of every override set, joined."""
+    both = iv.compare_scenarios(d.recommendations, iv.what_if(d.decision_inputs, OVERRIDES))
+    return both.select("what_if", *SERIES, F.concat_ws(" ", iv.scenario_sentences()).alias("explanation"))
 
 
 def rules_sql(table: str, rules: dict) -> str:

@@ -399,12 +399,56 @@ def what_if(inputs: DataFrame, overrides: dict[str, dict], policy: dict = POLICY
     return recommend(revised.drop(*[f"_{n}" for n in names]), policy, ["what_if", *SERIES])
 
 
+#: Inputs an override may replace, in the order they are explained.
+OVERRIDABLE = ["on_hand", "on_order", "backorders", "lead_time_days", "service_level", "review_period_days",
+               "holding_cost_per_unit_per_day", "stockout_cost_per_unit", "fixed_order_cost"]
+
+
 def compare_scenarios(saved: DataFrame, revised: DataFrame) -> DataFrame:
-    """Revised minus saved decision per series."""
-    names = ["recommended_order_qty", "cost_optimized_order_qty", "stockout_risk", "estimated_cost_with_recommendation"]
+    """Revised and saved decision and inputs of every series side by side, with the change of the order and its cost."""
+    names = ["recommended_order_qty", "cost_optimized_order_qty", "stockout_risk", "estimated_cost_with_recommendation", "inventory_position", *OVERRIDABLE]
     before = saved.select(*SERIES, *[F.col(n).alias(f"saved_{n}") for n in names])
     joined = revised.select("what_if", *SERIES, *names).join(before, SERIES)
-    return joined.withColumn("order_delta", F.col("recommended_order_qty") - F.col("saved_recommended_order_qty"))
+    return joined.withColumns({
+        "order_delta": F.col("recommended_order_qty") - F.col("saved_recommended_order_qty"),
+        "cost_delta": F.col("estimated_cost_with_recommendation") - F.col("saved_estimated_cost_with_recommendation"),
+    })
+
+
+# The sentences that explain a scenario.
+SENTENCES = {
+    "position": "Inventory position %s from %.1f to %.1f units.",
+    "lead": "The %d-day lead time creates %s demand exposure than the saved %d-day assumption.",
+    "service": "Changing the service target from %.1f%% to %.1f%% %s the uncertainty buffer.",
+    "review": "The review period changed from %d to %d days, changing the target stock horizon.",
+    "cost": "The cost assumptions changed the cost-optimized alternative; they do not change the service-level order rule.",
+    "same": "The operational assumptions match the saved recommendation, so the decision is unchanged.",
+    "order": "The recommended order is %s units, compared with %s units in the saved decision.",
+}
+
+
+def scenario_sentences() -> Column:
+    """Array of sentences for a row of ``compare_scenarios``: what changed, or that nothing did, then the order."""
+    def moved(name: str) -> Column:
+        return F.col(name) != F.col(f"saved_{name}")
+
+    def word(name: str, up: str, down: str) -> Column:
+        return F.when(F.col(name) > F.col(f"saved_{name}"), up).otherwise(down)
+
+    def told(key: str, *values) -> Column:
+        return F.format_string(SENTENCES[key], *values)
+
+    position, lead, service, review = "inventory_position", "lead_time_days", "service_level", "review_period_days"
+    costs = moved("holding_cost_per_unit_per_day") | moved("stockout_cost_per_unit") | moved("fixed_order_cost")
+    changes = F.array_compact(F.array(
+        F.when(moved(position), told("position", word(position, "increased", "decreased"), F.col(f"saved_{position}"), F.col(position))),
+        F.when(moved(lead), told("lead", F.col(lead).cast("int"), word(lead, "more", "less"), F.col(f"saved_{lead}").cast("int"))),
+        F.when(moved(service), told("service", 100 * F.col(f"saved_{service}"), 100 * F.col(service), word(service, "raises", "reduces"))),
+        F.when(moved(review), told("review", F.col(f"saved_{review}").cast("int"), F.col(review).cast("int"))),
+        F.when(costs, F.lit(SENTENCES["cost"])),
+    ))
+    units = [F.format_number(n, 0) for n in ("recommended_order_qty", "saved_recommended_order_qty")]
+    return F.concat(F.when(F.size(changes) > 0, changes).otherwise(F.array(F.lit(SENTENCES["same"]))), F.array(told("order", *units)))
 
 
 # --- summaries -------------------------------------------------------------------------

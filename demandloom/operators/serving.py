@@ -164,16 +164,3 @@ def overview(panel: DataFrame, forecast: DataFrame, recommendations: DataFrame,
         *[scoped.select(c).scalar().alias(c) for c in scoped.columns],
         *[orders.select(c).scalar().alias(c) for c in orders.columns],
     )
-
-
-def explanation(changes: Mapping[str, tuple[str, Column]], order_delta: Column) -> Column:
-    """Sentences for the inputs that changed, then what happens to the order."""
-    sentences = [
-        F.when(
-            F.col(saved) != new,
-            F.concat(F.lit(f"{label} changes from "), F.col(saved).cast("bigint").cast("string"), F.lit(" to "), new.cast("bigint").cast("string"), F.lit(".")),
-        )
-        for label, (saved, new) in changes.items()
-    ]
-    order = F.when(order_delta > 0, "The order rises.").when(order_delta < 0, "The order falls.").otherwise("The order stays the same.")
-    return F.concat_ws(" ", F.array_compact(F.array(*sentences, order)))

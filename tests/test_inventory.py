@@ -110,6 +110,23 @@ def test_every_declared_override_against_brute_force(spark):
     safety = NormalDist().inv_cdf(0.99) * 1.5 * 14**0.5
     assert (longer.lead_time_days, longer.service_level, longer.inventory_position) == (14, 0.99, 14.0)
     assert (longer.lead_time_demand, longer.safety_stock) == pytest.approx((28.0, safety), rel=1e-9)
+    assert rows["shorter review"].planning_horizon_days == rows["saved"].planning_horizon_days - 4
+    assert rows["other costs"].recommended_order_qty == rows["saved"].recommended_order_qty
+    assert rows["higher service"].safety_stock > rows["saved"].safety_stock
+    assert (rows["more on order"].inventory_position, rows["no stock"].inventory_position) == (12.0 + 500.0, -rows["saved"].backorders)
     horizon = longer.planning_horizon_days
     assert horizon > rows["saved"].planning_horizon_days
     assert longer.recommended_order_qty == int(np.ceil(2.0 * horizon + safety - 14.0))
+
+
+def test_sentences_name_what_changed(spark):
+    from demandloom.catalog.q_inventory import OVERRIDES
+
+    saved = iv.recommend(inputs(spark))
+    both = iv.compare_scenarios(saved, iv.what_if(inputs(spark), OVERRIDES)).withColumn("told", iv.scenario_sentences())
+    told = {r.what_if: r.told for r in both.collect()}
+    order = "The recommended order is"
+    assert told["saved"][0].startswith("The operational assumptions match") and len(told["saved"]) == 2
+    assert [t.split()[0] for t in told["longer lead time"]] == ["The", "Changing", "The"] and "14-day lead time creates more" in told["longer lead time"][0]
+    assert told["shorter review"][0].startswith("The review period changed from 7 to 3 days") and told["other costs"][0].startswith("The cost assumptions")
+    assert "Inventory position decreased from" in told["no stock"][0] and all(t[-1].startswith(order) for t in told.values())
