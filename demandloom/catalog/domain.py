@@ -34,13 +34,14 @@ class Retail:
     def _key(self, name: str) -> tuple[str, str, str]:
         return self.spark.sparkContext.applicationId, self.folder, name
 
-    def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def stage(self, name: str, build: Callable[[], DataFrame], *partition_by: str) -> DataFrame:
         """Write a stage table on first use in this application, then scan it."""
         key = self._key(name)
         if key not in _STAGED:
             path = scratch_path(self.spark, name)
             df = build()
-            df.write.mode("errorifexists").parquet(path)
+            rows = df.repartition(*partition_by) if partition_by else df
+            rows.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
             _STAGED[key] = (path, df.schema)
         path, schema = _STAGED[key]
         return self.spark.read.schema(schema).parquet(path)
@@ -79,6 +80,11 @@ class Retail:
     def panel(self) -> DataFrame:
         return retail.daily_panel(self.facts, self.bounds)
 
+    @cached_property
+    def stored_panel(self) -> DataFrame:
+        """The panel by year, for extracts that need only its newest part."""
+        return self.stage("panel-by-year", lambda: self.panel, "year")
+
     @cached_property
     def bands(self) -> DataFrame:
         return features.assign_bands(features.item_mean_demand(self.facts, self.bounds.days))

@@ -433,6 +433,20 @@ def idempotent_load(d):
     )
 
 
+@query("snk_02_partitioned_load", """
+WITH y AS (SELECT CAST(year(week_start) AS VARCHAR) AS partition, count(*) AS n_rows FROM weekly_price GROUP BY 1), l AS (SELECT CAST(unnest([1, 2, 3]) AS INTEGER) AS load_number)
+SELECT load_number, partition, CASE WHEN load_number = 1 THEN 'created' WHEN load_number = 3 AND partition = '2000' THEN 'refreshed' ELSE 'skipped' END AS action, n_rows, 0::BIGINT AS differing_rows FROM y, l""")
+def partitioned_load(d):
+    """A first load, a repeated one and one that refreshes a single year; the stored rows stay those of the source."""
+    path = sinks.scratch_path(d.spark, "weekly-prices-by-year")
+    rows = d.prices.withColumn("year", F.year("week_start"))
+    loads = [sinks.load_partitions(rows, path, "year", refresh=years) for years in ((), (), (2000,))]
+    stored = d.spark.read.parquet(path).select(*rows.columns)
+    differing = rows.exceptAll(stored).unionByName(stored.exceptAll(rows)).agg(F.count(F.lit(1)).alias("differing_rows"))
+    told = [load.withColumn("load_number", F.lit(i)) for i, load in enumerate(loads, 1)]
+    return told[0].unionByName(told[1]).unionByName(told[2]).join(F.broadcast(differing))
+
+
 @query("snk_03_serving_history", """
 SELECT p.store_id, p.item_id, p.date, p.sales, p.sell_price,
   CASE state_id WHEN 'EMEA' THEN snap_emea WHEN 'AMER' THEN snap_amer WHEN 'APAC' THEN snap_apac END = 1 AS snap_active FROM panel p""")
@@ -443,7 +457,8 @@ def serving_history(d):
 @query("snk_04_recent_window_extract", """
 SELECT store_id, item_id, date, sales FROM panel WHERE date >= (SELECT max(date) - 119 FROM panel)""")
 def recent_window_extract(d):
-    return sinks.recent_window(d.panel, 120).select(*KEYS, "sales")
+    """Read from the panel stored by year: older years are not listed."""
+    return sinks.recent_window(d.stored_panel, 120, d.bounds.hi).select(*KEYS, "sales")
 
 
 HASH = "CAST('0x' || substr(md5(store_id || '/' || item_id || '/' || CAST(date AS VARCHAR) || '/' || CAST(sales AS VARCHAR)), 1, 8) AS BIGINT)"

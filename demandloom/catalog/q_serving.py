@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from demandloom.catalog.q_features import rounded, sql_round
@@ -36,12 +38,12 @@ def overview_sql(where: str = "true") -> str:
 
 @query("agg_48_overview_kpis", overview_sql())
 def overview_kpis(d):
-    return rounded(serving.overview(d.panel, d.deployed, d.recommendations), KPI, 4)
+    return rounded(serving.overview(d.panel, d.deployed, d.recommendations, d.bounds.hi), KPI, 4)
 
 
 @query("qry_02_filtered_overview", overview_sql("store_id IN ('ASIA', 'EUROPE')"))
 def filtered_overview(d):
-    return rounded(serving.overview(d.panel, d.deployed, d.recommendations, {"store_id": ["ASIA", "EUROPE"]}), KPI, 4)
+    return rounded(serving.overview(d.panel, d.deployed, d.recommendations, d.bounds.hi, {"store_id": ["ASIA", "EUROPE"]}), KPI, 4)
 
 
 @query("qry_03_weekly_sales_trend", """
@@ -212,14 +214,14 @@ PANEL_SQL = {
 
 @query("dq_01_panel_integrity", rules_sql("panel", PANEL_SQL))
 def panel_integrity(d):
-    return dq.checks(d.panel, dq.panel_rules(5, 6, d.bounds.days))
+    return dq.panel_checks(d.panel, d.bounds.lo, 5, 6, d.bounds.days)
 
 
 @query("dq_02_input_revalidation", rules_sql("flagged", {**PANEL_SQL, "bands": ("count(DISTINCT demand_band)", 3), "rows_without_launch": ("count(*) FILTER (launch_date IS NULL)", 0)}))
 def input_revalidation(d):
-    rules = {**dq.panel_rules(5, 6, d.bounds.days), "bands": (F.count_distinct("demand_band"), 3),
-             "rows_without_launch": (F.count_if(F.col("launch_date").isNull()), 0)}
-    return dq.checks(d.flagged, rules)
+    return dq.panel_checks(
+        d.flagged, d.bounds.lo, 5, 6, d.bounds.days, {"rows_without_launch": F.col("launch_date").isNull()},
+        {"bands": (F.count_distinct("band"), 3)}, {"band": F.min("demand_band")})
 
 
 FEATURE_SQL = {
@@ -229,7 +231,7 @@ FEATURE_SQL = {
 }
 
 
-@query("dq_03_feature_table_checks", rules_sql("features", {**FEATURE_SQL, "lag_mismatches": ("0 * count(*)", 0)}))
+@query("dq_03_feature_table_checks", rules_sql("(SELECT *, lag(sales) OVER (PARTITION BY store_id, item_id ORDER BY date) AS lag_again FROM features)", {**FEATURE_SQL, "lag_mismatches": ("count(*) FILTER (sales_lag_1 IS DISTINCT FROM lag_again)", 0)}))
 def feature_table_checks(d):
     previous = F.lag("sales").over(ft.by_date())
     rows = d.features.withColumn("_previous", previous)
@@ -328,7 +330,13 @@ def loaded_table_validation(d):
 
 @query("dq_12_extract_contract", rules_sql("panel WHERE date >= (SELECT hi - 119 FROM bounds)", {"row_count": ("count(*)", 3600), "days": ("count(DISTINCT date)", 120), "span_days": ("date_diff('day', min(date), max(date)) + 1", 120), "series": ("count(DISTINCT store_id || item_id)", 30)}))
 def extract_contract(d):
-    return dq.checks(sinks.recent_window(d.panel, 120), {"row_count": (F.count(F.lit(1)), 3600), "days": (F.count_distinct("date"), 120), "span_days": (F.datediff(F.max("date"), F.min("date")) + 1, 120), "series": (F.count_distinct(*SERIES), 30)})
+    """Read from the panel stored by year: older years are not listed."""
+    recent = sinks.recent_window(d.stored_panel, 120, d.bounds.hi)
+    first = d.bounds.hi - timedelta(days=119)
+    rules = dq.key_rules(5, 6, 120)
+    span = (F.datediff(F.max("last"), F.min("first")) + 1, 120)
+    rows = dq.per_series(recent, first, 120, {}, {"first": F.min("date"), "last": F.max("date")})
+    return dq.checks(rows, {"row_count": rules["row_count"], "days": rules["days"], "span_days": span, "series": rules["series"]})
 
 
 @query("dq_13_table_constraints", """

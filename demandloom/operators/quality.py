@@ -31,22 +31,54 @@ def union(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def panel_rules(stores: int, items: int, days: int) -> dict[str, tuple[Column, int]]:
-    """Integrity of the gap-free panel; the counts are parameters."""
+#: Days one bitmap holds; the span of the panel is checked against it.
+BITMAP_DAYS = 32_768
+
+
+def per_series(panel: DataFrame, first_day, days: int, conditions: dict[str, Column], kept: dict[str, Column]) -> DataFrame:
+    """One row per series: its rows, its days as a bitmap, how many rows meet each condition, and ``kept``.
+
+    The panel is read once. Distinct days and repeated keys come from the bitmaps, distinct stores and items from the
+    rows of the series, so nothing is expanded row by row for a distinct count.
+    """
+    if days > BITMAP_DAYS:
+        raise ValueError(f"the panel spans {days} days; a bitmap holds {BITMAP_DAYS}")
+    ordinal = F.datediff("date", F.lit(first_day)) + 1
+    return panel.groupBy(*SERIES).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.bitmap_construct_agg(F.bitmap_bit_position(ordinal)).alias("days_seen"),
+        *[F.count_if(c).alias(name) for name, c in conditions.items()], *[c.alias(name) for name, c in kept.items()],
+    )
+
+
+def key_rules(stores: int, items: int, days: int) -> dict[str, tuple[Column, int]]:
+    """Sizes and uniqueness of the panel, as aggregates over ``per_series``."""
     return {
         "stores": (F.count_distinct("store_id"), stores),
         "items": (F.count_distinct("item_id"), items),
-        "series": (F.count_distinct(*SERIES), stores * items),
-        "days": (F.count_distinct("date"), days),
-        "row_count": (F.count(F.lit(1)), stores * items * days),
-        "duplicate_keys": (F.count(F.lit(1)) - F.count_distinct("date", *SERIES), 0),
-        "negative_sales": (F.count_if(F.col("sales") < 0), 0),
-        "unmatched_calendar_rows": (F.count_if(F.col("d").isNull()), 0),
-        "non_positive_prices": (F.count_if(F.col("sell_price") <= 0), 0),
-        "missing_hierarchy": (F.count_if(F.col("dept_id").isNull() | F.col("state_id").isNull()), 0),
+        "series": (F.count(F.lit(1)), stores * items),
+        "days": (F.bitmap_count(F.bitmap_or_agg("days_seen")), days),
+        "row_count": (F.sum("n_rows"), stores * items * days),
+        "duplicate_keys": (F.sum(F.col("n_rows") - F.bitmap_count("days_seen")), 0),
     }
 
 
+PANEL_FAULTS = {
+    "negative_sales": lambda: F.col("sales") < 0,
+    "unmatched_calendar_rows": lambda: F.col("d").isNull(),
+    "non_positive_prices": lambda: F.col("sell_price") <= 0,
+    "missing_hierarchy": lambda: F.col("dept_id").isNull() | F.col("state_id").isNull(),
+}
+
+
+def panel_checks(panel: DataFrame, first_day, stores: int, items: int, days: int, faults: dict[str, Column] | None = None,
+                 rules: dict[str, tuple[Column, int]] | None = None, kept: dict[str, Column] | None = None) -> DataFrame:
+    """Integrity of the gap-free panel in one scan; ``faults`` are further conditions no row may meet, ``rules`` further
+    aggregates over the series rows, which hold the aggregates ``kept``."""
+    conditions = {name: rule() for name, rule in PANEL_FAULTS.items()} | (faults or {})
+    rows = per_series(panel, first_day, days, conditions, kept or {})
+    return checks(rows, {**key_rules(stores, items, days), **{n: (F.sum(n), 0) for n in conditions}, **(rules or {})})
+
+
 def violations(df: DataFrame, table: str, rules: dict[str, Column]) -> DataFrame:
     """Rows breaking each CHECK-style rule of one table."""
     counted = df.agg(*[F.count_if(~rule).alias(name) for name, rule in rules.items()])

@@ -136,17 +136,19 @@ def item_selector(recommendations: DataFrame, store_id: str, dept_id: str, *, by
     return items.orderBy(F.desc("priority_score"), "item_id") if by_need else items.orderBy("item_id")
 
 
-def overview(panel: DataFrame, forecast: DataFrame, recommendations: DataFrame, filters=None) -> DataFrame:
-    """One row of headline figures; each table contributes one one-row aggregate."""
-    history = panel.where(conditions(filters))
-    last = history.agg(F.max("date")).scalar()
-    sold = history.agg(
-        F.count(F.lit(1)).alias("observations"),
+def overview(panel: DataFrame, forecast: DataFrame, recommendations: DataFrame, last, filters=None) -> DataFrame:
+    """One row of headline figures; each table contributes one one-row aggregate. ``last`` is the newest day of the
+    panel. The panel is read once and collapses to its series before anything distinct is counted."""
+    recent = F.col("date") > F.date_sub(F.lit(last), 30)
+    per_series = panel.where(conditions(filters)).groupBy(*SERIES).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("sales").alias("units"), F.sum(F.when(recent, F.col("sales"))).alias("recent"))
+    sold = per_series.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("observations"),
         F.count_distinct("item_id").alias("products"),
         F.count_distinct("store_id").alias("stores"),
-        F.count_distinct(*SERIES).alias("series"),
-        F.sum("sales").alias("units"),
-        F.sum(F.when(F.col("date") > F.date_sub(last, 30), F.col("sales"))).alias("trailing_30_day_units"),
+        F.count(F.lit(1)).alias("series"),
+        F.sum("units").alias("units"),
+        F.sum("recent").alias("trailing_30_day_units"),
     )
     scoped = forecast.where(conditions(filters)).agg(
         F.sum(F.when(F.col("horizon_day") <= 7, F.col("forecast"))).alias("forecast_7d"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -57,15 +58,49 @@ def load_once(df: DataFrame, path: str, *, refresh: bool = False) -> str:
     return "created" if stored is None else "refreshed"
 
 
+def load_partitions(df: DataFrame, path: str, by: str, *, refresh: Sequence = ()) -> DataFrame:
+    """Load a table partition by partition: rows (partition, action, n_rows).
+
+    A missing partition is created, one with as many rows as ``df`` has is skipped, and one with another number fails
+    the load, before anything is written, unless it is to be refreshed. Only created and refreshed partitions are
+    written (dynamic overwrite), so a repeated load writes nothing and a changed year rewrites one year. The counts
+    are one row a partition.
+    """
+    spark = df.sparkSession
+    expected = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
+    try:
+        stored = {r[by]: r["n"] for r in spark.read.parquet(path).groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
+    except AnalysisException:
+        stored = {}
+    actions = {}
+    for key, n in expected.items():
+        actions[key] = "refreshed" if key in refresh and key in stored else "created" if key not in stored else "skipped" if stored[key] == n else "partial"
+    partial = sorted(k for k, a in actions.items() if a == "partial")
+    if partial:
+        raise ValueError(f"partitions {partial} hold {[stored[k] for k in partial]} of {[expected[k] for k in partial]} rows; load again with refresh")
+    changed = [k for k, a in actions.items() if a != "skipped"]
+    if changed:
+        rows = df.where(F.col(by).isin(changed)).repartition(by)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    return spark.createDataFrame([(str(k), actions[k], expected[k]) for k in sorted(expected)], "partition string, action string, n_rows long")
+
+
 def serving_history(panel: DataFrame) -> DataFrame:
     """One boolean benefit-day flag instead of three state columns."""
     return panel.withColumn("snap_active", store_snap() == 1).drop(*SNAP_COLUMNS.values())
 
 
-def recent_window(panel: DataFrame, days: int = 120) -> DataFrame:
-    """Last ``days`` calendar days (inclusive of the newest) of every series."""
-    newest = panel.agg(F.max("date")).scalar()
-    return panel.where(F.col("date") >= F.date_sub(newest, days - 1))
+def recent_window(panel: DataFrame, days: int = 120, newest=None) -> DataFrame:
+    """Last ``days`` calendar days (inclusive of the newest) of every series.
+
+    With the newest day given, the bounds are literals, also on the partition column of a panel stored by year: only
+    the files of the years concerned are listed and read.
+    """
+    if newest is None:
+        return panel.where(F.col("date") >= F.date_sub(panel.agg(F.max("date")).scalar(), days - 1))
+    first = newest - timedelta(days=days - 1)
+    recent = panel.where(F.col("date").between(F.lit(first), F.lit(newest)))
+    return recent.where(F.col("year").between(first.year, newest.year)) if "year" in panel.columns else recent
 
 
 def model_metadata(forecast: DataFrame, model: str, policy: str) -> DataFrame:
