@@ -13,16 +13,18 @@ passages hardly ever make candidates. A document that fills too few segments is
 Candidates are verified in three steps: sizes, a bit-parity sketch whose Hamming distance also bounds the symmetric
 difference, and the shingle sets, recomputed from the texts of the documents that occur in candidates.
 
-Only components and degrees of freedom needed for them are computed: first every document is compared with the smallest
-document of each of its words (hot words are salted, and the smallest of each salt are compared in turn); then all
-pairs with a common word that are still in different components. Pairs within a component need no comparison.
+Only components are computed, not all links: first every document is compared with the smallest document of each of its
+words (hot words are salted, and the smallest of each salt are compared in turn); then all pairs with a common word
+that are still in different components, where of a component with many documents of a word only the nearest to a
+document is told; last, documents that this did not join are compared with the whole component, each once, in blocks.
+Pairs within a component need no comparison.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -34,7 +36,7 @@ from pyspark.sql.types import BinaryType, BooleanType
 from pyspark.sql.window import Window
 
 from demandloom.llm.components import components
-from demandloom.llm.shared import broadcast_if_small, documents, spread, stage
+from demandloom.llm.shared import broadcast_if_small, documents, fresh_name, give_back, spread, stage
 
 SHINGLE_WORDS = 5
 #: Bands of sets smaller than this are joined by shingles, not by segments.
@@ -45,6 +47,8 @@ HOT_DOCUMENTS, HOT_WORDS = 32, 65_536
 SALTS = 32
 #: Documents of one word that are compared with each other in one run.
 RUN_DOCUMENTS = 4096
+#: From so many documents of a component in one run on, only the nearest of them is told at first.
+BIG_COMPONENT = 8
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -66,7 +70,7 @@ def shingle_set(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
     words = text.encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    hashed = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
     if len(words) < size:
         total = np.full(1, len(words), np.uint64)
         for value in hashed:
@@ -76,7 +80,8 @@ def shingle_set(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
     total = hashed[:places].copy()
     for j in range(1, size):
         total = total * _MULTIPLIER + hashed[j : j + places]
-    return np.unique(_mix(total))
+    total = np.sort(_mix(total))
+    return total[np.concatenate(([True], total[1:] != total[:-1]))]
 
 
 def band(n: int) -> int:
@@ -100,7 +105,7 @@ def words_of(shingles: np.ndarray, level: int) -> np.ndarray:
         return _mix(shingles ^ salt)
     segments = np.uint64((5 << level) // 4)
     place = (shingles >> np.uint64(20)) % segments
-    order = np.argsort(place, kind="stable")
+    order = np.argsort(place.astype(np.uint16) if segments <= 1 << 16 else place, kind="stable")  # short numbers sort by radix
     place = place[order]
     starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     parity = np.bitwise_xor.reduceat(shingles[order], starts)
@@ -148,47 +153,57 @@ def hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_shingles, digest, sketch)."""
+def describe(docs: DataFrame, chunk_words: int = 1_000_000) -> DataFrame:
+    """Staged rows (doc_id, n_shingles, digest, sketch) of the documents and, with ``met`` instead of a digest, the
+    words that a task met twice in a chunk of its documents: pairs of 64-bit numbers (word, times)."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pending, held = [], 0
+
+        def counted() -> bytes:
+            words, n = np.unique(np.concatenate(pending), return_counts=True) if pending else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            return np.stack([words[n > 1].view(np.int64), n[n > 1].astype(np.int64)], 1).tobytes()
+
         for batch in batches:
             out = []
-            for text in batch["text"]:
+            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
                 shingles = shingle_set(text)
-                out.append((len(shingles), hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), sketch_of(shingles)))
-            frame = pd.DataFrame(out, columns=["n_shingles", "digest", "sketch"])
-            frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy() if batch["doc_id"].notna().all() else batch["doc_id"].astype("Int64"))
-            yield frame
+                out.append((doc_id, len(shingles), hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), sketch_of(shingles), None))
+                for words in all_words(shingles):
+                    pending.append(words)
+                    held += len(words)
+                if held >= chunk_words:
+                    out.append((None, None, None, None, counted()))
+                    pending, held = [], 0
+                if len(out) >= 2000:
+                    yield _described(out)
+                    out = []
+            yield _described(out)
+        yield _described([(None, None, None, None, counted())])
+        give_back()
+
+    return stage(docs.mapInPandas(rows, "doc_id long, n_shingles long, digest binary, sketch binary, met binary"))
 
-    return docs.mapInPandas(rows, "doc_id long, n_shingles long, digest binary, sketch binary")
 
+def _described(out: list) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "sketch", "met"]).astype({"doc_id": "Int64", "n_shingles": "Int64"})
 
-def hot_words(docs: DataFrame, chunk_words: int = 2_000_000) -> np.ndarray:
+
+def hot_words(described: DataFrame) -> np.ndarray:
     """The words that most documents share, sorted; at most HOT_WORDS of them.
 
-    Each task counts its words in chunks and reports those it met twice; Spark adds the reports up. The list only
-    decides the order of words, so a common word that it misses costs time, not links.
+    Tasks have reported the words they met twice; Spark adds the reports up. The list only decides the order of words,
+    so a common word that it misses costs time, not links.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pending, held = [], 0
-
-        def counted() -> pd.DataFrame:
-            words, n = np.unique(np.concatenate(pending), return_counts=True) if pending else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            return pd.DataFrame({"word": words[n > 1].view(np.int64), "n": n[n > 1]})
-
         for batch in batches:
-            for text in batch["text"]:
-                for words in all_words(shingle_set(text)):
-                    pending.append(words)
-                    held += len(words)
-                if held >= chunk_words:
-                    yield counted()
-                    pending, held = [], 0
-        yield counted()
+            for packed in batch["met"]:
+                pairs = np.frombuffer(packed, np.int64).reshape(-1, 2)
+                yield pd.DataFrame({"word": pairs[:, 0], "n": pairs[:, 1]})
 
-    counts = docs.select("text").mapInPandas(rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    told = described.where("met IS NOT NULL").select("met")
+    counts = told.mapInPandas(rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= HOT_DOCUMENTS).orderBy(F.desc("n"), "word").limit(HOT_WORDS).select("word").collect()
     return np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
 
@@ -205,7 +220,7 @@ def incidences(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
                 if digest in told:
                     continue
-                if len(told) < 500_000:
+                if len(told) < 200_000:
                     told.add(digest)
                 for own in all_words(shingles):
                     first, heat = first_words(own, len(shingles), hot)
@@ -217,6 +232,7 @@ def incidences(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     words, salts, owners = [], [], []
             if words:
                 yield pd.DataFrame({"word": np.concatenate(words).view(np.int64), "salt": np.concatenate(salts).astype(np.int32), "doc_id": np.concatenate(owners)})
+        give_back()
 
     return docs.where("doc_id IS NOT NULL").mapInPandas(rows, "word long, salt int, doc_id long")
 
@@ -266,25 +282,54 @@ def _hubs(shared: DataFrame) -> DataFrame:
     return within.union(across).distinct()
 
 
-def _likely_in_run(docs: np.ndarray, component: np.ndarray, sizes: np.ndarray, sketches: list[bytes], block: np.ndarray) -> set[tuple[int, int]]:
-    """Pairs of one word in different components whose sizes and sketches allow a link; of two blocks only pairs across."""
-    shortest = min(map(len, sketches))
-    bits = np.stack([_folded(np.frombuffer(s, np.uint8), shortest) for s in sketches]).view(np.uint64)
+def _near(bits: np.ndarray, size: np.ndarray, own_bits: np.ndarray, own_size: int) -> np.ndarray:
+    """Sketch distance to each row where sizes and sketches allow a link, and a number above all distances elsewhere."""
+    distance = np.bitwise_count(bits ^ own_bits).sum(axis=1, dtype=np.int64)
+    fits = (4 * np.minimum(size, own_size) >= 3 * np.maximum(size, own_size)) & (7 * distance <= size + own_size)
+    return np.where(fits, distance, np.iinfo(np.int64).max)
+
+
+def _bits(sketches: list[bytes], length: int) -> np.ndarray:
+    return np.stack([_folded(np.frombuffer(s, np.uint8), length) for s in sketches]).view(np.uint64)
+
+
+def _likely_in_run(docs: np.ndarray, component: np.ndarray, sizes: np.ndarray, sketches: list[bytes], block: np.ndarray) -> set[tuple[int, int, bool]]:
+    """Pairs of one word in different components whose sizes and sketches allow a link; of two blocks only pairs across.
+
+    Of a component with many documents in the run, a document is told the nearest one alone, marked as such: all
+    others follow only if that pair does not join the two.
+    """
     across, found = block.min() != block.max(), set()
-    for i in range(len(docs) - 1):
-        rest = slice(i + 1, None)
-        fits = (component[rest] != component[i]) & (4 * np.minimum(sizes[rest], sizes[i]) >= 3 * np.maximum(sizes[rest], sizes[i]))
-        if across:
-            fits &= block[rest] != block[i]
-        at = np.flatnonzero(fits) + i + 1
-        if len(at):
-            near = 7 * np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64) <= sizes[at] + sizes[i]
-            found.update((min(docs[i], j), max(docs[i], j)) for j in docs[at[near]].tolist())
+    if len(docs) <= BIG_COMPONENT:  # most words: no component can be large here
+        for i, j in combinations(range(len(docs)), 2):
+            if component[i] != component[j] and not (across and block[i] == block[j]):
+                n, m = int(sizes[i]), int(sizes[j])
+                if 4 * min(n, m) >= 3 * max(n, m) and 7 * hamming(sketches[i], sketches[j]) <= n + m:
+                    found.add((min(docs[i], docs[j]), max(docs[i], docs[j]), False))
+        return found
+    bits, none = _bits(sketches, min(map(len, sketches))), np.iinfo(np.int64).max
+    order = np.argsort(component, kind="stable")
+    starts = np.flatnonzero(np.concatenate(([True], np.diff(component[order]) != 0)))
+    ends = np.append(starts[1:], len(order))
+    big = ends - starts >= BIG_COMPONENT
+    small = np.sort(np.concatenate([np.zeros(0, np.int64), *(order[a:b] for a, b in zip(starts[~big], ends[~big]))]))
+    for k, i in enumerate(small[:-1]):
+        rest = small[k + 1 :]
+        rest = rest[(component[rest] != component[i]) & ((block[rest] != block[i]) | (not across))]
+        near = rest[_near(bits[rest], sizes[rest], bits[i], sizes[i]) < none]
+        found.update((min(docs[i], j), max(docs[i], j), False) for j in docs[near].tolist())
+    for a, b in zip(starts[big], ends[big]):
+        members = order[a:b]
+        for i in np.flatnonzero(component != component[members[0]]):
+            rest = members[block[members] != block[i]] if across else members
+            distance = _near(bits[rest], sizes[rest], bits[i], sizes[i])
+            if len(rest) and distance.min() < none:
+                found.add((docs[i], docs[rest[distance.argmin()]], True))
     return found
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted rows (word, low, high, ...) to likely pairs (a, b); only one run of equal keys is held at a time."""
+    """Sorted rows (word, low, high, ...) to likely pairs (a, b, nearest); only one run of equal keys is held at a time."""
     held = None
     for batch in chain(batches, [None]):
         frame = batch if held is None else held if batch is None else pd.concat([held, batch], ignore_index=True)
@@ -300,7 +345,52 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketches, found = frame["sketch"].tolist(), set()
         for a, b in zip(starts.tolist(), ends.tolist()):
             found |= _likely_in_run(docs[a:b], component[a:b], sizes[a:b], sketches[a:b], block[a:b])
-        yield pd.DataFrame(list(found), columns=["a", "b"], dtype=np.int64)
+        yield pd.DataFrame(list(found), columns=["a", "b", "nearest"]).astype({"a": np.int64, "b": np.int64, "nearest": bool})
+
+
+def _against_component(outside: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+    """Likely pairs (a, b) of documents and the members of a component: one block of each."""
+    if not len(outside) or not len(members):
+        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+    sketches = [*outside["sketch"], *members["sketch"]]
+    bits = _bits(sketches, min(map(len, sketches)))
+    own, other = bits[: len(outside)], bits[len(outside) :]
+    size, docs, parts = members["n_shingles"].to_numpy(), members["doc_id"].to_numpy(), []
+    for i, (doc, n) in enumerate(zip(outside["doc_id"].tolist(), outside["n_shingles"].tolist())):
+        near = docs[_near(other, size, own[i], n) < np.iinfo(np.int64).max]
+        parts.append(np.stack([np.full(len(near), doc, np.int64), near], 1))
+    found = np.concatenate(parts)
+    return pd.DataFrame({"a": found.min(1), "b": found.max(1)})
+
+
+def _rest_of_components(told: DataFrame, open_rows: DataFrame, before: DataFrame, after: DataFrame, facts: DataFrame) -> DataFrame:
+    """All likely pairs behind the nearest ones that did not join their components.
+
+    ``before`` are the labels the runs were made with, ``after`` those with the links found since. Each document is
+    compared once with the members of a component, in blocks of both; no word is involved, so no pair comes twice.
+    """
+    old, new = before.toDF("doc_id", "component"), after.toDF("doc_id", "now")
+    pairs = told.where("nearest").select(F.col("a").alias("doc_id"), F.col("b").alias("member"))
+    pairs = pairs.join(new, "doc_id", "left").withColumnRenamed("now", "own").join(new.withColumnRenamed("doc_id", "member"), "member", "left")
+    pairs = pairs.where(~F.coalesce("own", "doc_id").eqNullSafe(F.coalesce("now", "member")))
+    pairs = pairs.join(old.withColumnRenamed("doc_id", "member"), "member")  # a member of a large component has a label
+    wanted = stage(pairs.select("component", "doc_id").distinct())
+    if wanted.isEmpty():
+        return wanted.selectExpr("doc_id AS a", "doc_id AS b")
+    members = stage(open_rows.select("component", "doc_id").distinct().join(wanted.select("component").distinct(), "component"))
+    counts = members.groupBy("component").agg(F.ceil(F.count("*") / RUN_DOCUMENTS).alias("m")).join(
+        wanted.groupBy("component").agg(F.ceil(F.count("*") / RUN_DOCUMENTS).alias("o")), "component")
+    counts = stage(counts)
+
+    def blocks(rows: DataFrame, own: str, other: str, own_name: str, other_name: str) -> DataFrame:
+        dealt = rows.join(counts, "component").withColumn(own_name, F.pmod(F.hash("doc_id"), F.col(own).cast("int")))
+        dealt = dealt.withColumn(other_name, F.explode(F.sequence(F.lit(0), F.col(other).cast("int") - 1)))
+        names = ["component", "mb", "ob", "doc_id", "n_shingles", "sketch"]
+        return dealt.join(facts, "doc_id").select(*names).toDF(*names)  # columns of its own on each side
+
+    keys = ["component", "mb", "ob"]
+    outside = blocks(wanted, "o", "m", "ob", "mb").groupBy(*keys)
+    return outside.cogroup(blocks(members, "m", "o", "mb", "ob").groupBy(*keys)).applyInPandas(_against_component, "a long, b long").distinct()
 
 
 def _open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -312,7 +402,7 @@ def _open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return stage(named.join(open_words, "word"))
 
 
-def _open_pairs(open_rows: DataFrame, described: DataFrame) -> DataFrame:
+def _open_pairs(open_rows: DataFrame, facts: DataFrame) -> DataFrame:
     """The likely pairs among all that share a word and lie in different components.
 
     The documents of a word are compared in blocks of ``RUN_DOCUMENTS``: each pair of blocks is a run of its own, so a
@@ -322,9 +412,8 @@ def _open_pairs(open_rows: DataFrame, described: DataFrame) -> DataFrame:
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = mixed.select("word", "doc_id", "component", "block", meets)
     dealt = dealt.select("word", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "component", "block")
-    facts = described.where("doc_id IS NOT NULL").select("doc_id", "n_shingles", "sketch").distinct()
     runs = spread(dealt.join(facts, "doc_id"), "word", "low", "high").sortWithinPartitions("word", "low", "high")
-    return runs.mapInPandas(_runs, "a long, b long").distinct()
+    return runs.mapInPandas(_runs, "a long, b long, nearest boolean").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -335,26 +424,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nothing and keeps a null component. An empty table gives no rows; other columns are ignored.
     """
     rows = documents(docs, id_col, text_col)
-    described = stage(describe(rows))
+    described = describe(rows)
+    told_words, described = described, described.where("met IS NULL")
     filled = described.where("doc_id IS NOT NULL AND n_shingles > 0")
     first = stage(filled.groupBy("digest").agg(F.min("doc_id").alias("first")))
     copies = filled.join(first, "digest").where("doc_id <> first").select("first", "doc_id")
 
     by_word = Window.partitionBy("word", "salt")
-    met = spread(incidences(rows, hot_words(rows)), "word", "salt")
+    met = spread(incidences(rows, hot_words(told_words)), "word", "salt")
     grouped = met.withColumn("hub", F.min("doc_id").over(by_word)).withColumn("high", F.max("doc_id").over(by_word))
     shared = stage(grouped.where("salt > 0 OR hub < high").drop("high"))
 
     links = copies.union(verify(stage(_hubs(shared)), described, rows))
     labels = stage(components(links))
-    more = verify(stage(_open_pairs(_open_rows(shared, labels), described)), described, rows)
-    if not more.isEmpty():
-        labels = stage(components(labels.select("node", "component").union(more)))
+    facts = described.where("doc_id IS NOT NULL").select("doc_id", "n_shingles", "sketch").distinct()
+    open_rows = _open_rows(shared, labels)
+    told = stage(_open_pairs(open_rows, facts))
+    more = verify(told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), described, rows)
+    joined = labels if more.isEmpty() else stage(components(labels.select("node", "component").union(more)))
+    rest = stage(_rest_of_components(told, open_rows, labels, joined, facts))
+    rest = rest if rest.isEmpty() else verify(rest, described, rows)
+    labels = joined if rest.isEmpty() else stage(components(joined.select("node", "component").union(rest)))
     named = described.select("doc_id", "n_shingles").join(labels.toDF("doc_id", "component"), "doc_id", "left")
     return named.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, of which no similar one has a smaller doc_id; rows without id stay."""
-    dropped = jaccard_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(broadcast_if_small(stage(dropped)), F.col("doc_id") == F.col("__dropped"), "left_anti")
+    """The documents, all columns, of which no similar one has a smaller doc_id; rows without id stay.
+
+    Columns of any name pass through; nulls, long texts and ties are treated as in ``jaccard_components``.
+    """
+    own = fresh_name(docs, "dropped")
+    dropped = jaccard_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(broadcast_if_small(stage(dropped)), F.col("doc_id") == F.col(own), "left_anti")

@@ -63,6 +63,21 @@ def test_hot_words_change_nothing(spark, edited, monkeypatch):
     assert sorted((tuple(r) for r in jaccard_components(frame).collect()), key=str) == brute(edited)
 
 
+@pytest.mark.parametrize("blocks", [3, 4096])
+def test_large_components_change_nothing(spark, edited, monkeypatch, blocks):
+    monkeypatch.setattr("demandloom.llm.jaccard.BIG_COMPONENT", 2)
+    monkeypatch.setattr("demandloom.llm.jaccard.RUN_DOCUMENTS", blocks)
+    frame = spark.createDataFrame(edited, "doc_id long, text string")
+    assert sorted((tuple(r) for r in jaccard_components(frame).collect()), key=str) == brute(edited)
+
+
+def test_clashing_columns_pass_through(edge_docs, edge_rows):
+    docs = edge_docs.withColumn("dropped", edge_docs["doc_id"]).withColumn("__dropped", edge_docs["doc_id"])
+    kept = drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _, c in brute(edge_rows) if c is None or c == i)
+
+
 def test_edge_cases(edge_docs, edge_rows, no_docs):
     assert sorted((tuple(r) for r in jaccard_components(edge_docs).collect()), key=str) == brute(edge_rows)
     assert jaccard_components(no_docs).count() == 0
