@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.llm.shared import documents, stage
+from demandloom.llm.shared import broadcast_if_small, documents, fresh_name, stage
 
 #: At least 512 characters, then up to the next sentence end or line end; without one, 8192 characters.
 CHUNK_PATTERN = r"(?s).{512,8192}?[.!?\n]|.{1,8192}"
@@ -70,9 +70,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The documents that exact dedup keeps, with all their columns; of repeated rows one stays."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    marked = docs.withColumn("__digest", digest)
-    same = marked["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (marked["__digest"] == kept["kept_sha"])
-    return marked.join(kept, same).dropDuplicates(["doc_id", "__digest"]).select(docs.columns)
+    """The documents that exact dedup keeps, with all their columns, whatever their names; of repeated rows one stays.
+
+    Only the keys of what goes are joined, (doc_id, digest) of each dropped copy, so texts move only where rows with
+    the same key are repeated. Null text counts as empty; a text of any length is compared whole.
+    """
+    rows = exact_dedup(docs).groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
+    digest, gone_id, gone_sha = (fresh_name(docs, name) for name in ("digest", "gone_id", "gone_sha"))
+    rows = stage(rows.where("n > 1 OR NOT kept"))
+    keys = [F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha)]
+    marked = docs.withColumn(digest, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (F.col(digest) == F.col(gone_sha))
+    single = marked.join(broadcast_if_small(rows.select(*keys)), same, "left_anti")
+    repeated = marked.join(broadcast_if_small(stage(rows.where("kept").select(*keys))), same, "left_semi").dropDuplicates(["doc_id", digest])
+    return single.unionByName(repeated).select(docs.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from demandloom.llm.shared import binary_labels, broadcast_if_small, documents, held_out, stage
+from demandloom.llm.shared import binary_labels, broadcast_if_small, documents, fresh_name, held_out, stage
 
 FOLDS = 4
 THRESHOLD = 0.3
@@ -226,6 +226,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, folds: int = FOLDS) ->
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """The documents below the threshold, with all their columns."""
+    """The documents below the threshold, with all their columns, whatever their names.
+
+    Null text counts as empty, texts of any length are scanned whole, repeated rows are judged alike.
+    """
     surprise = segments_udf(model)(F.coalesce(F.col("text"), F.lit("")))["surprise_sum"]
-    return docs.withColumn("__score", probability(model, surprise)).where(F.col("__score") < THRESHOLD).select(docs.columns)
+    own = fresh_name(docs, "score")
+    return docs.withColumn(own, probability(model, surprise)).where(F.col(own) < THRESHOLD).select(docs.columns)

@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from demandloom.llm.exact_dedup import drop_exact_copies, exact_dedup
 
 
@@ -38,3 +40,17 @@ def test_stage_keeps_one_row_of_each_text(edge_docs, edge_rows):
     kept = drop_exact_copies(edge_docs)
     assert kept.columns == edge_docs.columns
     assert sorted((r.text or "") for r in kept.collect()) == sorted({t or "" for _, t in edge_rows})
+
+
+def test_dropping_copies_keeps_columns_of_any_name(edge_docs, edge_rows):
+    docs = edge_docs
+    for name in ["__digest", "kept_id", "kept_sha", "digest", "gone_id"]:
+        docs = docs.withColumn(name, F.lit("mine"))
+    kept = drop_exact_copies(docs)
+    assert kept.columns == docs.columns
+    best = {}
+    for i, text in edge_rows:
+        best[text or ""] = max(best.get(text or "", -1 << 80), -1 << 80 if i is None else i)
+    got = kept.collect()
+    assert sorted((r.text or "", r.doc_id) for r in got) == sorted(best.items())
+    assert {r.kept_id for r in got} == {"mine"}
