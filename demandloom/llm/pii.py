@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.llm.shared import documents, stage
+from demandloom.llm.shared import documents, fresh_name, stage
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -114,11 +114,31 @@ def candidates(text: Column) -> Column:
     base = F.concat(*[_hits(text, BASE[kind], kind, True) for kind in KINDS])
     loose = F.concat(*[_hits(text, pattern, k, False) for k, pattern in LOOSE.items()])
 
-    def free(pair: Column) -> Column:
-        return F.filter(pair["loose"], lambda s: ~F.exists(pair["base"], lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-
     both = F.struct(base.alias("base"), loose.alias("loose"))
-    return F.transform(F.array(both), lambda pair: F.concat(pair["base"], free(pair)))[0]
+    return F.transform(F.array(both), lambda pair: F.when(F.size(pair["loose"]) == 0, pair["base"]).otherwise(F.concat(pair["base"], _free(pair["base"], pair["loose"]))))[0]
+
+
+def _free(base: Column, loose: Column) -> Column:
+    """The loose spans that overlap no base span, in two walks over the spans by start: one meets the base spans that
+    begin before a loose one, the other, backwards, those that begin after it."""
+    none = F.array().cast(_SPAN)
+
+    def keep(state: Column, s: Column, fits: Column) -> Column:
+        return F.when(~s["base"] & fits, F.concat(state["kept"], F.array(s).cast(_SPAN))).otherwise(state["kept"]).alias("kept")
+
+    def forward(state: Column, s: Column) -> Column:
+        edge = F.when(s["base"], F.greatest(state["edge"], s["end"])).otherwise(state["edge"])
+        return F.struct(edge.alias("edge"), keep(state, s, s["start"] >= state["edge"]))
+
+    def backward(state: Column, s: Column) -> Column:
+        edge = F.when(s["base"], s["start"]).otherwise(state["edge"])
+        return F.struct(edge.alias("edge"), keep(state, s, s["end"] <= state["edge"]))
+
+    def walk(spans: Column, edge: int, step) -> Column:
+        return F.aggregate(spans, F.struct(F.lit(edge).alias("edge"), none.alias("kept")), step, lambda state: state["kept"])
+
+    first = walk(F.array_sort(F.concat(base, loose)), 0, forward)
+    return F.transform(F.array(first), lambda kept: walk(F.reverse(F.array_sort(F.concat(base, kept))), 2**31 - 1, backward))[0]
 
 
 def _vote(yes: Column, no: Column | None = None) -> Column:
@@ -246,14 +266,20 @@ def accepted(spans: Column, model: SpanModel) -> Column:
         odds = F.aggregate(s["features"], F.lit(model.prior), lambda total, f: total + _lookup(model.weights, f, 0.0))
         return s["base"] | ((_lookup(model.posteriors, s["votes"], 0.0) >= 0.5) & (odds > 0))
 
-    def add(kept: Column, s: Column) -> Column:
-        clash = F.exists(kept, lambda k: ~k["base"] & ~s["base"] & (s["start"] < k["end"]) & (k["start"] < s["end"]))
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(s)))
+    shape = "array<struct<start:int,rank:int,end:int,kind:string,base:boolean>>"
+    chosen = F.transform(F.array_sort(F.filter(spans, take)), lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind", "base")]))
+
+    def add(state: Column, s: Column) -> Column:  # the kept ones end in order, so the last end tells of any overlap
+        free = s["start"] >= state["edge"]
+        return F.struct(F.when(free, s["end"]).otherwise(state["edge"]).alias("edge"),
+                        F.when(free, F.concat(state["kept"], F.array(s))).otherwise(state["kept"]).alias("kept"))
 
-    chosen = F.array_sort(F.filter(spans, take))
-    narrow = F.transform(chosen, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base")))
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,base:boolean>>")
-    return F.aggregate(narrow, empty, add)
+    def resolve(all_spans: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("edge"), F.array().cast(shape).alias("kept"))
+        others = F.aggregate(F.filter(all_spans, lambda s: ~s["base"]), zero, add, lambda state: state["kept"])
+        return F.array_sort(F.concat(F.filter(all_spans, lambda s: s["base"]), others))
+
+    return F.transform(F.array(chosen), resolve)[0]
 
 
 def _digest(spans: Column) -> Column:
@@ -291,14 +317,17 @@ def redact(text: Column, spans: Column) -> Column:
 
 
 def redact_pii(docs: DataFrame) -> DataFrame:
-    """The documents, all columns and rows kept, with personal data redacted in ``text`` and ``n_chars`` renewed if there."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    """The documents, all columns and rows kept, with personal data redacted in ``text`` and ``n_chars`` renewed if there.
+
+    Columns of any name pass through unchanged. Null text stays null; texts of any length are read whole.
+    """
     model = fit_spans(stage(_judged(documents(docs))))
-    marked = docs.withColumn("__text", text).withColumn("__spans", candidates(F.col("__text")))
-    judged = F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base"),
-                                                       F.concat(s["kind"], F.lit(":"), votes(s)).alias("votes"), features(s).alias("features")))
-    written = F.when(F.size("__spans") == 0, F.col("text")).otherwise(redact(F.col("__text"), accepted(judged, model)))
+    plain, spans = fresh_name(docs, "plain_text"), fresh_name(docs, "pii_spans")
+    marked = docs.withColumn(plain, F.coalesce(F.col("text"), F.lit(""))).withColumn(spans, candidates(F.col(plain)))
+    judged = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base"),
+                                                   F.concat(s["kind"], F.lit(":"), votes(s)).alias("votes"), features(s).alias("features")))
+    written = F.when(F.size(spans) == 0, F.col("text")).otherwise(redact(F.col(plain), accepted(judged, model)))
     redacted = marked.withColumn("text", written)
     if "n_chars" in docs.columns:
-        redacted = redacted.withColumn("n_chars", F.when(F.size("__spans") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        redacted = redacted.withColumn("n_chars", F.when(F.size(spans) == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return redacted.select(docs.columns)

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +79,39 @@ def test_redaction_keeps_rows_and_columns(edge_docs, edge_rows):
     assert len(texts) == len(edge_rows)
     assert "ünïcode ẞtraße — mail me: [EMAIL], [PHONE] or [IP]" in texts
     assert sum(t in {x or "" for _, x in edge_rows} for t in texts) == len(edge_rows) - 1
+
+
+def test_added_spans_overlap_nothing(spark, documents):
+    rows = spark.createDataFrame(list(enumerate(TRICKY)), "doc_id long, text string").union(documents.select("doc_id", "text"))
+    texts = {}
+    for r in rows.collect():
+        texts.setdefault(r.doc_id, []).append(r.text or "")
+    added = 0
+    for r in find_pii(rows).collect():
+        spans = [(int(a), int(b), kind) for kind, a, b in (s.split(":") for s in r.spans.split(",") if s)]
+        base = [{(int(a), int(b), k) for k, a, b in (s.split(":") for s in base_spans(t))} for t in texts[r.doc_id]]
+        base = next(b for b in base if b <= set(spans))
+        other = [s for s in spans if s not in base]
+        added += len(other)
+        assert spans == sorted(spans, key=lambda s: (s[0], list(PATTERNS).index(s[2])))
+        assert all(a[1] <= b[0] for a, b in zip(other, other[1:]))
+        assert not any(s[0] < b[1] and b[0] < s[1] for s in other for b in base)
+    assert added
+
+
+def test_long_text_takes_time_in_proportion(spark):
+    text = " ".join(f"user{i}@host{i}.com +49 30 {1000000 + i}" for i in range(8000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    started = time.time()
+    (row,) = find_pii(docs).collect()
+    assert (row.n_email, row.n_phone) == (8000, 8000) and time.time() - started < 60
+
+
+def test_clashing_columns_stay_as_they_are(edge_docs):
+    names = ["__text", "__spans", "plain_text", "pii_spans"]
+    docs = edge_docs
+    for name in names:
+        docs = docs.withColumn(name, F.lit("mine"))
+    redacted = redact_pii(docs)
+    assert redacted.columns == docs.columns
+    assert {tuple(r) for r in redacted.select(*names).collect()} == {("mine",) * 4}
