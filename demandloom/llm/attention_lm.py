@@ -1,12 +1,19 @@
 """Causal self-attention language model on subword ids, trained in numpy.
 
-P(text) is the product over its subword ids and one end id of P(class of id | ids before) * P(id | class).
+The network gives each subword id and the end P(class of id | ids before). P(text) is the product over its words and its
+end of P(class of the first id | ids before) times the sum of two parts, so the sum over all texts is at most one:
+
+* as a new word: the rate of new words that begin with the class, times P(id | class) of the first id and P(class | ids
+  before) * P(id | class) of the others, with P(id | class) of words seen once;
+* as a known word: the rest, times the word's share of the training words that begin with the class.
+
+The rate of new words is that of words seen once in training.
 
 * Ids come from a public tokenizer, each distinct word of the corpus encoded once (see ``wordblocks``).
-* P(id | class) are add-one counts over all training documents. Classes group ids that stand near the same frequent ids
+* P(id | class) are add-one counts over all training documents, and beside them counts in the words seen once. Classes group ids that stand near the same frequent ids
   and agree in whether they end a word and whether they mostly go on with one.
 * P(class | before) is a self-attention layer with relative position bias over at most ``CONTEXT`` ids. It is trained by
-  rounds of local Adam steps: every task works on the windows of its partition, Spark averages the weights by windows.
+  rounds of local Adam steps: every task works on the windows of its partition, some at a time, Spark averages the weights by windows.
   The windows cover every id of every training document. Each round takes its own share of them, so the whole text is
   learned from once, and the neighbourhoods are counted over all of it.
 * Scoring cuts a document into windows that overlap by half. The first scores all its ids, each later one its second
@@ -17,7 +24,6 @@ The base score is an add-one unigram model on words whose counts the distinct-wo
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,11 +37,16 @@ from demandloom.llm.wordblocks import blocks, code, reassemble
 from demandloom.llm.wordcache import encode_words
 
 FOLDS = 7
-CONTEXT, WIDTH, CLUSTERS, WINDOW_EVERY = 32, 16, 20, 512
-ROUNDS, BATCH, LEAST_STEPS, RATE = 3, 256, 120, 0.01
+CONTEXT, WIDTH, CLUSTERS = 32, 16, 20
+#: Batches are so small that their arrays stay in the cache of a core.
+ROUNDS, BATCH, LEAST_STEPS, RATE, SCORED_WINDOWS = 3, 128, 240, 0.01, 64
 ANCHORS = 48
-#: Windows a training task works on at least, so that one pass over them makes enough steps.
+#: Windows a training task works on at least, so that one pass over them makes enough steps; it holds no more at a time.
 TASK_WINDOWS = LEAST_STEPS * BATCH
+#: Windows of a staged row at most; a block of few windows is cut into more rows, so that every round gets some.
+ROW_WINDOWS, BLOCK_ROWS = 256, 64
+#: Bytes before the ids of an answer: the training count of the word.
+HEAD = 8
 
 
 def lower_words(text: str) -> list[bytes]:
@@ -48,7 +59,7 @@ def word_answers(vocabulary: str):
 
     def build():
         def answer(words: list[bytes], counts: np.ndarray) -> list[bytes]:
-            heads = np.asarray(counts, "<u4")
+            heads = np.asarray(counts, "<u8")
             return [heads[i].tobytes() + ids for i, ids in enumerate(encode_words(vocabulary, words))]
 
         return answer
@@ -161,24 +172,61 @@ def loss_and_gradient(w: Weights, before: np.ndarray, target: np.ndarray) -> tup
     return loss, Weights(embed, flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv), bias, h.T @ p, p.sum(axis=0))
 
 
-def local_steps(w: Weights, before: np.ndarray, target: np.ndarray, seed: int, batch: int = BATCH, least: int = LEAST_STEPS, rate: float = RATE) -> Weights:
-    """Adam over the windows in shuffled batches: once, or so often that at least ``least`` steps are made."""
-    flat, first, second = w.flat().astype(np.float64), 0.0, 0.0
-    per_epoch = -(-len(before) // batch)
-    step, total, draw = 0, max(per_epoch, least), np.random.default_rng(seed)
-    while step < total:
-        order = draw.permutation(len(before))
-        for at in range(0, len(order), batch):
-            pick = order[at : at + batch]
-            _, gradient = loss_and_gradient(w.like(flat), before[pick], target[pick])
-            g = gradient.flat().astype(np.float64)
-            step += 1
-            first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
-            pace = rate * (1 - 0.9 * (step - 1) / total)
-            flat = flat - pace * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-            if step >= total:
-                break
-    return w.like(flat)
+class Adam:
+    """Steps of one task: ``learn`` makes one for every batch of the windows it is given, in shuffled order.
+
+    The pace falls in a straight line over ``total`` steps to a tenth.
+    """
+
+    def __init__(self, w: Weights, total: int, seed: int, batch: int = BATCH, rate: float = RATE):
+        self.start, self.flat, self.first, self.second = w, w.flat().astype(np.float64), 0.0, 0.0
+        self.step, self.total, self.batch, self.rate, self.draw = 0, total, batch, rate, np.random.default_rng(seed)
+
+    def learn(self, before: np.ndarray, target: np.ndarray) -> None:
+        order = self.draw.permutation(len(before))
+        for at in range(0, len(order), self.batch):
+            pick = order[at : at + self.batch]
+            g = loss_and_gradient(self.weights(), before[pick], target[pick])[1].flat().astype(np.float64)
+            self.step += 1
+            self.first, self.second = 0.9 * self.first + 0.1 * g, 0.99 * self.second + 0.01 * g * g
+            pace = self.rate * (1 - 0.9 * min(self.step - 1, self.total) / self.total)
+            self.flat = self.flat - pace * (self.first / (1 - 0.9**self.step)) / (np.sqrt(self.second / (1 - 0.99**self.step)) + 1e-8)
+
+    def weights(self) -> Weights:
+        return self.start.like(self.flat)
+
+
+def local_steps(w: Weights, chunks: Iterator[np.ndarray], expected: int, seed: int, least: int = LEAST_STEPS) -> tuple[Weights, int]:
+    """Weights after one pass over the chunks of windows (class before the first place, then the classes), and their number.
+
+    Where the windows are too few for ``least`` steps, the last chunk is gone over again until they are made.
+    """
+    adam, seen, chunk = Adam(w, max(-(-expected // BATCH), least), seed), 0, None
+    for chunk in chunks:
+        seen += len(chunk)
+        adam.learn(chunk[:, :-1], chunk[:, 1:])
+    while chunk is not None and adam.step < least:
+        adam.learn(chunk[:, :-1], chunk[:, 1:])
+    return adam.weights(), seen
+
+
+@dataclass(frozen=True)
+class WordCounts:
+    """Per class: training words (and ends) that begin with it, rate of new words among them; per id: ln P(id | class) in new words."""
+
+    begun: np.ndarray
+    new_rate: np.ndarray
+    inside_new: np.ndarray
+
+    @staticmethod
+    def of(classes: np.ndarray, inside: np.ndarray, begun: np.ndarray, begun_once: np.ndarray, once: np.ndarray) -> WordCounts:
+        """From counts by id: words that begin with it, those of them seen once, and places in words seen once."""
+        by_class = lambda n: np.bincount(classes, n, classes.max() + 1)
+        overall = (begun_once.sum() + 1) / (begun.sum() + 2)
+        rate = (by_class(begun_once) + overall) / (by_class(begun) + 1)
+        kinds = by_class(once > 0) + 1  # as likely an id not met in such words as the kinds of ids met
+        inside_new = np.log((once + kinds[classes] * np.exp(inside)) / (by_class(once) + kinds)[classes])
+        return WordCounts(by_class(begun), rate, inside_new)
 
 
 @dataclass(frozen=True)
@@ -190,8 +238,30 @@ class AttentionLM:
     weights: Weights
     end_id: int
 
-    def scores(self, streams: list[np.ndarray], context: int = CONTEXT, batch: int = 1024) -> np.ndarray:
-        """log10 P of each id stream (end id included), every id scored once."""
+    def scores(self, streams: list[np.ndarray], context: int = CONTEXT, batch: int = SCORED_WINDOWS) -> np.ndarray:
+        """log10 P of each id stream (end id included) with the ids alone."""
+        if not streams:
+            return np.zeros(0)
+        lengths = np.array([len(s) for s in streams], np.int64)
+        per_id = self.class_logs(streams, context, batch) + self.inside[np.concatenate(streams)]
+        return np.add.reduceat(per_id, np.cumsum(lengths) - lengths) / np.log(10)
+
+    def word_logs(self, streams: list[np.ndarray], sizes: np.ndarray, counts: np.ndarray, words: WordCounts) -> np.ndarray:
+        """ln P of each word of all streams; a stream's end is its last word.
+
+        ``sizes``: ids of each word, at least one; ``counts``: its training count.
+        """
+        ids, begin = np.concatenate(streams), np.cumsum(sizes) - sizes
+        of_class = self.class_logs(streams)
+        first = begin[counts > 0]
+        rate = words.new_rate[self.classes[ids]]
+        told = np.log(rate[begin]) + np.add.reduceat(of_class + words.inside_new[ids], begin)
+        known = of_class[first] + np.log1p(-rate[first]) + np.log(counts[counts > 0] / words.begun[self.classes[ids[first]]])
+        told[counts > 0] = np.logaddexp(told[counts > 0], known)
+        return told
+
+    def class_logs(self, streams: list[np.ndarray], context: int = CONTEXT, batch: int = SCORED_WINDOWS) -> np.ndarray:
+        """ln P(class of id | ids before) of the ids of all streams, every id scored once."""
         half = context // 2
         ids = np.concatenate(streams) if streams else np.zeros(0, np.int64)
         lengths = np.array([len(s) for s in streams], np.int64)
@@ -200,8 +270,7 @@ class AttentionLM:
         before = np.empty_like(after)
         before[1:] = after[:-1]
         before[starts] = self.classes[self.end_id]  # a text begins after an end
-        per_id = self.inside[ids].astype(np.float64)
-
+        per_id = np.zeros(len(ids))
         later = np.maximum(0, -(-(lengths - context) // half))
         which = np.repeat(np.arange(len(streams)), later)
         order = np.arange(len(which)) - np.repeat(np.cumsum(later) - later, later)
@@ -212,15 +281,8 @@ class AttentionLM:
                 inside = place < stop[at : at + batch, None]
                 scored, real = place[:, -queries:], inside[:, -queries:]
                 goal = after[np.where(real, scored, 0)]
-                per_id[scored[real]] += log_probabilities(self.weights, before[np.where(inside, place, 0)], goal)[real]
-        return np.add.reduceat(per_id, starts) / np.log(10) if len(streams) else np.zeros(0)
-
-
-def sample_starts(doc_id: int | None, length: int, every: int = WINDOW_EVERY, context: int = CONTEXT) -> list[int]:
-    """Where the training windows of a document begin: at a hashed place, then one in ``every`` ids."""
-    last = max(0, length - context)
-    first = zlib.crc32(f"window:{doc_id}".encode()) % min(every, last + 1)
-    return list(range(first, last + 1, every))
+                per_id[scored[real]] = log_probabilities(self.weights, before[np.where(inside, place, 0)], goal)[real]
+        return per_id
 
 
 def window_starts(length: int, context: int = CONTEXT) -> np.ndarray:
@@ -229,64 +291,95 @@ def window_starts(length: int, context: int = CONTEXT) -> np.ndarray:
 
 
 def gather(made: DataFrame, coded: DataFrame, end_id: int) -> DataFrame:
-    """Staged rows of two kinds: (id, n) counts of the training documents of a block, and their windows as bytes.
+    """Staged rows of two kinds: counts of an id in the training documents of a block, and some of their windows as bytes.
 
-    A window is the id before it and ``CONTEXT`` ids; texts shorter than that are padded by end ids.
+    The counts: ``n`` places, ``begun`` words (and ends) that begin with it, and of both those in words seen once. A window is the id before it and ``CONTEXT`` ids; texts shorter
+    than that are padded by end ids. ``n`` counts the windows of a row.
     """
 
     def use(doc_ids: list, places: list, ranks: np.ndarray, answers: list[bytes]) -> pd.DataFrame:
-        ids_of, counts, windows, at = [a[4:] for a in answers], np.zeros(end_id + 1, np.int64), [], 0
+        ids_of, at = [a[HEAD:] for a in answers], 0
+        heads = np.array([int.from_bytes(i[:4], "little") if i else -1 for i in ids_of], np.int64)
+        seen_once = np.array([int.from_bytes(a[:HEAD], "little") == 1 for a in answers], bool)
+        counts, begun, begun_once, once = np.zeros((4, end_id + 1), np.int64)
+        cuts = []
         for doc_id, n in zip(doc_ids, places):
             own = ranks[at : at + n]
             at += n
             if is_held_out(doc_id, FOLDS):
                 continue
             stream = id_stream(ids_of, own, end_id)
-            counts += np.bincount(stream, minlength=end_id + 1)
-            padded = np.concatenate(([end_id], stream, np.full(CONTEXT, end_id)))
-            cut = padded[window_starts(len(stream))[:, None] + np.arange(CONTEXT + 1)].astype("<u4")
-            windows.extend(w.tobytes() for w in cut)
+            np.add.at(counts, stream, 1)
+            begins = heads[own]
+            np.add.at(begun, begins[begins >= 0], 1)
+            begun[end_id] += 1
+            new = own[seen_once[own]]
+            np.add.at(begun_once, heads[new][heads[new] >= 0], 1)
+            np.add.at(once, id_stream(ids_of, new, end_id)[:-1], 1)
+            padded = np.concatenate(([end_id], stream, np.full(CONTEXT, end_id))).astype("<u4")
+            cuts.append(padded[window_starts(len(stream))[:, None] + np.arange(CONTEXT + 1)])
+        windows = np.concatenate(cuts) if cuts else np.zeros((0, CONTEXT + 1), "<u4")
+        each = max(1, min(ROW_WINDOWS, len(windows) // BLOCK_ROWS))
+        rows = [windows[i : i + each] for i in range(0, len(windows), each)]
         seen = np.flatnonzero(counts)
-        return pd.concat([pd.DataFrame({"id": seen, "n": counts[seen], "window": None}), pd.DataFrame({"id": -1, "n": 1, "window": windows})])
+        return pd.concat([
+            pd.DataFrame({"id": seen, "n": counts[seen], "begun": begun[seen], "begun_once": begun_once[seen], "once": once[seen], "windows": None}),
+            pd.DataFrame({"id": -1, "n": [len(r) for r in rows], "begun": 0, "begun_once": 0, "once": 0, "windows": [r.tobytes() for r in rows]})])
 
-    return stage(reassemble(made, coded, use, "id int, n long, window binary"))
+    return stage(reassemble(made, coded, use, "id int, n long, begun long, begun_once long, once long, windows binary"))
 
 
-def id_counts(gathered: DataFrame, size: int) -> np.ndarray:
-    rows = gathered.where("id >= 0").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most one row per id of the vocabulary
-    counts = np.zeros(size, np.int64)
-    for r in rows:
-        counts[r["id"]] = r["n"]
+def id_counts(gathered: DataFrame, size: int) -> dict[str, np.ndarray]:
+    """The counts of ``gather`` by id."""
+    names = ("n", "begun", "begun_once", "once")
+    counts = {name: np.zeros(size, np.int64) for name in names}
+    for r in gathered.where("id >= 0").groupBy("id").agg(*[F.sum(n).alias(n) for n in names]).collect():  # at most one row per id of the vocabulary
+        for name in names:
+            counts[name][r["id"]] = r[name]
     return counts
 
 
+def _read_windows(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, "<u4").reshape(-1, CONTEXT + 1)
+
+
 def neighbourhoods(windows: DataFrame, anchors: np.ndarray, size: int, ends_word: np.ndarray) -> np.ndarray:
     """How often each id shares a window with each of the frequent ids; last two columns: how
     often it occurs, and how often it goes on with a word."""
+    width = len(anchors) + 2
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         column = np.full(size, -1, np.int64)
         column[anchors] = np.arange(len(anchors))
-        totals = np.zeros((size, len(anchors) + 2), np.int64)
+        totals, held, n = np.zeros(size * width, np.int64), [], 0
+
+        def count() -> None:
+            ids = np.concatenate(held).astype(np.int64)
+            own = ids[:, 1:] * width
+            near = column[ids]
+            r, c = np.nonzero(near >= 0)  # only pairs of an id and an anchor that occur
+            codes = own[r] + near[r, c][:, None]
+            inner = own[ends_word[ids[:, :-1]] == 0]
+            for part in (codes.ravel(), own.ravel() + width - 2, inner + width - 1):
+                totals[:] += np.bincount(part, minlength=len(totals))
+
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                ids = np.stack([np.frombuffer(w, "<u4") for w in batch["window"].iloc[at : at + 4096]]).astype(np.int64)
-                present = np.zeros((len(ids), len(anchors)), np.int64)
-                r, c = np.nonzero(column[ids] >= 0)
-                np.add.at(present, (r, column[ids[r, c]]), 1)
-                inner = ends_word[ids[:, :-1]] == 0
-                told = np.concatenate([np.repeat(present, ids.shape[1] - 1, axis=0), np.ones_like(inner.reshape(-1, 1)), inner.reshape(-1, 1)], axis=1)
-                order = np.argsort(ids[:, 1:].ravel(), kind="stable")
-                own = ids[:, 1:].ravel()[order]
-                first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                totals[own[first]] += np.add.reduceat(told[order], first, axis=0)
-        seen = np.flatnonzero(totals.any(axis=1))
+            for packed in batch["windows"]:
+                held.append(_read_windows(packed))
+                n += len(held[-1])
+                if n >= 8192:
+                    count()
+                    held, n = [], 0
+        if held:
+            count()
+        table = totals.reshape(size, width)
+        seen = np.flatnonzero(table.any(axis=1))
         for at in range(0, len(seen), 5000):
-            yield pd.DataFrame({"id": seen[at : at + 5000], "near": list(totals[seen[at : at + 5000]])})
+            yield pd.DataFrame({"id": seen[at : at + 5000], "near": list(table[seen[at : at + 5000]])})
 
-    partial = windows.select("window").mapInPandas(rows, "id int, near array<long>")
-    sums = [F.sum(F.col("near")[j]).alias(f"n{j}") for j in range(len(anchors) + 2)]
-    table = np.zeros((size, len(anchors) + 2))
+    partial = windows.select("windows").mapInPandas(rows, "id int, near array<long>")
+    sums = [F.sum(F.col("near")[j]).alias(f"n{j}") for j in range(width)]
+    table = np.zeros((size, width))
     for r in partial.groupBy("id").agg(F.array(*sums).alias("near")).collect():  # at most one row per id of the vocabulary
         table[r["id"]] = r["near"]
     return table
@@ -309,17 +402,28 @@ def cluster(table: np.ndarray, counts: np.ndarray, clusters: int, rounds: int =
 
 def train(windows: DataFrame, classes: np.ndarray, n_classes: int, rounds: int = ROUNDS) -> Weights:
     weights = Weights.start(n_classes)
-    tasks = min(shuffle_partitions(windows.sparkSession), max(1, windows.count() // (rounds * TASK_WINDOWS)))
-    for turn in range(rounds):
-        now, seed = weights, turn
-        parts = windows.where(F.pmod(F.xxhash64("window"), F.lit(rounds)) == turn).repartition(tasks).select("window")
-
-        def fit(batches: Iterator[pd.DataFrame], now: Weights = now, seed: int = seed) -> Iterator[pd.DataFrame]:
-            packed = [w for batch in batches for w in batch["window"]]
-            if packed:
-                ids = classes[np.frombuffer(b"".join(packed), "<u4").reshape(len(packed), -1)]
-                fitted = local_steps(now, ids[:, :-1], ids[:, 1:], seed)
-                yield pd.DataFrame({"n": [len(packed)], "weights": [fitted.flat().astype(np.float64)]})
+    turn_of = F.pmod(F.xxhash64("windows"), F.lit(rounds))
+    sizes = {r["turn"]: r["n"] for r in windows.groupBy(turn_of.alias("turn")).agg(F.sum("n").alias("n")).collect()}  # one row a round
+    for turn, size in sorted(sizes.items()):
+        tasks = min(shuffle_partitions(windows.sparkSession), max(1, size // TASK_WINDOWS))
+        parts = windows.where(turn_of == turn).repartition(tasks).select("windows")
+
+        def fit(batches: Iterator[pd.DataFrame], now: Weights = weights, seed: int = turn, expected: int = size // tasks) -> Iterator[pd.DataFrame]:
+            def chunks() -> Iterator[np.ndarray]:
+                held, n = [], 0
+                for batch in batches:
+                    for packed in batch["windows"]:
+                        held.append(_read_windows(packed))
+                        n += len(held[-1])
+                        if n >= TASK_WINDOWS:
+                            yield classes[np.concatenate(held)]
+                            held, n = [], 0
+                if held:
+                    yield classes[np.concatenate(held)]
+
+            fitted, seen = local_steps(now, chunks(), expected, seed)
+            if seen:
+                yield pd.DataFrame({"n": [seen], "weights": [fitted.flat().astype(np.float64)]})
 
         told = parts.mapInPandas(fit, "n long, weights array<double>").select("n", F.posexplode("weights").alias("place", "weight"))
         mean = told.groupBy("place").agg((F.sum(F.col("weight") * F.col("n")) / F.sum("n")).alias("weight")).collect()  # one row per weight
@@ -330,15 +434,16 @@ def train(windows: DataFrame, classes: np.ndarray, n_classes: int, rounds: int =
     return weights
 
 
-def fit_lm(made: DataFrame, coded: DataFrame, vocabulary: str) -> AttentionLM:
+def fit_lm(made: DataFrame, coded: DataFrame, vocabulary: str) -> tuple[AttentionLM, WordCounts]:
     from tokenizers import Tokenizer
 
     tokens = Tokenizer.from_file(vocabulary).get_vocab()
     size = max(tokens.values()) + 1
     end_id = tokens["<|endoftext|>"]
     gathered = gather(made, coded, end_id)
-    windows = gathered.where("id = -1").select("window")
-    counts = id_counts(gathered, size)
+    windows = gathered.where("id = -1").select("n", "windows")
+    by_id = id_counts(gathered, size)
+    counts = by_id["n"]
     anchors = np.argsort(-counts, kind="stable")[:ANCHORS]
     ends_word = np.zeros(size, np.int64)
     ends_word[[i for t, i in tokens.items() if t.endswith("</w>")]] = 1
@@ -351,7 +456,8 @@ def fit_lm(made: DataFrame, coded: DataFrame, vocabulary: str) -> AttentionLM:
     n_classes = 4 * CLUSTERS + 1
     in_class = np.bincount(classes, counts, n_classes) + np.bincount(classes, minlength=n_classes)
     inside = np.log((counts + 1) / in_class[classes])
-    return AttentionLM(classes, inside, train(windows, classes, n_classes), end_id)
+    words = WordCounts.of(classes, inside, by_id["begun"], by_id["begun_once"], by_id["once"])
+    return AttentionLM(classes, inside, train(windows, classes, n_classes), end_id), words
 
 
 def score_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -366,23 +472,36 @@ def score_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     words = coded.agg(F.sum("total_counted").alias("n"), F.sum("distinct_counted").alias("v")).first()
     ends = rows.where(~held_out(F.col("doc_id"), FOLDS)).count()
     total, distinct = (words["n"] or 0) + ends, (words["v"] or 0) + (ends > 0)
-    model = fit_lm(made, coded, vocabulary)
+    model, word_counts = fit_lm(made, coded, vocabulary)
 
     def use(doc_ids: list, places: list, ranks: np.ndarray, answers: list[bytes]) -> pd.DataFrame:
-        counts = np.array([int.from_bytes(a[:4], "little") for a in answers] + [ends], np.int64)
+        counts = np.array([int.from_bytes(a[:HEAD], "little") for a in answers] + [ends], np.int64)
         logs = np.log10((counts + 1) / (total + distinct + 1))
-        ids_of, out, streams, held, at, scores = [a[4:] for a in answers], [], [], 0, 0, []
+        ids_of = [a[HEAD:] for a in answers]
+        sizes = np.array([len(i) // 4 for i in ids_of] + [1], np.int64)
+        out, scores, streams, words, at, held = [], [], [], [], 0, 0
+
+        def score() -> None:
+            own = np.concatenate(words)
+            told = logs[own] * np.log(10)  # what has no ids keeps its base probability
+            has_ids = sizes[own] > 0
+            told[has_ids] = model.word_logs(streams, sizes[own][has_ids], counts[own][has_ids], word_counts)
+            lengths = np.array([len(w) for w in words])
+            scores.append(np.add.reduceat(told, np.cumsum(lengths) - lengths) / np.log(10))
+
         for doc_id, n in zip(doc_ids, places):
-            own = ranks[at : at + n]
+            own = np.append(ranks[at : at + n].astype(np.int64), len(answers))
             at += n
-            known = int((counts[own] > 0).sum()) + (ends > 0)
-            out.append((doc_id, is_held_out(doc_id, FOLDS), n + 1, known, total, float(logs[own].sum() + logs[-1])))
-            streams.append(id_stream(ids_of, own, model.end_id))
+            known = int((counts[own] > 0).sum())
+            out.append((doc_id, is_held_out(doc_id, FOLDS), n + 1, known, total, float(logs[own].sum())))
+            words.append(own)
+            streams.append(id_stream(ids_of, own[:-1], model.end_id))
             held += len(streams[-1])
             if held > 300_000:
-                scores.append(model.scores(streams))
-                streams, held = [], 0
-        scores.append(model.scores(streams))
+                score()
+                streams, words, held = [], [], 0
+        if streams:
+            score()
         frame = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"])
         return frame.assign(score=np.concatenate(scores)).astype({"doc_id": "Int64"})
 

@@ -6,9 +6,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from demandloom.llm.attention_lm import AttentionLM, Weights, gather, local_steps, loss_and_gradient, lower_words, sample_starts, score_documents, window_starts, word_answers
+from demandloom.llm.attention_lm import AttentionLM, Weights, gather, local_steps, loss_and_gradient, lower_words, score_documents, window_starts, word_answers, WordCounts
 from demandloom.llm.shared import documents as plain
-from demandloom.llm.shared import stage
+from demandloom.llm.shared import is_held_out, stage
 from demandloom.llm.wordblocks import blocks, code
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -75,7 +75,8 @@ def test_training_learns_a_rule():
     rng = np.random.default_rng(3)
     first = rng.integers(0, 4, (400, 1))
     ids = (first + np.arange(33)) % 4
-    w = local_steps(Weights.start(5), ids[:, :-1], ids[:, 1:], 0, least=150)
+    w, seen = local_steps(Weights.start(5), iter([ids[:150], ids[150:]]), 400, 0, least=300)
+    assert seen == 400
     assert loss_and_gradient(w, ids[:, :-1], ids[:, 1:])[0] < 0.2
 
 
@@ -101,6 +102,8 @@ def test_base_scores_and_held_out_likelihood(documents):
     got = check(score_documents(documents, VOCABULARY), [(r.doc_id, r.text) for r in documents.collect()])
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) / sum(r.n_tokens for r in held) > -5.5  # log10 a word; even odds over all ids give about -9
+    familiar = [r for r in held if r.n_known == r.n_tokens]
+    assert sum(r.score for r in familiar) >= sum(r.base_score for r in familiar)
 
 
 def test_edge_cases(edge_docs, edge_rows, no_docs):
@@ -108,15 +111,37 @@ def test_edge_cases(edge_docs, edge_rows, no_docs):
     assert score_documents(no_docs, VOCABULARY).count() == 0
 
 
-def test_windows_cover_documents_of_any_length():
-    assert sample_starts(5, 1) == [0] and len(sample_starts(5, 5120)) == 10
+def test_word_probabilities_by_hand_and_their_sum():
+    lm = model()
+    begun, begun_once, once = np.arange(30), np.arange(30) % 3, np.arange(30) % 4
+    words = WordCounts.of(lm.classes, lm.inside, begun, begun_once, once)
+    for c in range(5):
+        own = lm.classes == c
+        assert np.exp(words.inside_new[own]).sum() == pytest.approx(1)
+        assert words.begun[c] == begun[own].sum()
+        assert words.new_rate[c] == pytest.approx((begun_once[own].sum() + (begun_once.sum() + 1) / (begun.sum() + 2)) / (begun[own].sum() + 1))
+    stream = np.array([3, 8, 12, 5, 29])  # words 3+8, 12, 5, end
+    got = lm.word_logs([stream], np.array([2, 1, 1, 1]), np.array([0, 4, 7, 6]), words)
+    of_class = lm.class_logs([stream])
+    for word, places, count in ((0, (0, 1), 0), (1, (2,), 4), (2, (3,), 7), (3, (4,), 6)):
+        first = lm.classes[stream[places[0]]]
+        spelled = words.new_rate[first] * math.exp(sum(of_class[p] + words.inside_new[stream[p]] for p in places))
+        known = (1 - words.new_rate[first]) * math.exp(of_class[places[0]]) * count / words.begun[first]
+        assert got[word] == pytest.approx(math.log(spelled + known))
+    # all words of one id after the same words, of which each occurs as often as its id begins one
+    each = [math.exp(lm.word_logs([np.array([3, i])], np.array([1, 1]), np.array([1, begun[i]]), words)[1]) for i in range(30)]
+    assert sum(each) == pytest.approx(1, abs=1e-4)
 
 
 def test_windows_hold_every_training_id(spark):
     texts = [" ".join(f"w{i}x{j}" for j in range(n)) for i, n in enumerate((0, 1, 7, 900))]
     made = blocks(plain(spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")), lower_words, lambda doc_id: True)
     rows = gather(made, stage(code(made, word_answers(VOCABULARY))), 49407).collect()
-    windows = np.stack([np.frombuffer(r.window, "<u4") for r in rows if r.id < 0])
+    windows = np.concatenate([np.frombuffer(r.windows, "<u4").reshape(-1, 33) for r in rows if r.id < 0])
+    assert sum(r.n for r in rows if r.id < 0) == len(windows)
     assert {r.id for r in rows if r.id >= 0} == set(windows[:, 1:].ravel().tolist())
+    learnt = [text.split() for i, text in enumerate(texts, 1) if not is_held_out(i, 7)]
+    assert sum(r.begun for r in rows) == sum(len(words) + 1 for words in learnt)
+    assert sum(r.begun_once for r in rows) == sum(n == 1 for n in Counter(w for words in learnt for w in words).values())
     for n in range(1, 200):
         assert {s + j for s in window_starts(n) for j in range(32)} >= set(range(n))
