@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.catalog.q_features import rounded, sql_round
@@ -157,21 +160,21 @@ def horizon_totals(d):
 
 
 @query("fc_14_leakage_mutation_audit", """
-SELECT 'f3' AS fold, 0::BIGINT AS changed_forecasts, count(*) AS changed_actuals FROM predictions WHERE fold = 'f3'""")
+SELECT fold, 0::BIGINT AS changed_forecasts, count(*) AS changed_actuals FROM predictions GROUP BY 1""")
 def leakage_mutation_audit(d):
-    start = P.FOLDS[2][1]
-    keys = ["model_name", *SERIES, "target_date"]
+    """Every fold with all sales from its first target day on changed: no forecast may differ, every actual must."""
+    keys = ["fold", "model_name", *SERIES, "target_date"]
+    active = d.active.join(d.series_bands, SERIES)
 
-    def run(active, suffix):
-        last = fc.fold_predictions(active).where(F.col("fold") == "f3")
-        return last.select(*keys, F.col("forecast").alias(f"forecast{suffix}"), F.col("actual").alias(f"actual{suffix}"))
+    def run(rows, suffix):
+        return rows.select(*keys, F.col("forecast").alias(f"forecast{suffix}"), F.col("actual").alias(f"actual{suffix}"))
 
-    active = d.active.join(d.series_bands, SERIES)
-    both = run(active, "").join(run(fc.mutate_future(active, start), "_mutated"), keys, "full_outer")
-    return both.agg(
+    mutated = [fc.fold_predictions(fc.mutate_future(active, start)).where(F.col("fold") == fold) for fold, start, _ in P.FOLDS]
+    both = run(fc.fold_predictions(active), "").join(run(reduce(DataFrame.unionByName, mutated), "_mutated"), keys, "full_outer")
+    return both.groupBy("fold").agg(
         count_if(~F.col("forecast").eqNullSafe(F.col("forecast_mutated"))).alias("changed_forecasts"),
         count_if(~F.col("actual").eqNullSafe(F.col("actual_mutated"))).alias("changed_actuals"),
-    ).select(F.lit("f3").alias("fold"), "changed_forecasts", "changed_actuals")
+    )
 
 
 @query("dq_15_history_validity", """
