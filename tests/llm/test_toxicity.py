@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from demandloom.llm.toxicity import drop_toxic, fit_toxicity, maximal_segments, score_toxicity, tokens
+from demandloom.llm.toxicity import drop_toxic, fit_toxicity, log_odds, maximal_segments, score_toxicity, tokens
 
 
 def brute_segments(scores):
@@ -72,3 +72,48 @@ def test_nothing_to_learn_from(corpus, no_docs):
     model = fit_toxicity(docs, labels.where("doc_id < 0"))
     assert {r.predicted for r in score_toxicity(docs, model).collect()} == {0}
     assert score_toxicity(no_docs, fit_toxicity(no_docs, labels)).count() == 0
+
+
+def plain_log_odds(rows, prior_share, min_z, min_log_odds):
+    """The same rule over lists: each text counts a token once, then at most once for each different token before it."""
+    counts, before = ({}, {}), {}
+    for text, label in rows:
+        words = tokens(text)
+        for w in set(words):
+            counts[label][w] = counts[label].get(w, 0) + 1
+        if label:
+            for b, w in zip([b"", *words], words):
+                before.setdefault(w, set()).add(b)
+    n_toxic, n_clean = sum(counts[1].values()), sum(counts[0].values())
+    weight = prior_share * (n_toxic + n_clean)
+
+    def telling(toxic_of):
+        out = {}
+        for w, t in toxic_of.items():
+            c = counts[0].get(w, 0)
+            prior = weight * (t + c) / (n_toxic + n_clean)
+            delta = np.log((t + prior) / (n_toxic + weight - t - prior)) - np.log((c + prior) / (n_clean + weight - c - prior))
+            if delta >= min_log_odds and delta / np.sqrt(1 / (t + prior) + 1 / (c + prior)) >= min_z:
+                out[w] = delta
+        return out
+
+    fewer = {w: min(counts[1][w], len(before[w])) for w in telling(counts[1])}
+    top = telling(fewer)
+    rest_toxic, rest_clean = n_toxic - sum(fewer[w] for w in top), n_clean - sum(counts[0].get(w, 0) for w in top)
+    return top, min(np.log(max(rest_toxic, 1) / n_toxic) - np.log(max(rest_clean, 1) / n_clean), -0.02)
+
+
+def test_log_odds_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(300):
+        words = [f"plain{w}" for w in rng.zipf(1.4, 40) % 200]
+        label = int(i % 5 == 0)
+        if label:
+            words[10:10] = [f"bad{w}" for w in rng.integers(0, 9, 5)]
+        rows.append((" ".join(words), label))
+    rows += [("copied insult here once more", 1)] * 40 + [("", 0), ("", 1)]
+    expected, neutral = plain_log_odds(rows, 0.1, 3.0, 1.0)
+    got, got_neutral = log_odds(spark.createDataFrame(rows, "text string, label int").repartition(5), 0.1, 3.0, 1.0, 20_000)
+    assert any(w.startswith(b"bad") for w in got) and b"insult" not in got
+    assert got == pytest.approx(expected) and got_neutral == pytest.approx(neutral)
