@@ -23,8 +23,8 @@ def item_series(d):
 
 
 def item_prices(d):
-    """Weekly item prices; items keep their department."""
-    priced = d.item_facts.groupBy(*SERIES, "dept_id", F.date_trunc("week", "date").cast("date").alias("week_start"))
+    """Weekly item prices; items keep their department. Hardly two sales share a week, so they are dealt before the sums."""
+    priced = retail.dealt(d.item_facts, d.item_days, *SERIES).groupBy(*SERIES, "dept_id", F.date_trunc("week", "date").cast("date").alias("week_start"))
     return priced.agg(F.sum("sales").alias("u"), F.sum("cents").alias("c")).where("u > 0").select(
         *SERIES, "dept_id", "week_start", retail.unit_price(F.col("c"), F.col("u")).alias("sell_price")
     )
