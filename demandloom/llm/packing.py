@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.llm.shared import documents, stage
+from demandloom.llm.shared import documents, give_back, stage
 from demandloom.llm.wordcache import document_ids
 
 CAPACITY = 4096
@@ -45,6 +45,7 @@ def piece_rows(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) ->
                         out.append((number, doc_id, piece, at - begin, upto - at, zlib.crc32(view[at:upto])))
                         number += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _PIECE.types)], schema=_PIECE)
+        give_back()
 
     return docs.mapInArrow(cut, "number long, doc_id long, piece int, start long, length long, ids_crc32 long")
 

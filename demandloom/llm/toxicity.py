@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from demandloom.llm.shared import binary_labels, broadcast_if_small, documents, fresh_name, held_out, stage
+from demandloom.llm.shared import binary_labels, broadcast_if_small, documents, fresh_name, give_back, held_out, stage
 
 FOLDS = 4
 THRESHOLD = 0.3
@@ -68,6 +68,7 @@ def token_counts(labelled: DataFrame) -> DataFrame:
                 if len(seen[0]) + len(seen[1]) > 300_000:
                     yield drain()
         yield drain()
+        give_back()
 
     partial = labelled.select("text", "label").mapInPandas(count, "token binary, toxic long, clean long")
     return partial.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))

@@ -19,12 +19,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from demandloom.llm.shared import give_back
+
 #: Words handed to the tokenizer at a time.
 BATCH = 20_000
-#: Words a Python worker remembers before it starts afresh.
-REMEMBERED = 500_000
+#: Words a Python worker remembers before it forgets those that came once.
+REMEMBERED = 150_000
 #: Bytes of text handled at a time (one longer text is handled alone).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 #: Words of a line, and lines handed over at a time, where words need no normalising.
 LINE = 128
@@ -70,11 +72,9 @@ _PLAIN_TOKENIZERS: dict = {}
 
 def _plain_tokenizer(vocabulary: str):
     if vocabulary not in _PLAIN_TOKENIZERS:
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.encode_special_tokens = True
-        tokenizer.normalizer = normalizers.Sequence([])
+        tokenizer = Tokenizer(_tokenizer(vocabulary).model)  # the tables of the merges are there once for both
         tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         last = np.zeros(tokenizer.get_vocab_size(), bool)
         for token, i in tokenizer.get_vocab().items():
@@ -111,10 +111,25 @@ class WordEncoder:
     def _forget(self) -> None:
         self._number: dict[str, int] = {}
         self._ids, self._start = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self._again = np.zeros(0, bool)  # met in a later chunk too
+
+    def _forget_rare(self) -> None:
+        """Keep the words that came again, unless they alone fill half of the memory: then start afresh."""
+        kept = np.flatnonzero(self._again)
+        if 2 * len(kept) > self._remembered:
+            return self._forget()
+        words = [w for w, again in zip(self._number, self._again.tolist()) if again]  # a dict keeps the order of numbers
+        lengths = np.diff(self._start)[kept]
+        ends = np.cumsum(lengths)
+        places = np.arange(int(lengths.sum())) + np.repeat(self._start[kept] - (ends - lengths), lengths)
+        self._ids, self._start = self._ids[places], np.concatenate([[0], ends])
+        self._number, self._again = {w: n for n, w in enumerate(words)}, np.zeros(len(words), bool)
+        give_back()
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         if len(self._number) > self._remembered:
-            self._forget()
+            self._forget_rare()
+        known = len(self._number)
         unknown = pa.array([w for w in words if w not in self._number], pa.string())
         plain = pc.match_substring_regex(unknown, PLAIN)
         for own, encode in ((unknown.filter(plain), plain_word_ids), (unknown.filter(pc.invert(plain)), word_ids)):
@@ -124,7 +139,10 @@ class WordEncoder:
                 self._number.update(zip(own, range(len(self._number), len(self._number) + len(own))))
                 self._ids = np.concatenate([self._ids, flat])
                 self._start = np.concatenate([self._start, self._start[-1] + np.cumsum(lengths)])
-        return np.fromiter(map(self._number.__getitem__, words), np.int64, len(words))
+        numbers = np.fromiter(map(self._number.__getitem__, words), np.int64, len(words))
+        self._again = np.concatenate([self._again, np.zeros(len(self._number) - known, bool)])
+        self._again[numbers[numbers < known]] = True
+        return numbers
 
     def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = split_words(texts)

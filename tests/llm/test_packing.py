@@ -5,8 +5,10 @@ import public_tokenizers
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from demandloom.llm import shared
 from demandloom.llm.packing import pack_documents, sum_of_squares
 from demandloom.llm.wordcache import WordEncoder
 
@@ -88,3 +90,25 @@ def test_words_give_the_ids_of_whole_texts(texts):
     encoder = WordEncoder(VOCABULARY, remembered=3)
     got = [stream[a:b].tolist() for _, stream, bounds in encoder.texts(pa.array(texts, pa.string())) for a, b in zip(bounds[:-1], bounds[1:])]
     assert got == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_workers_hold_bounded_batches_and_words(spark):
+    """Pipeline: a batch is bounded by its bytes, not its rows, and of a full memory only the words that came again stay."""
+    assert spark.conf.get(shared.BATCH_SETTING, None) is None
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("long text "), 1000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes]})
+
+    told = [r["bytes"] for r in shared.stage(texts.mapInArrow(sizes, "bytes long")).collect()]
+    assert len(told) > 5 and max(told) <= shared.BATCH_BYTES + 20_000
+    assert spark.conf.get(shared.BATCH_SETTING, None) is None
+
+    encoder = WordEncoder(VOCABULARY, remembered=40)
+    for i in range(30):
+        text = "the old stone " + " ".join(f"w{chr(97 + i % 26)}{chr(97 + j)}q{i}" for j in range(20))
+        ((_, stream, _),) = encoder.texts(pa.array([text]))
+        assert stream.tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+        assert len(encoder._number) <= 40 + 2 * 23
+        assert list(encoder._number)[:3] == ["the", "old", "stone"] and len(encoder._again) == len(encoder._number) == len(encoder._start) - 1
