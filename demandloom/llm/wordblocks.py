@@ -18,17 +18,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.llm.shared import stage
+from demandloom.llm.shared import give_back, stage
 
 BLOCK_PLACES = 6_000_000
 BUCKET_WORDS = 400_000
 #: So many words of a block are ranked by frequency, the rest by their bytes.
 FREQUENT = 16_384
+#: Text whose words are numbered at a time; a block is closed behind it.
+SLICE_BYTES = 1 << 19
+BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("ranks", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("n_words", pa.int64())])
 
 
 def _squeeze(data: bytes) -> bytes:
@@ -72,45 +77,100 @@ def unpack_numbers(packed: bytes) -> np.ndarray:
     return np.frombuffer(_items(_expand(packed), 4), "<u4")
 
 
-def blocks(docs: DataFrame, split: Callable[[str], list], counted: Callable[[int | None], bool]) -> DataFrame:
+class OneByOne:
+    """The words of a block as ``split`` gives them for each text, numbered as they come."""
+
+    def __init__(self, split: Callable[[str], list]):
+        self._split, self._index, self._ranks = split, {}, [np.zeros(0, np.uint32)]
+
+    def add(self, texts: pa.Array) -> list[int]:
+        """Words of each text."""
+        index = self._index
+        found = [np.array([index.setdefault(w, len(index)) for w in self._split(text)], np.uint32) for text in texts.to_pylist()]
+        self._ranks += found
+        return [len(f) for f in found]
+
+    def numbered(self) -> tuple[np.ndarray, list[bytes]]:
+        """The number of the word at each place, and the words by number."""
+        return np.concatenate(self._ranks), [w if isinstance(w, bytes) else w.encode() for w in self._index]
+
+
+class LoweredAtSpaces:
+    """The same for ``text.encode().lower().split()``, in Arrow calls on whole texts and blocks."""
+
+    def __init__(self):
+        self._words: list[pa.Array] = []
+
+    def add(self, texts: pa.Array) -> list[int]:
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        words, bounds = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
+        filled = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at the ends of a text makes empty words
+        if not filled.all():
+            words, bounds = words.filter(pa.array(filled)), np.concatenate([[0], np.cumsum(filled)])[bounds]
+        self._words.append(words)
+        return np.diff(bounds).tolist()
+
+    def numbered(self) -> tuple[np.ndarray, list[bytes]]:
+        coded = pa.chunked_array(self._words, pa.string()).dictionary_encode().combine_chunks()
+        coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+        return coded.indices.to_numpy().astype(np.uint32), coded.dictionary.cast(pa.binary()).to_pylist()
+
+
+def blocks(docs: DataFrame, split: Callable[[str], list], counted: Callable[[int | None], bool], numbering: Callable[[], LoweredAtSpaces] | None = None) -> DataFrame:
     """Staged rows (block, doc_ids, places, ranks, words, counts).
 
-    ``split`` gives the words of a text as str or bytes. ``counts`` holds, per word, its places in documents for which
-    ``counted`` is true. The frequent words are ranked by frequency, so that most ranks are small; the others by their
-    bytes, so that the words and ranks of a bucket are increasing.
+    ``split`` gives the words of a text as str or bytes; ``numbering``, if given, does the same for many texts at a time.
+    ``counts`` holds, per word, its places in documents for which ``counted`` is true. The frequent words are ranked by
+    frequency, so that most ranks are small; the others by their bytes, so that the words and ranks of a bucket are
+    increasing.
     """
+    begin = numbering or (lambda: OneByOne(split))
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
-        ids, sizes, stream, learnt, index = [], [], [], [], {}
+        ids, sizes, learnt, held, numbers = [], [], [], 0, begin()
 
-        def block() -> pd.DataFrame:
-            ranks = np.concatenate(stream) if stream else np.zeros(0, np.int64)
-            frequency = np.bincount(ranks, minlength=len(index))
-            words = [w if isinstance(w, bytes) else w.encode() for w in index]
+        def block() -> pa.RecordBatch:
+            ranks, words = numbers.numbered()
+            frequency = np.bincount(ranks, minlength=len(words))
             order = np.argsort(-frequency, kind="stable")
-            order[FREQUENT:] = sorted(order[FREQUENT:].tolist(), key=words.__getitem__)
-            place = np.empty_like(order)
+            rare = order[FREQUENT:]
+            order[FREQUENT:] = rare[pc.sort_indices(pa.array(words, pa.large_binary()).take(pa.array(rare))).to_numpy()]
+            place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order))
             seen = np.repeat(np.array(learnt, bool), np.array(sizes, np.int64)) if learnt else np.zeros(0, bool)
-            counts = np.bincount(ranks[seen], minlength=len(index))[order]
-            return pd.DataFrame({"block": [(part << 32) + made], "doc_ids": [list(ids)], "places": [list(sizes)], "ranks": [pack_numbers(place[ranks])], "words": [pack([words[i] for i in order])], "counts": [pack_numbers(counts)], "n_words": [len(words)]})
+            counts = np.bincount(ranks[seen], minlength=len(words))[order]
+            row = {"block": (part << 32) + made, "doc_ids": ids, "places": sizes, "ranks": pack_numbers(place[ranks]), "words": pack([words[i] for i in order.tolist()]), "counts": pack_numbers(counts), "n_words": len(words)}
+            return pa.RecordBatch.from_pylist([row], schema=BLOCK_SCHEMA)
 
-        held = 0
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                words = split(text)
-                stream.append(np.array([index.setdefault(w, len(index)) for w in words], np.int64))
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
-                ids.append(doc_id), sizes.append(len(words)), learnt.append(counted(doc_id))
-                held += len(words)
+            texts = batch.column("text")
+            own_ids = batch.column("doc_id").to_pylist()
+            for at, upto in _slices(texts):
+                places = numbers.add(texts.slice(at, upto - at))
+                ids += own_ids[at:upto]
+                sizes += places
+                learnt += [counted(doc_id) for doc_id in own_ids[at:upto]]
+                held += sum(places)
                 if held >= BLOCK_PLACES or len(ids) >= BLOCK_PLACES:
                     yield block()
-                    ids, sizes, stream, learnt, index, held, made = [], [], [], [], {}, 0, made + 1
+                    ids, sizes, learnt, held, numbers, made = [], [], [], 0, begin(), made + 1
+                    give_back()
         if ids:
             yield block()
+        give_back()
+
+    return stage(docs.select("doc_id", "text").mapInArrow(rows, "block long, doc_ids array<long>, places array<int>, ranks binary, words binary, counts binary, n_words long"))
+
 
-    return stage(docs.mapInPandas(rows, "block long, doc_ids array<long>, places array<int>, ranks binary, words binary, counts binary, n_words long"))
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where rows of about ``SLICE_BYTES`` of text begin and end; one longer text stands alone."""
+    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield at, upto
+        at = upto
 
 
 def code(made: DataFrame, coder: Callable[[], Callable[[list[bytes], np.ndarray], list[bytes]]]) -> DataFrame:
@@ -158,7 +218,9 @@ def reassemble(made: DataFrame, coded: DataFrame, use: Callable[[list, list, np.
             for rank, item in zip(np.cumsum(unpack_numbers(ranks), dtype=np.int64).tolist(), unpack(packed, 4)):
                 answers[rank] = item
         row = block.iloc[0]
-        return use([None if pd.isna(i) else int(i) for i in row["doc_ids"]], list(row["places"]), unpack_numbers(row["ranks"]), answers)
+        out = use([None if pd.isna(i) else int(i) for i in row["doc_ids"]], list(row["places"]), unpack_numbers(row["ranks"]), answers)
+        give_back()
+        return out
 
     left = made.select("block", "doc_ids", "places", "ranks", "n_words").groupBy("block")
     return left.cogroup(coded.select("block", "ranks", "answers").groupBy("block")).applyInPandas(join, schema)

@@ -38,9 +38,23 @@ _MARK = r"[!-&(-/:-@\[-`{-~]"
 
 def encode_words(vocabulary: str, words: list[bytes]) -> list[bytes]:
     """The ids of each word as little-endian 32-bit numbers; special tokens in a word are ordinary text."""
-    flat, lengths = word_ids(vocabulary, [w.decode("utf-8", "replace") for w in words])
-    body, ends = flat.tobytes(), (4 * np.cumsum(lengths)).tolist()
-    return [body[a:b] for a, b in zip([0, *ends], ends)]
+    texts = [w.decode("utf-8", "replace") for w in words]
+    plain = pc.match_substring_regex(pa.array(texts, pa.string()), PLAIN).to_numpy(zero_copy_only=False)
+    out = [b""] * len(words)
+    for chosen, encode in ((plain, plain_word_ids), (~plain, _by_pieces)):
+        own = np.flatnonzero(chosen).tolist()
+        if own:
+            flat, lengths = encode(vocabulary, [texts[i] for i in own])
+            body, ends = flat.tobytes(), (4 * np.cumsum(lengths)).tolist()
+            for i, a, b in zip(own, [0, *ends], ends):
+                out[i] = body[a:b]
+    return out
+
+
+def _by_pieces(vocabulary: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_ids``; words that differ only in the marks around them share their pieces."""
+    made = list(worker_encoder(vocabulary).texts(pa.array(words, pa.string())))
+    return np.concatenate([ids for _, ids, _ in made]), np.concatenate([np.diff(bounds) for _, _, bounds in made])
 
 
 def word_ids(vocabulary: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:

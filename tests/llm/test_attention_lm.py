@@ -4,12 +4,15 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
-from demandloom.llm.attention_lm import AttentionLM, Weights, gather, local_steps, loss_and_gradient, lower_words, score_documents, window_starts, word_answers, WordCounts
+from demandloom.llm import wordcache
+from demandloom.llm.attention_lm import AttentionLM, Coded, Scratch, Weights, cut_windows, gather, neighbourhoods, local_steps, loss_and_gradient, lower_words, score_documents, window_starts, word_answers, WordCounts
 from demandloom.llm.shared import documents as plain
 from demandloom.llm.shared import is_held_out, stage
-from demandloom.llm.wordblocks import blocks, code
+from demandloom.llm.wordblocks import LoweredAtSpaces, blocks, code
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -145,3 +148,78 @@ def test_windows_hold_every_training_id(spark):
     assert sum(r.begun_once for r in rows) == sum(n == 1 for n in Counter(w for words in learnt for w in words).values())
     for n in range(1, 200):
         assert {s + j for s in window_starts(n) for j in range(32)} >= set(range(n))
+
+
+ODD = ["", " ", "Two  words\tand\nlines\x0b\x0c\r", "ÀÉ ünïcode ẞ\u00a0x\u2003y \x85z", "a,b a, b a", " lead", "trail ", "ZZ \x1f \x00 q"]
+
+
+def test_words_numbered_for_many_texts_are_those_of_each():
+    numbers = LoweredAtSpaces()
+    places = [n for at in range(0, len(ODD), 3) for n in numbers.add(pa.array(ODD).slice(at, 3))]
+    ranks, words = numbers.numbered()
+    expected = [lower_words(t) for t in ODD]
+    assert places == [len(w) for w in expected]
+    assert [words[r] for r in ranks] == [w for own in expected for w in own]
+    assert len(set(words)) == len(words) == ranks.max() + 1
+    none = LoweredAtSpaces()
+    assert none.add(pa.array(["", " \n"])) == [0, 0] and len(none.numbered()[0]) == 0
+
+
+def test_words_share_the_tokens_of_their_pieces(monkeypatch):
+    words = [f"{a}{w}{b}" for w in ("some", "straße", "don't", "x9", "né") for a in ("", "(", "<|") for b in ("", ",", "...", "|>", "\u00a0")] + ["<|endoftext|>", "\ufffd", "ünï-code", "É"]
+    told, ids = [], wordcache.word_ids
+    monkeypatch.setattr(wordcache, "_ENCODERS", {})
+    monkeypatch.setattr(wordcache, "word_ids", lambda vocabulary, own: told.extend(own) or ids(vocabulary, own))
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    tokenizer.encode_special_tokens = True
+    got = wordcache.encode_words(VOCABULARY, [w.encode() for w in words])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    assert len(told) < len(words) / 2  # before, each word of marks was merged anew
+
+
+def test_answers_in_flat_arrays_and_windows_of_many_texts():
+    rng = np.random.default_rng(6)
+    ids = [rng.integers(0, 90, n).astype("<u4") for n in (2, 0, 1, 3)]
+    counts = [4, 1, 0, 1 << 40]
+    coded = Coded.of([c.to_bytes(8, "little") + i.tobytes() for c, i in zip(counts, ids)], 99, 6)
+    assert coded.counts.tolist() == [*counts, 6] and coded.sizes.tolist() == [2, 0, 1, 3, 1]
+    texts = [rng.integers(0, 4, n) for n in (0, 1, 40, 3, 0, 200, 16)]
+    streams = [np.concatenate([*(ids[r] for r in t), [99]]).astype(np.int64) for t in texts]
+    for most in (1, 60, 10_000):
+        parts = list(coded.texts(np.concatenate(texts), np.array([len(t) for t in texts]), most))
+        assert [a for a, *_ in parts] + [len(texts)] == [0] + [b for _, b, *_ in parts]
+        assert np.concatenate([words for _, _, words, *_ in parts]).tolist() == [r for t in texts for r in [*t, 4]]
+        assert [n for p in parts for n in p[3]] == [len(t) + 1 for t in texts]
+        assert np.concatenate([p[4] for p in parts]).tolist() == np.concatenate(streams).tolist()
+        assert [n for p in parts for n in p[5]] == [len(s) for s in streams]
+        expected = []
+        for s in streams:
+            padded = np.concatenate(([99], s, np.full(32, 99)))
+            expected += [padded[i : i + 33].tolist() for i in window_starts(len(s))]
+        assert [w.tolist() for p in parts for w in cut_windows(p[4], p[5], 99)] == expected
+
+
+def test_gradient_with_used_memory_and_with_wide_logits():
+    rng = np.random.default_rng(7)
+    scratch = Scratch()
+    for n, factor in ((40, 1), (7, 1), (40, 60)):
+        w = Weights.start(81)
+        w = w.like(w.flat() * factor)
+        before, target = rng.integers(0, 81, (2, n, 32))
+        loss, fresh = loss_and_gradient(w, before, target)
+        again = loss_and_gradient(w, before, target, scratch, False)[1]
+        assert np.isfinite(loss) and np.isfinite(fresh.flat()).all()
+        assert np.array_equal(fresh.flat(), again.flat())
+
+
+def test_neighbours_against_pairs(spark):
+    rng = np.random.default_rng(8)
+    windows = rng.choice(60, (50, 33)).astype("<u4")
+    windows[40:] = rng.choice(np.arange(20, 60), (10, 33))
+    frame = stage(spark.createDataFrame([(bytearray(windows[a:b].tobytes()),) for a, b in ((0, 13), (13, 40), (40, 50))], "windows binary").repartition(3))
+    anchors, ends_word = np.array([7, 3, 11]), np.arange(60) % 2
+    expected = np.zeros((60, 5))
+    for row in windows:
+        for place, i in enumerate(row[1:], 1):
+            expected[i] += [*((row == a).sum() for a in anchors), 1, ends_word[row[place - 1]] == 0]
+    assert np.array_equal(neighbourhoods(frame, anchors, 60, ends_word), expected)
